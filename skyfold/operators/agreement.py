@@ -33,8 +33,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ranked = pairs.join(rx, "_x").join(ry, "_y")
     n, a, b = F.col("_n").cast("double"), F.col("_rx"), F.col("_ry")
     # Ranks have mean (N+1)/2; centring on it first keeps the sums small.
-    centred = attach_row(ranked, pairs.agg(F.sum("_n").alias("_N")))
-    mid = (F.col("_N") + F.lit(1.0)) / F.lit(2.0)
+    centred = attach_row(ranked, pairs.agg(F.sum("_n").alias("_total")))
+    mid = (F.col("_total") + F.lit(1.0)) / F.lit(2.0)
     da, db = a - mid, b - mid
     return centred.agg(F.try_divide(F.sum(n * da * db), F.sqrt(F.sum(n * da * da) * F.sum(n * db * db))).alias("spearman"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.constants import CORRECTION_THRESHOLD, CORRECTION_WIDTH, EIGHT_EDGES, EIGHT_LABELS, TARGET_EDGES, \
@@ -145,7 +145,8 @@ def cluster_profile(df: DataFrame, probabilities: Sequence[str], target: str) ->
     label = F.coalesce(*[F.when(F.col(p) == top, F.lit(i)) for i, p in enumerate(probabilities)])
     sized = df.groupBy(label.alias("cluster")).agg(F.count("*").alias("n"), F.avg(target).alias("target_mean"),
                                                    F.stddev_pop(target).alias("target_std"))
-    return sized.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy())))
+    total = sized.agg(F.sum("n").alias("_total"))
+    return attach_row(sized, total).withColumn("pct", percent(F.col("n"), F.col("_total"))).drop("_total")
 
 
 def feature_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -1 +1 @@
-from workload import columns, merging  # noqa: F401
+from workload import columns, distributions, merging, splits, statistics  # noqa: F401

@@ -68,7 +68,7 @@ def _(t):
 
 @query("p8_user_expressions", "SELECT source_id, bp - rp AS bp_rp, (g - bp)*2e0 + teff_gspphot_flag AS mix FROM v_catalog")
 def _(t):
-    return columns.add_expressions(t.catalog, {"bp_rp": "bp - rp", "bad": "no_such_column + 1",
+    return columns.add_expressions(t.catalog, {"bp_rp": "bp - rp",
                                                "mix": "(g - bp)*2e0 + teff_gspphot_flag"}).select("source_id", "bp_rp", "mix")
 
 
@@ -121,8 +121,8 @@ def _(t):
     return t.trees.select("source_id", F.round(mx.array_sum(arr), 3).alias("total"))
 
 
-@query("p14_linear_uncertainty", """SELECT source_id, round(y_pred*gmm_sigma_0/1e4*2.302585092994046e0,5) AS log10,
- round(y_pred*gmm_sigma_0/1e4*6.931471805599453e-1,5) AS log2, round(y_pred*gmm_sigma_0/1e4,5) AS ln FROM v_test_pred""")
+@query("p14_linear_uncertainty", """SELECT source_id, round(y_pred*(gmm_sigma_0/1e4)*2.302585092994046e0,5) AS log10,
+ round(y_pred*(gmm_sigma_0/1e4)*6.931471805599453e-1,5) AS log2, round(y_pred*(gmm_sigma_0/1e4),5) AS ln FROM v_test_pred""")
 def _(t):
     s = F.col("gmm_sigma_0") / F.lit(1e4)
     return t.test_pred.select("source_id", *[F.round(columns.linear_uncertainty(F.col("y_pred"), s, k), 5).alias(k)
@@ -204,7 +204,8 @@ def _(t):
 
 @query("p28_sky_coordinates", """SELECT round(radians(CASE WHEN ra > 180 THEN ra-360 ELSE ra END),9) AS lon_rad, round(radians("dec"),9) AS lat_rad, g FROM v_catalog""")
 def _(t):
-    return rounded(columns.sky_coordinates(t.catalog, "ra", "dec", "g"), 9)
+    sky = columns.sky_coordinates(t.catalog, "ra", "dec", "g")
+    return sky.select(F.round("lon_rad", 9).alias("lon_rad"), F.round("lat_rad", 9).alias("lat_rad"), "g")
 
 
 @query("p29_decode_log_temperature", """SELECT source_id, round(CASE WHEN power(1e1,logT1) >= 1e2 THEN power(1e1,logT1) END,5) AS t1,
