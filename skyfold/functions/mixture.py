@@ -7,7 +7,7 @@ The sums are unrolled, so every score is plain arithmetic inside code generation
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 from operator import add
@@ -30,7 +30,7 @@ def _horner(x: Column, coefficients: Sequence[float]) -> Column:
 
 
 def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function, absolute error below 1e-13."""
+    """Standard normal distribution function, absolute error below 1e-13. For a plain column; see `with_normals`."""
     a = F.abs(z)
     tail = F.exp(F.lit(-0.5) * a * a) * _horner(a, HART_NUM) / _horner(a, HART_DEN)
     return F.when(z > 0, F.lit(1.0) - tail).otherwise(tail)
@@ -42,28 +42,51 @@ def gmm_columns(df: DataFrame, prefix: str = "gmm") -> tuple[list[Column], list[
     return tuple([F.col(f"{prefix}_{part}_{i}") for i in range(k)] for part in ("weight", "mean", "sigma"))
 
 
-def crps_kernel(mu: Column, sd: Column) -> Column:
-    """Expected absolute value of a Gaussian with mean ``mu`` and deviation ``sd``."""
-    z = mu / sd
-    return F.lit(2.0) * sd * normal_pdf(z) + mu * (F.lit(2.0) * normal_cdf(z) - F.lit(1.0))
+def with_normals(df: DataFrame, z: Mapping[str, Column]) -> DataFrame:
+    """Add ``{name}_pdf`` and ``{name}_cdf`` of every standardised value.
+
+    The values, their magnitudes and the tails are columns of their own, one projection each. Written as one
+    expression each would be repeated for every power in the polynomials, and the generated method would grow
+    beyond what the JVM compiles.
+    """
+    df = df.withColumns({f"{n}_z": c for n, c in z.items()})
+    df = df.withColumns({k: c for n in z for k, c in (
+        (f"{n}_a", F.abs(F.col(f"{n}_z"))), (f"{n}_e", F.exp(F.lit(-0.5) * F.col(f"{n}_z") * F.col(f"{n}_z"))))})
+    df = df.withColumns({f"{n}_t": F.col(f"{n}_e") * _horner(F.col(f"{n}_a"), HART_NUM) / _horner(F.col(f"{n}_a"), HART_DEN)
+                         for n in z})
+    made = {}
+    for n in z:
+        tail = F.col(f"{n}_t")
+        made[f"{n}_cdf"] = F.when(F.col(f"{n}_z") > 0, F.lit(1.0) - tail).otherwise(tail)
+        made[f"{n}_pdf"] = F.col(f"{n}_e") / F.lit(SQRT_2PI)
+    return df.withColumns(made).drop(*[f"{n}_{part}" for n in z for part in "zaet"])
 
 
-def mixture_crps(w: Sequence[Column], mu: Sequence[Column], sd: Sequence[Column], y: Column) -> Column:
-    """Closed-form continuous ranked probability score (Grimit et al. 2006).
+def with_mixture_scores(df: DataFrame, y: str, prefix: str = "gmm") -> DataFrame:
+    """Add ``crps``, ``pit``, ``mixture_mean`` and ``mixture_var``.
 
-    The double sum is symmetric: each pair is built once, and its diagonal reduces to ``2 * sigma / sqrt(pi)``.
+    CRPS is the closed form of Grimit et al. (2006): the weighted kernel of every component against the truth,
+    less half the weighted kernels of all component pairs. That double sum is symmetric, so each pair is built
+    once, and a component with itself gives ``sigma / sqrt(pi)``. PIT is the distribution function at the truth.
     """
-    k = range(len(w))
-    first = reduce(add, (w[i] * crps_kernel(y - mu[i], sd[i]) for i in k))
-    diagonal = reduce(add, (w[i] * w[i] * sd[i] for i in k)) * F.lit(1.0 / math.sqrt(math.pi))
-    pairs = [w[i] * w[j] * crps_kernel(mu[i] - mu[j], F.sqrt(sd[i] * sd[i] + sd[j] * sd[j]))
-             for i, j in combinations(k, 2)]
-    return first - diagonal - (reduce(add, pairs) if pairs else F.lit(0.0))
+    keep = df.columns
+    w, mu, sd = gmm_columns(df, prefix)
+    k, pairs = range(len(w)), list(combinations(range(len(w)), 2))
+    df = df.withColumns({f"_s{i}_{j}": F.sqrt(sd[i] * sd[i] + sd[j] * sd[j]) for i, j in pairs}) if pairs else df
+    gaps = {f"_o{i}": (F.col(y) - mu[i], sd[i], w[i]) for i in k}
+    gaps.update({f"_p{i}_{j}": (mu[i] - mu[j], F.col(f"_s{i}_{j}"), -w[i] * w[j]) for i, j in pairs})
+    df = with_normals(df, {n: gap / s for n, (gap, s, _) in gaps.items()})
 
+    def kernel(n):
+        gap, s, weight = gaps[n]
+        return weight * (F.lit(2.0) * s * F.col(f"{n}_pdf") + gap * (F.lit(2.0) * F.col(f"{n}_cdf") - F.lit(1.0)))
 
-def mixture_cdf(w: Sequence[Column], mu: Sequence[Column], sd: Sequence[Column], y: Column) -> Column:
-    """Distribution function at ``y``; at the true value this is the PIT."""
-    return reduce(add, (a * normal_cdf((y - m) / s) for a, m, s in zip(w, mu, sd)))
+    own = reduce(add, (w[i] * w[i] * sd[i] for i in k)) * F.lit(1.0 / math.sqrt(math.pi))
+    mean = mixture_mean(w, mu)
+    df = df.withColumns({"crps": reduce(add, (kernel(n) for n in gaps)) - own,
+                         "pit": reduce(add, (w[i] * F.col(f"_o{i}_cdf") for i in k)), "mixture_mean": mean})
+    return df.withColumn("mixture_var", mixture_variance(w, mu, sd, F.col("mixture_mean"))).select(
+        *keep, "crps", "pit", "mixture_mean", "mixture_var")
 
 
 def mixture_pdf(w: Sequence[Column], mu: Sequence[Column], sd: Sequence[Column], x: Column) -> Column:
@@ -74,18 +97,13 @@ def mixture_mean(w: Sequence[Column], mu: Sequence[Column]) -> Column:
     return reduce(add, (a * m for a, m in zip(w, mu)))
 
 
-def mixture_variance(w: Sequence[Column], mu: Sequence[Column], sd: Sequence[Column]) -> Column:
-    mean = mixture_mean(w, mu)
+def mixture_variance(w: Sequence[Column], mu: Sequence[Column], sd: Sequence[Column],
+                     mean: Column | None = None) -> Column:
+    """Within plus between variance; pass ``mean`` where the mixture mean is a column already."""
+    mean = mixture_mean(w, mu) if mean is None else mean
     return reduce(add, (a * (s * s + (m - mean) * (m - mean)) for a, m, s in zip(w, mu, sd)))
 
 
-def with_mixture_scores(df: DataFrame, y: str, prefix: str = "gmm") -> DataFrame:
-    """CRPS, PIT, mean and variance of a table's mixtures."""
-    w, mu, sd = gmm_columns(df, prefix)
-    return df.withColumns({"crps": mixture_crps(w, mu, sd, F.col(y)), "pit": mixture_cdf(w, mu, sd, F.col(y)),
-                           "mixture_mean": mixture_mean(w, mu), "mixture_var": mixture_variance(w, mu, sd)})
-
-
 # ---- array forms ----------------------------------------------------------------------------------------------
 
 def sort_components(components: Column) -> Column:

@@ -1,10 +1,55 @@
+"""Hyper-parameter search: every candidate is a Spark fit, every result a row of the trial table."""
+
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+import logging
+import math
+import random
+import time
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyfold.functions.mixture import with_mixture_scores
+from skyfold.operators.forests import fit_forest, predict, tree_predictions
+from skyfold.operators.mixture_fit import fit_mixtures
+from skyfold.operators.sampling import fixed_size_sample, sample_key, split, stratified_sample
+
+log = logging.getLogger(__name__)
+
+# Default search ranges: low, high, step.
+DEFAULT_SPACE = {
+    "n_estimators": [100, 1000, 50],
+    "max_depth": [5, 50, 1],
+    "min_samples_split": [2, 20, 1],
+    "min_samples_leaf": [1, 10, 1],
+    "max_features": ["sqrt", "log2", None],
+}
+TRIALS = ("number int, value double, duration_s double, train double, val double, gap double, n_estimators int, "
+          "max_depth int, min_samples_split int, min_samples_leaf int, max_features string")
+
+
+def choices(space: Mapping[str, Sequence] | None = None) -> dict[str, list]:
+    """Every allowed value per parameter; ``[low, high]`` and ``[low, high, step]`` of integers are ranges."""
+    out = {}
+    for name, values in {**DEFAULT_SPACE, **(space or {})}.items():
+        values = list(values)
+        if name != "max_features" and len(values) in (2, 3) and all(isinstance(v, int) for v in values):
+            step = values[2] if len(values) == 3 else 50 if name == "n_estimators" else 1
+            values = list(range(values[0], values[1] + 1, max(step, 1)))
+        out[name] = values
+    return out
+
+
+def candidates(n: int, space: Mapping[str, Sequence] | None = None, seed: int = 42) -> list[dict]:
+    rng, allowed = random.Random(seed), choices(space)
+    return [{name: rng.choice(values) for name, values in allowed.items()} for _ in range(n)]
+
 
 def penalised(trials: DataFrame, weight: float) -> DataFrame:
     """Validation score plus ``weight`` times the gap between training and validation."""
@@ -12,7 +57,163 @@ def penalised(trials: DataFrame, weight: float) -> DataFrame:
     return trials.withColumn("gap", gap).withColumn("objective", F.col("val") + F.lit(weight) * F.col("gap"))
 
 
+def _mae(model, rows: DataFrame, target: str) -> dict[str, float]:
+    """Mean absolute error per inner split, from one pass."""
+    scored = predict(model, rows).groupBy("split").agg(F.avg(F.abs(F.col("prediction") - F.col(target))).alias("e"))
+    return {r["split"]: r["e"] for r in scored.collect()}  # two rows
+
+
+def mean_crps(model, rows: DataFrame, target: str, components: int = 5, max_iter: int = 200) -> float:
+    """Mean CRPS of mixtures fitted to each row's tree predictions."""
+    fitted = fit_mixtures(tree_predictions(model, rows), "tree_preds", components, max_iter)
+    return with_mixture_scores(fitted, target).agg(F.avg("crps")).first()[0]
+
+
+def search(train: DataFrame, features: Sequence[str], target: str, *, key: str = "source_id", n_trials: int = 50,
+           space: Mapping[str, Sequence] | None = None, objective: str = "mae", overfit_penalty: float = 0.0,
+           patience: int | None = None, timeout: float | None = None, max_samples: int | None = None,
+           strata: Sequence[str] = (), weight: str | None = None, components: int = 5, crps_subsample: int = 5000,
+           parallelism: int = 4, seed: int = 42) -> tuple[dict, DataFrame]:
+    """Random search on an inner 80/20 split. Returns the best parameters and the trial table.
+
+    Trials run ``parallelism`` at a time; the search stops once ``patience`` trials in a row bring no better value.
+    """
+    if objective not in ("mae", "crps"):
+        raise ValueError(f"unknown objective {objective!r}")
+    spark = train.sparkSession
+    columns = list(dict.fromkeys([key, *features, target, *strata, *([weight] if weight else [])]))
+    rows = train.select(*columns).na.drop(subset=[*features, target])
+    if max_samples:
+        rows = stratified_sample(rows, max_samples, strata, key, seed) if strata else fixed_size_sample(rows, max_samples, key, seed)
+    inner = split(rows, key, 0.2, seed, strata).persist()
+    fit_rows = inner.where("split = 'train'")
+    sides = {}
+    if objective == "crps":
+        sides = {s: fixed_size_sample(inner.where(F.col("split") == s), crps_subsample, key, seed).persist()
+                 for s in (("train", "test") if overfit_penalty else ("test",))}
+
+    def run(number: int, params: dict) -> tuple:
+        start = time.monotonic()
+        model = fit_forest(fit_rows, features, target, seed=seed, weight=weight, **params)
+        if objective == "mae":
+            scores = _mae(model, inner, target)
+        else:
+            scores = {s: mean_crps(model, df, target, components) for s, df in sides.items()}
+        val, tr = scores["test"], scores.get("train")
+        gap = abs(tr - val) if tr is not None else None
+        value = val + overfit_penalty * gap if overfit_penalty else val
+        return (number, value, time.monotonic() - start, tr, val, gap, params["n_estimators"], params["max_depth"],
+                params["min_samples_split"], params["min_samples_leaf"], params["max_features"])
+
+    plan, done, begun = candidates(n_trials, space, seed), [], time.monotonic()
+    try:
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            for at in range(0, n_trials, parallelism):
+                batch = range(at, min(at + parallelism, n_trials))
+                done += list(pool.map(lambda i: run(i, plan[i]), batch))
+                best = min(done, key=lambda t: t[1])
+                if patience is not None and done[-1][0] - best[0] >= patience:
+                    log.info("no better value for %s trials", patience)
+                    break
+                if timeout is not None and time.monotonic() - begun > timeout:
+                    break
+    finally:
+        for df in (inner, *sides.values()):
+            df.unpersist()
+    return plan[min(done, key=lambda t: t[1])[0]], spark.createDataFrame(done, TRIALS)
+
+
+def halving_search(train: DataFrame, features: Sequence[str], target: str, *, key: str = "source_id",
+                   n_candidates: int = 9, factor: int = 3, cv: int = 3, min_resources: int | None = None,
+                   space: Mapping[str, Sequence] | None = None, parallelism: int = 4,
+                   seed: int = 42) -> tuple[dict, DataFrame]:
+    """Successive halving: all candidates on few rows, the best ``1/factor`` of them on ``factor`` times as many.
+
+    The samples are nested (a prefix of the key order), folds are a function of the id. Returns the best
+    parameters and a table of every candidate's mean score per round.
+    """
+    spark = train.sparkSession
+    key_col = sample_key(key, seed)
+    fold = F.pmod(F.conv(F.substring(key_col, 1, 8), 16, 10).cast("long"), F.lit(cv)).cast("int")
+    rows = train.select(key, *features, target).na.drop(subset=[*features, target]).withColumn("_fold", fold).persist()
+    try:
+        total = rows.count()
+        rounds = max(1, math.ceil(math.log(n_candidates, factor)) + 1)
+        size = min_resources or max(cv * 10, total // factor ** (rounds - 1))
+        alive = dict(enumerate(candidates(n_candidates, space, seed)))
+        history = []
+
+        def score(sample: DataFrame, number: int, f: int) -> tuple[int, float]:
+            model = fit_forest(sample.where(F.col("_fold") != f), features, target, seed=seed, **alive[number])
+            held = predict(model, sample.where(F.col("_fold") == f))
+            return number, held.agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0]
+
+        for number in range(rounds):
+            n = min(total, size * factor ** number)
+            sample = rows if n >= total else fixed_size_sample(rows, n, key, seed).persist()
+            with ThreadPoolExecutor(max(1, parallelism)) as pool:
+                scores = list(pool.map(lambda job: score(sample, *job), [(c, f) for c in alive for f in range(cv)]))
+            if sample is not rows:
+                sample.unpersist()
+            mean = {c: sum(s for i, s in scores if i == c) / cv for c in alive}
+            history += [(number, n, c, m) for c, m in mean.items()]
+            ranked = sorted(mean, key=mean.get)
+            best = alive[ranked[0]]
+            if len(ranked) == 1 or n >= total:
+                break
+            alive = {c: alive[c] for c in ranked[:max(1, len(ranked) // factor)]}
+    finally:
+        rows.unpersist()
+    return best, spark.createDataFrame(history, "round int, n_rows long, candidate int, score double")
+
+
+# ---- result cache ---------------------------------------------------------------------------------------------
+
 def signature_column(columns: Sequence[str]) -> Column:
     """First 16 hex digits of the SHA-256 of ``name=value`` pairs in name order."""
     parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in sorted(columns)]
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+
+def signature(settings: Mapping) -> str:
+    """The same for one nested configuration: order of keys and of the feature list does not matter."""
+    def canonical(value, name=""):
+        if isinstance(value, Mapping):
+            return {k: canonical(v, k) for k, v in value.items()}
+        if isinstance(value, (list, tuple)):
+            items = [canonical(v) for v in value]
+            return sorted(items, key=str) if name in ("features", "encode_categorical", "stratify_columns") else items
+        return value
+    text = json.dumps(canonical(settings), sort_keys=True, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+CACHE = "signature string, hyperparameters string, optimized_at timestamp, n_trials int"
+
+
+def cached_parameters(spark: SparkSession, path: str, key: str) -> dict | None:
+    """Parameters found earlier under this signature, newest first."""
+    try:
+        table = spark.read.schema(CACHE).parquet(path)
+    except AnalysisException:
+        return None
+    row = table.where(F.col("signature") == key).agg(F.max_by("hyperparameters", "optimized_at").alias("h")).first()
+    return json.loads(row["h"]) if row and row["h"] else None
+
+
+def cache_parameters(spark: SparkSession, path: str, key: str, params: Mapping, n_trials: int) -> None:
+    row = spark.createDataFrame([(key, json.dumps(params), n_trials)], "signature string, hyperparameters string, n_trials int")
+    (row.select("signature", "hyperparameters", F.current_timestamp().alias("optimized_at"), "n_trials")
+     .coalesce(1).write.mode("append").parquet(path))
+
+
+def tuned_parameters(path: str, settings: Mapping, train: DataFrame, features: Sequence[str], target: str,
+                     **options) -> tuple[dict, bool]:
+    """Parameters from the cache, or from a search that is then cached; tells whether the cache had them."""
+    spark, key = train.sparkSession, signature(settings)
+    known = cached_parameters(spark, path, key)
+    if known:
+        return known, True
+    best, trials = search(train, features, target, **options)
+    cache_parameters(spark, path, key, best, trials.count())
+    return best, False

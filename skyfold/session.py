@@ -22,7 +22,17 @@ def get_session(app: str = "skyfold", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the expressions of this package profit from; safe on a running session.
+
+    The JVM does not compile methods above 8000 bytes, Spark's own limit is far higher. Long mixture expressions
+    pass the former, and run several times faster when Spark splits them instead of fusing the whole stage.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -56,3 +66,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark for broadcast only when a bounded count proves the size; otherwise leave the choice to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write to the scratch folder and read back: for a costly table that several jobs then scan.
+
+    The copy outlives executors, and later filters and column choices stop at its files instead of repeating
+    the expressions that made it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

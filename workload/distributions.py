@@ -6,6 +6,7 @@ from skyfold.constants import HART_DEN, HART_NUM
 from skyfold.functions import images
 from skyfold.functions import mixture as mx
 from skyfold.operators import histograms, mixture_fit
+from skyfold.session import stored
 from skyfold.sources.tables import test_prediction_table
 from workload.merging import rounded
 from workload.standin import query
@@ -35,10 +36,10 @@ SQL_TERMS = "WITH t AS (" + " UNION ALL ".join(
     [f"SELECT source_id, gmm_weight_{k} AS f, y_true-gmm_mean_{k} AS m, gmm_sigma_{k}*1e0 AS s FROM v_test_pred" for k in K]
     + [f"SELECT source_id, -5e-1*gmm_weight_{i}*gmm_weight_{j}, gmm_mean_{i}-gmm_mean_{j}, sqrt(pow(gmm_sigma_{i},2)+pow(gmm_sigma_{j},2)) FROM v_test_pred"
        for i in K for j in K]) + f"""), z AS (SELECT *, m/s AS z FROM t),
- crps AS (SELECT source_id, sum(f*(2e0*s*{sql_pdf('z')}+m*(2e0*{sql_cdf('z')}-1e0))) AS crps FROM z GROUP BY source_id),
+ crps AS MATERIALIZED (SELECT source_id, sum(f*(2e0*s*{sql_pdf('z')}+m*(2e0*{sql_cdf('z')}-1e0))) AS crps FROM z GROUP BY source_id),
  c AS (""" + " UNION ALL ".join(f"SELECT source_id, gmm_weight_{k} AS w, (y_true-gmm_mean_{k})/gmm_sigma_{k} AS z FROM v_test_pred" for k in K) + f"""),
- pit AS (SELECT source_id, sum(w*{sql_cdf('z')}) AS pit FROM c GROUP BY source_id),
- scored AS (SELECT p.*, crps, pit FROM v_test_pred p JOIN crps USING (source_id) JOIN pit USING (source_id))
+ pit AS MATERIALIZED (SELECT source_id, sum(w*{sql_cdf('z')}) AS pit FROM c GROUP BY source_id),
+ scored AS MATERIALIZED (SELECT p.*, crps, pit FROM v_test_pred p JOIN crps USING (source_id) JOIN pit USING (source_id))
 """
 
 
@@ -198,14 +199,14 @@ def _(t):
 @query("a23_pit_histogram", SQL_TERMS + ", h AS (" + sql_histogram("pit", "scored", 30, 0.0, 1.0) + """) SELECT bin, n, density, round((SELECT avg(pit) FROM scored),8) AS mean,
  round((SELECT stddev_pop(pit) FROM scored),8) AS std, round((SELECT median(pit) FROM scored),8) AS median FROM h""")
 def _(t):
-    h = histograms.pit_histogram(scored(t))
+    h = histograms.pit_histogram(stored(scored(t).select("pit"), "scores"))
     return h.select("bin", "n", F.round("density", 9).alias("density"), *[F.round(c, 8).alias(c) for c in ("mean", "std", "median")])
 
 
 @query("a24_crps_histogram", SQL_TERMS + """, e AS (SELECT min(crps) AS lo, max(crps) AS hi FROM scored)
  SELECT least(floor((crps-lo)/((hi-lo)/60))::INT,59) AS bin, count(*) AS n, round((SELECT avg(crps) FROM scored),4) AS mean, round((SELECT median(crps) FROM scored),4) AS median FROM scored, e GROUP BY 1""")
 def _(t):
-    h = histograms.crps_histogram(scored(t)).where("n > 0")
+    h = histograms.crps_histogram(stored(scored(t).select("crps"), "scores")).where("n > 0")
     return h.select("bin", "n", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"))
 
 

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyfold.session import tune
+
 # Rows without a temperature are those of status 'P'; the prediction tables cover subsets of them.
 VIEWS = {
     "v_catalog": """
@@ -98,7 +100,7 @@ class Tables:
     """The views of one scale as DataFrames: ``t.catalog``, ``t.trees`` …"""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir = tune(spark), sf_dir
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
