@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skyfold.constants import CORRECTION_THRESHOLD
 from skyfold.functions.binning import quantile_bin
 from skyfold.operators.ranks import quantile_edges
-from skyfold.session import broadcast_if_small
+from skyfold.session import resolve_if_small
 
 log = logging.getLogger(__name__)
 
@@ -43,7 +43,7 @@ def key_cutoffs(df: DataFrame, strata: Sequence[str], wanted: Column) -> DataFra
            .withColumn("_want", wanted.cast("long")))
     spots = (cum.where((F.col("_want") > F.col("_end") - F.col("_c")) & (F.col("_want") <= F.col("_end")))
              .select(*strata, "_prefix", (F.col("_want") - F.col("_end") + F.col("_c")).alias("_rest")))
-    spots = broadcast_if_small(spots, MAX_BROADCAST_STRATA)
+    spots = resolve_if_small(spots, MAX_BROADCAST_STRATA)
     near = keyed.join(spots, [*strata, "_prefix"]).groupBy(*strata, "_prefix", "_rest", "_key").agg(
         F.count("*").alias("_c"))
     order = Window.partitionBy(*strata, "_prefix").orderBy("_key")
@@ -62,7 +62,7 @@ def _first_by_key(df: DataFrame, key: str, seed: int, strata: Sequence[str], wan
         row = cuts.first()
         first = F.lit(False) if row is None else F.col("_key") <= F.lit(row["_cut"])
         return keyed.withColumn("_first", first).drop("_key")
-    cuts = broadcast_if_small(cuts, MAX_BROADCAST_STRATA)
+    cuts = resolve_if_small(cuts, MAX_BROADCAST_STRATA)
     return (keyed.join(cuts, names, "left")
             .withColumn("_first", F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))).drop("_key", "_cut"))
 

@@ -14,16 +14,19 @@ from skyfold.functions.missing import nullify_sentinel
 from skyfold.functions.mixture import with_mixture_scores
 from skyfold.operators import clustering, encoding, filters, forests, mixture_fit, sampling, tuning
 from skyfold.operators.metrics import regression_metrics
+from skyfold.session import stored
 
 
 def prepare_training(df: DataFrame, config: Mapping) -> tuple[DataFrame, list[str], str]:
     """Rows ready for the split, with their features and target. One lazy plan: scan, projections and filters."""
     target, features = config["target"], list(config["features"])
+    ranges = config.get("filters", {})
+    stored_ranges = {c: r for c, r in ranges.items() if c in df.columns}  # these reach the scan
+    df = nullify_sentinel(filters.range_filters(df, stored_ranges))
     if config.get("correction"):
         df = df.withColumn(f"{target}_corrected", correct_poly_smooth(F.col(target), config["correction"]))
         target = f"{target}_corrected"
-    df = filters.range_filters(df, config.get("filters", {}))
-    df = nullify_sentinel(df)
+    df = filters.range_filters(df, {c: r for c, r in ranges.items() if c not in stored_ranges})
     engineering = config.get("feature_engineering", {})
     if not engineering.get("enabled"):
         df = add_expressions(df, config.get("expressions", {}))
@@ -34,8 +37,7 @@ def prepare_training(df: DataFrame, config: Mapping) -> tuple[DataFrame, list[st
         df = engineer_all_features(df, engineering["colors"], engineering.get("mags", ()), **switches)
         features += [c for c in df.columns if c not in before]
     kind = config.get("target_transform", "none")
-    df = filters.finite_target(df.withColumn("_y", transform_target(F.col(target), kind)), "_y")
-    return df, features, target
+    return df.withColumn("_y", transform_target(F.col(target), kind)), features, target
 
 
 def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
@@ -45,6 +47,11 @@ def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
     encode, clustering, split, sample_weight, model, tuning, mixture.
     """
     rows, features, target = prepare_training(df, config)
+    # Strata, split, encoder and clustering each read the rows again: keep the prepared table.
+    rows = stored(rows, "prepared")
+    for name in ["_y", *features]:  # a logarithm at its pole has no place in a feature vector
+        if rows.schema[name].dataType.typeName() == "double":
+            rows = filters.finite_target(rows, name)
     how = config.get("split", {})
     if how.get("stratify_bins"):
         rows = sampling.stratified_split(rows, target, how["stratify_bins"], key, how.get("categories", ()),
@@ -67,7 +74,7 @@ def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
         metadata["clustering"] = cl.to_dict()
 
     weight = config.get("sample_weight")
-    rows = rows.persist()
+    rows = stored(rows, "split")
     train, test = rows.where(is_train), rows.where(~is_train)
     params = dict(config.get("model", {}))
     if config.get("tuning"):

@@ -63,9 +63,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark for broadcast only when a bounded count proves the size; otherwise leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def resolve_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Evaluate a table that should be small, once, and mark it for broadcast.
+
+    At most ``max_rows`` + 1 rows reach the driver. A table with more rows is returned as it was, and Spark
+    chooses how to join it.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

@@ -1 +1 @@
-from workload import columns, distributions, learning, merging, splits, statistics  # noqa: F401
+from workload import columns, distributions, learning, merging, sources, splits, statistics  # noqa: F401
