@@ -138,9 +138,9 @@ def _from_gaussians(method, features, scaler, weights, means, covs, reg):
 
 
 def _digamma(x: float) -> float:
-    """Recurrence up to 6, then the asymptotic series."""
+    """Recurrence up to 10, then the asymptotic series."""
     out = 0.0
-    while x < 6.0:
+    while x < 10.0:
         out -= 1.0 / x
         x += 1.0
     y = 1.0 / (x * x)

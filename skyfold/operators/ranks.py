@@ -125,10 +125,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
 
 
 def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
-    """The quantiles as numbers on the driver."""
+    """The quantiles as numbers on the driver; an empty list for a column without values."""
     names = [f"q{i}" for i in range(len(probs))]
     row = exact_quantiles(df, value, dict(zip(names, probs))).first()
-    return [row[n] for n in names] if row else []
+    return [row[n] for n in names] if row and row[names[0]] is not None else []
 
 
 def quantile_edges(df: DataFrame, value: str, q: int) -> list[float]:
