@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyfold.operators import filters, ranks, sampling
+import workload.all  # noqa: F401  (registers every query)
 from workload.merging import merged
 from workload.standin import QUERIES, ORACLES
 from workload.check import TABLES, compare, connect

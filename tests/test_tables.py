@@ -119,7 +119,7 @@ def test_empirical_cdf_thinning(skewed):
     df, x, _ = skewed
     full = ranks.empirical_cdf(df, "x").count()
     thin = ranks.empirical_cdf(df, "x", points=50).orderBy("value").collect()
-    assert 40 <= len(thin) <= 110 < full and thin[-1]["value"] == x.max()
+    assert 30 <= len(thin) <= 110 < full and thin[-1]["value"] == x.max()
 
 
 # ---- splits -----------------------------------------------------------------------------------------------------
