@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions.missing import finite
 from skyfold.operators.metrics import with_median
-from skyfold.operators.ranks import average_ranks, exact_quantiles, running_sums
+from skyfold.operators.ranks import average_ranks, cut_points, exact_quantiles, running_sums
 from skyfold.operators.scalars import attach_row
 
 
@@ -21,15 +23,16 @@ def pair_moments(df: DataFrame, x: str, y: str) -> DataFrame:
                   F.stddev_pop(d).alias("scatter"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, cuts: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
     """Pearson correlation of average ranks.
 
     Equal pairs are counted before anything is joined, and the rank tables hold one row per distinct value.
     """
     pairs = df.groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(
         F.count("*").alias("_n"))
-    rx = average_ranks(df, x).select(F.col("value").alias("_x"), F.col("avg_rank").alias("_rx"))
-    ry = average_ranks(df, y).select(F.col("value").alias("_y"), F.col("avg_rank").alias("_ry"))
+    cuts = cuts or cut_points(df, [x, y])
+    rx = average_ranks(df, x, cuts=cuts[x]).select(F.col("value").alias("_x"), F.col("avg_rank").alias("_rx"))
+    ry = average_ranks(df, y, cuts=cuts[y]).select(F.col("value").alias("_y"), F.col("avg_rank").alias("_ry"))
     ranked = pairs.join(rx, "_x").join(ry, "_y")
     n, a, b = F.col("_n").cast("double"), F.col("_rx"), F.col("_ry")
     # Ranks have mean (N+1)/2; centring on it first keeps the sums small.
@@ -39,20 +42,22 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return centred.agg(F.try_divide(F.sum(n * da * db), F.sqrt(F.sum(n * da * da) * F.sum(n * db * db))).alias("spearman"))
 
 
-def difference_quantiles(df: DataFrame, x: str, y: str) -> DataFrame:
+def difference_quantiles(df: DataFrame, x: str, y: str, cuts: Sequence[float] | None = None) -> DataFrame:
     """16, 50 and 84 percent quantiles of the difference, and its median absolute deviation."""
     diffs = df.select((F.col(x) - F.col(y)).alias("_d"))
-    q = exact_quantiles(diffs, "_d", {"p16_diff": 0.16, "median_diff": 0.5, "p84_diff": 0.84})
-    center = q.first()["median_diff"]
-    mad = exact_quantiles(diffs.select(F.abs(F.col("_d") - F.lit(center)).alias("_a")), "_a", {"mad_diff": 0.5})
-    return attach_row(q, mad)
+    names = {"p16_diff": 0.16, "median_diff": 0.5, "p84_diff": 0.84}
+    found = exact_quantiles(diffs, "_d", names, cuts=cuts).first()  # three numbers
+    away = diffs.select(F.abs(F.col("_d") - F.lit(found["median_diff"])).alias("_a"))
+    mad = exact_quantiles(away, "_a", {"mad_diff": 0.5})
+    return mad.select(*[F.lit(found[n]).cast("double").alias(n) for n in names], "mad_diff")
 
 
-def two_sample_cdf(a: DataFrame, a_value: str, b: DataFrame, b_value: str) -> DataFrame:
+def two_sample_cdf(a: DataFrame, a_value: str, b: DataFrame, b_value: str,
+                   cuts: Sequence[float] | None = None) -> DataFrame:
     """Both empirical distribution functions at every distinct value of either sample."""
     both = a.select(F.col(a_value).cast("double").alias("v"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(
         b.select(F.col(b_value).cast("double").alias("v"), F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
-    table = running_sums(both, "v", {"a": F.col("in_a"), "b": F.col("in_b")})
+    table = running_sums(both, "v", {"a": F.col("in_a"), "b": F.col("in_b")}, cuts=cuts)
     f1 = F.try_divide((F.col("a_before") + F.col("a")).cast("double"), F.col("a_total"))
     f2 = F.try_divide((F.col("b_before") + F.col("b")).cast("double"), F.col("b_total"))
     return table.select("value", "next_value", f1.alias("f1"), f2.alias("f2"), "a_total", "b_total")
@@ -66,9 +71,10 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     return F.when(d <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(F.lit(2.0) * series, F.lit(0.0)), F.lit(1.0)))
 
 
-def distribution_distance(a: DataFrame, a_value: str, b: DataFrame, b_value: str) -> DataFrame:
+def distribution_distance(a: DataFrame, a_value: str, b: DataFrame, b_value: str,
+                          cuts: Sequence[float] | None = None) -> DataFrame:
     """Kolmogorov-Smirnov statistic and p-value, and the Wasserstein-1 distance, from one cumulative table."""
-    cdf = two_sample_cdf(a, a_value, b, b_value)
+    cdf = two_sample_cdf(a, a_value, b, b_value, cuts)
     gap = F.abs(F.col("f1") - F.col("f2"))
     out = cdf.agg(F.max(gap).alias("ks_stat"),
                   F.coalesce(F.sum(gap * (F.col("next_value") - F.col("value"))), F.lit(0.0)).alias("wasserstein"),
@@ -79,8 +85,11 @@ def distribution_distance(a: DataFrame, a_value: str, b: DataFrame, b_value: str
 def comparison_metrics(df: DataFrame, x: str, y: str, pair: str | None = None) -> DataFrame:
     """The full suite for one pair of columns, as one row."""
     rows = df.where(finite(F.col(x)) & finite(F.col(y))).select(x, y)
+    cuts = cut_points(rows.withColumn("_d", F.col(x) - F.col(y)), [x, y, "_d"])  # one pass serves all parts
+    both = sorted({*cuts[x], *cuts[y]})[::2]
     out = pair_moments(rows, x, y)
-    for part in (spearman(rows, x, y), difference_quantiles(rows, x, y), distribution_distance(rows, x, rows, y)):
+    for part in (spearman(rows, x, y, cuts), difference_quantiles(rows, x, y, cuts["_d"]),
+                 distribution_distance(rows, x, rows, y, both)):
         out = attach_row(out, part)
     return out.select(F.lit(pair or f"{x} vs {y}").alias("pair"), "*")
 

@@ -117,6 +117,10 @@ class TreeTable:
 
 def _node_rows(spark, forest: RandomForestRegressionModel, trees: Sequence[int] | None) -> pd.DataFrame:
     """Node rows of a fitted forest through its own file format. Their number is the model's, not the data's."""
+    models = forest.trees
+    size = 32 * sum(m.numNodes for m in (models if trees is None else [models[i] for i in trees]))
+    if size > MAX_TREE_BYTES:
+        raise ValueError(f"{size} bytes of tree nodes exceed {MAX_TREE_BYTES}; use fewer trees")
     path = scratch_path(spark, "forest")
     forest.write().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -126,9 +130,6 @@ def _node_rows(spark, forest: RandomForestRegressionModel, trees: Sequence[int]
                         F.col("nodeData.split.featureIndex").alias("feature"),
                         F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
                         F.col("nodeData.split.numCategories").alias("categories"))
-    size = flat.count() * 32
-    if size > MAX_TREE_BYTES:
-        raise ValueError(f"{size} bytes of tree nodes exceed {MAX_TREE_BYTES}; use fewer trees")
     out = flat.toPandas().sort_values(["treeID", "id"], ignore_index=True)
     if (out.loc[out["leftChild"] >= 0, "categories"] != -1).any():
         raise ValueError("categorical splits are not supported")
@@ -145,7 +146,8 @@ def tree_table(spark, forest: RandomForestRegressionModel, trees: Sequence[int]
     leaf = rows["leftChild"].to_numpy() < 0
     left = np.where(leaf, own, base + rows["leftChild"].to_numpy())
     right = np.where(leaf, own, base + rows["rightChild"].to_numpy())
-    depth = max(t.depth for t in forest.trees) if trees is None else max(forest.trees[i].depth for i in set(wanted))
+    models = forest.trees
+    depth = max(models[i].depth for i in set(wanted))
     return TreeTable(np.array([offset[i] for i in wanted], dtype=np.int32),
                      np.where(leaf, 0, rows["feature"].fillna(0)).astype(np.int32),
                      np.where(leaf, 0.0, rows["threshold"].fillna(0.0)), left.astype(np.int32), right.astype(np.int32),

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions.missing import finite
+from skyfold.session import resolve_if_small
 
 BUCKET = "_bucket"
+MAX_TARGETS = 100_000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -23,11 +25,23 @@ def default_buckets(df: DataFrame) -> int:
     return min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_bucket(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """Add the number of the equal-depth bucket that holds ``value``; larger values never get a smaller number."""
+def cut_points(df: DataFrame, values: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
+    """Approximate equal-depth cuts of several columns from one pass."""
     n = buckets or default_buckets(df)
-    probs = [i / n for i in range(1, n)]
-    cuts = sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * n)))) if probs else []
+    if n < 2:
+        return {v: [] for v in values}
+    found = df.approxQuantile(list(values), [i / n for i in range(1, n)], 1.0 / (4 * n))
+    return {v: sorted(set(c)) for v, c in zip(values, found)}
+
+
+def with_bucket(df: DataFrame, value: str, buckets: int | None = None,
+                cuts: Sequence[float] | None = None) -> DataFrame:
+    """Add the number of the bucket that holds ``value``; larger values never get a smaller number.
+
+    ``cuts`` found earlier (or for a similar column) save the pass that finds them; any cuts give right results.
+    """
+    if cuts is None:
+        cuts = cut_points(df, [value], buckets)[value]
     if not cuts:
         return df.withColumn(BUCKET, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
@@ -40,7 +54,7 @@ def _over(by: Sequence[str], *order: Column | str) -> Window:
 
 
 def running_sums(df: DataFrame, value: str, measures: Mapping[str, Column] | None = None, by: Sequence[str] = (),
-                 buckets: int | None = None) -> DataFrame:
+                 buckets: int | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
     """One row per distinct ``value`` (within ``by``), in the value's order, with global running sums.
 
     For each measure ``m``: ``m`` (the sum over rows of this value), ``m_before`` (over smaller values) and
@@ -50,7 +64,7 @@ def running_sums(df: DataFrame, value: str, measures: Mapping[str, Column] | Non
     keys = list(by)
     rows = df.select(*keys, F.col(value).cast("double").alias("value"),
                      *[m.alias(name) for name, m in measures.items()]).where(finite(F.col("value")))
-    tagged = with_bucket(rows, "value", buckets)
+    tagged = with_bucket(rows, "value", buckets, cuts)
     per_value = tagged.groupBy(*keys, BUCKET, "value").agg(*[F.sum(m).alias(m) for m in measures])
     # At most one row per bucket and group; measured from per_value so that both sides read one shuffle.
     per_bucket = per_value.groupBy(*keys, BUCKET).agg(F.min("value").alias("_first"),
@@ -69,9 +83,10 @@ def running_sums(df: DataFrame, value: str, measures: Mapping[str, Column] | Non
         F.coalesce(F.lead("value").over(inside), F.col("_next")).alias("next_value"))
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
+                  cuts: Sequence[float] | None = None) -> DataFrame:
     """One row per distinct value with the mean of the ranks its rows share."""
-    return running_sums(df, value, by=by).select(
+    return running_sums(df, value, by=by, cuts=cuts).select(
         *by, "value", "n", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias("avg_rank"))
 
 
@@ -90,15 +105,16 @@ def empirical_cdf(df: DataFrame, value: str, by: Sequence[str] = (), points: int
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
     """Linearly interpolated quantiles, one column per name in ``probs``; one row per group (or one row).
 
     Rows are never shuffled whole: the bucket histogram locates each wanted rank, and only rows of those buckets
-    are ordered. ``by`` must have few groups (bins, strata, models).
+    are ordered. ``by`` is meant for few groups (bins, strata, models); with very many, the bucket rows are joined
+    by a shuffle instead of a broadcast.
     """
     keys = list(by)
     rows = df.select(*keys, F.col(value).cast("double").alias("value")).where(finite(F.col("value")))
-    tagged = with_bucket(rows, "value", buckets)
+    tagged = with_bucket(rows, "value", buckets, cuts)
     hist = tagged.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
     cum = hist.select(*keys, BUCKET, "_n", (F.sum("_n").over(_over(keys, BUCKET)) - F.col("_n")).alias("_before"),
                       F.sum("_n").over(_over(keys)).alias("_total"))
@@ -112,13 +128,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
                .where((F.col("_t.k") >= F.col("_before")) & (F.col("_t.k") < F.col("_before") + F.col("_n")))
                .select(*keys, BUCKET, "_before", "_t.*")
                .groupBy(*keys, BUCKET, "_before", "name", "k").agg(F.sum("weight").alias("weight")))
+    if keys:  # two rows per probability and group; counted before it is broadcast
+        targets = resolve_if_small(targets, MAX_TARGETS)
+        small = lambda df: df
+    else:
+        small = F.broadcast
     spots = targets.groupBy(*keys, BUCKET).agg(F.min("_before").alias("_before"))
-    # Two spots per probability and group.
-    near = tagged.join(F.broadcast(spots), [*keys, BUCKET])
+    if keys:
+        spots = resolve_if_small(spots, MAX_TARGETS)
+    near = tagged.join(small(spots), [*keys, BUCKET])
     inside = _over([*keys, BUCKET], "value")
     ranked = (near.groupBy(*keys, BUCKET, "_before", "value").agg(F.count("*").alias("_n"))
               .withColumn("_end", F.col("_before") + F.sum("_n").over(inside)))
-    hits = (ranked.join(F.broadcast(targets.drop("_before")), [*keys, BUCKET])
+    hits = (ranked.join(small(targets.drop("_before")), [*keys, BUCKET])
             .where((F.col("k") < F.col("_end")) & (F.col("k") >= F.col("_end") - F.col("_n"))))
     picks = [F.sum(F.when(F.col("name") == name, F.col("weight") * F.col("value"))).alias(name) for name in probs]
     return hits.groupBy(*keys).agg(*picks)

@@ -57,12 +57,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in reliable storage; survives the loss of any executor."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def resolve_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Evaluate a table that should be small, once, and mark it for broadcast.
 

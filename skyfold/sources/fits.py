@@ -3,18 +3,19 @@
     register_fits(spark)
     spark.read.format("fits_table").load("file:///catalog.fits")
 
-The header is read once for the schema. Each task seeks to its own rows, so files of any size are read in parallel
-without passing through the driver. Files must lie on storage every executor mounts.
+The path is a file or a folder of files with the same columns. Headers are read once for the schema; each task
+seeks to its own rows, so files of any size are read in parallel without passing through the driver. Paths may be
+local (a folder every executor mounts) or any address Arrow's file systems know.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -59,6 +60,24 @@ class TableLayout:
         return T.StructType(fields)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def table_files(path: str) -> list[str]:
+    """The file itself, or all ``.fits`` files in the folder."""
+    fs, local = file_system(path)
+    info = fs.get_file_info(local)
+    if info.type != pafs.FileType.Directory:
+        return [path]
+    found = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(local)) if f.base_name.endswith(".fits"))
+    if not found:
+        raise ValueError(f"{path} holds no .fits file")
+    return [f"{path.rstrip('/')}/{name}" for name in found]
+
+
 def _cards(handle) -> dict[str, str] | None:
     """One header unit as keyword to value text."""
     cards = {}
@@ -85,14 +104,15 @@ def _data_bytes(cards: dict[str, str]) -> int:
 
 def read_layout(path: str) -> TableLayout:
     """Layout of the first binary table in the file."""
-    with open(path, "rb") as handle:
+    fs, local = file_system(path)
+    with fs.open_input_file(local) as handle:
         while True:
             cards = _cards(handle)
             if cards is None:
                 raise ValueError(f"{path} holds no binary table")
             if cards.get("XTENSION") == "BINTABLE":
                 break
-            handle.seek(-(-_data_bytes(cards) // BLOCK) * BLOCK, os.SEEK_CUR)
+            handle.seek(handle.tell() + -(-_data_bytes(cards) // BLOCK) * BLOCK)
         columns, nulls = [], {}
         for i in range(1, int(cards["TFIELDS"]) + 1):
             repeat, letter = re.match(r"(\d*)([A-Z])", cards[f"TFORM{i}"]).groups()
@@ -106,12 +126,10 @@ def read_layout(path: str) -> TableLayout:
         return TableLayout(handle.tell(), int(cards["NAXIS1"]), int(cards["NAXIS2"]), columns, nulls)
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
-
-
 @dataclass
 class RowRange(InputPartition):
+    path: str
+    layout: TableLayout
     start: int
     stop: int
 
@@ -134,23 +152,28 @@ def _column(raw: np.ndarray, letter: str, null: int | None, kind: pa.DataType) -
 class FitsReader(DataSourceReader):
     def __init__(self, path: str, schema: T.StructType, rows_per_partition: int):
         self.path, self.schema, self.step = path, schema, rows_per_partition
-        self.layout = read_layout(path)
 
     def partitions(self):
-        n = self.layout.rows
-        return [RowRange(i, min(i + self.step, n)) for i in range(0, n, self.step)] or [RowRange(0, 0)]
+        out = []
+        for path in table_files(self.path):
+            layout = read_layout(path)
+            out += [RowRange(path, layout, i, min(i + self.step, layout.rows)) for i in range(0, layout.rows, self.step)]
+        return out or [RowRange("", None, 0, 0)]
 
     def read(self, partition: RowRange):
         from pyspark.sql.pandas.types import to_arrow_schema
-        target, layout = to_arrow_schema(self.schema), self.layout
+        left = partition.stop - partition.start
+        if not left:
+            return
+        target, layout = to_arrow_schema(self.schema), partition.layout
         dtype, letters = layout.dtype(), {n: c for n, c, _ in layout.columns}
-        with open(self.path, "rb") as handle:
+        fs, local = file_system(partition.path)
+        with fs.open_input_file(local) as handle:
             handle.seek(layout.offset + partition.start * layout.width)
-            left = partition.stop - partition.start
             while left > 0:
                 rows = np.frombuffer(handle.read(min(left, BATCH) * layout.width), dtype)
                 if not len(rows):
-                    raise OSError(f"{self.path} ends early")
+                    raise OSError(f"{partition.path} ends early")
                 left -= len(rows)
                 arrays = [_column(rows[f.name], letters[f.name], layout.nulls.get(f.name), f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
@@ -163,14 +186,11 @@ class FitsTable(DataSource):
     def name(cls) -> str:
         return "fits_table"
 
-    def _path(self) -> str:
-        return _local(self.options["path"])
-
     def schema(self) -> T.StructType:
-        return read_layout(self._path()).schema()
+        return read_layout(table_files(self.options["path"])[0]).schema()
 
     def reader(self, schema: T.StructType) -> FitsReader:
-        return FitsReader(self._path(), schema, int(self.options.get("rows_per_partition", ROWS_PER_PARTITION)))
+        return FitsReader(self.options["path"], schema, int(self.options.get("rows_per_partition", ROWS_PER_PARTITION)))
 
 
 def register_fits(spark: SparkSession) -> None:

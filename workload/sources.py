@@ -67,3 +67,40 @@ def _(t):
     path = artifacts.save_model(t.spark, model, scratch_path(t.spark, "models"), "rf_demo", {"features": FEATURES})
     loaded, meta = artifacts.load_model(t.spark, path)
     return forests.predict(loaded, colours(t)).select("source_id", "prediction", F.lit(",".join(meta["features"])).alias("features"))
+
+
+def _fits_bytes(pdf):
+    """A minimal file with one binary table: a long, two doubles and a string of 16 bytes."""
+    import numpy as np
+    rows = np.zeros(len(pdf), dtype=[("source_id", ">i8"), ("g", ">f8"), ("teff_gaia", ">f8"), ("model_type", "S16")])
+    for name in rows.dtype.names:
+        rows[name] = pdf[name].str.encode("ascii") if name == "model_type" else pdf[name]
+    def unit(cards):
+        text = "".join(f"{k:<8}= {v:>20}".ljust(80) for k, v in cards) + "END".ljust(80)
+        return text.ljust(-(-len(text) // 2880) * 2880).encode()
+    table = [("XTENSION", "'BINTABLE'"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", rows.itemsize), ("NAXIS2", len(rows)),
+             ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 4)]
+    for i, (name, form) in enumerate(zip(rows.dtype.names, ("K", "D", "D", "16A")), 1):
+        table += [(f"TTYPE{i}", f"'{name}'"), (f"TFORM{i}", f"'{form}'")]
+    data = rows.tobytes()
+    return unit([("SIMPLE", "T"), ("BITPIX", 8), ("NAXIS", 0)]) + unit(table) + data.ljust(-(-len(data) // 2880) * 2880, b"\0")
+
+
+@query("s4_fits_scan", "SELECT source_id, g, teff_gaia, model_type FROM v_catalog")
+def _(t):
+    from skyfold.sources import fits
+    path = scratch_path(t.spark, "fits")
+
+    def write(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+        pdf = pd.concat(list(batches))  # one scan partition
+        fs, local = fits.file_system(path)
+        fs.create_dir(local)
+        name = f"{local}/part-{TaskContext.get().partitionId():06d}.fits"  # a task that runs twice writes one file
+        with fs.open_output_stream(name) as out:
+            out.write(_fits_bytes(pdf))
+        yield pd.DataFrame({"rows": [len(pdf)]})
+
+    t.catalog.select("source_id", "g", "teff_gaia", "model_type").mapInPandas(write, "rows long").agg(F.sum("rows")).first()
+    return fits.read_fits(t.spark, path)
