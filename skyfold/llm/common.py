@@ -77,3 +77,26 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 # Bases of the two independent rolling hashes.
 FIRST_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+
+
+def running_totals(steps: Column, block: int = 64) -> Column:
+    """Cumulative sums of an integer array.
+
+    Sums go over blocks first, so an array of n values costs about n * (block + n / block) and not n * n additions.
+    """
+    total = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
+    part = lambda k: F.floor(k / block).cast("int")
+
+    def with_sums(s):
+        sums = F.transform(F.sequence(F.lit(0), part(F.size(s) - 1)), lambda b: total(F.slice(s, b * block + 1, block)))
+        return F.struct(s.alias("s"), sums.alias("sums"))
+
+    def with_starts(p):
+        return F.struct(p["s"].alias("s"), F.transform(p["sums"], lambda x, b: total(F.slice(p["sums"], 1, b))).alias("starts"))
+
+    def ends(p):
+        return F.transform(p["s"], lambda x, k: F.get(p["starts"], part(k)) + total(F.slice(p["s"], part(k) * block + 1, k % block + 1)))
+
+    # One-element arrays name values, so that each is computed once.
+    named = F.transform(F.transform(F.transform(F.array(steps), with_sums), with_starts), ends)
+    return F.when(F.size(steps) > 0, named[0]).otherwise(F.array().cast("array<int>"))

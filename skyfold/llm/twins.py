@@ -1,6 +1,8 @@
 """SQL twins of the numbered operators, for DuckDB over the same tables."""
 
+from skyfold.llm.chat import BEGIN, END, ESCAPES, SEPARATOR
 from skyfold.llm.quality import BOILERPLATE, NAVIGATION, SENTENCE, SEPARATOR, SYMBOLS
+from skyfold.llm.secret_scan import BASE, RULES
 
 W = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,7 +16,75 @@ SELECT doc_id, n, line,
   len(regexp_split_to_array(line, '{SEPARATOR}')) AS segments
 FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents)"""
 
+
+
+def _spans(order, rule) -> str:
+    regex = rule.regex.replace("'", "''")
+    size = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    return f"""
+SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, ({size.format('s[1:k]')} + {size.format('m[1:k - 1]')})::BIGINT AS a,
+  ({size.format('s[1:k]')} + {size.format('m[1:k]')})::BIGINT AS b, length(g[k]) AS n
+FROM (SELECT doc_id, regexp_extract_all(t, '{regex}', 0) AS m, regexp_extract_all(t, '{regex}', {rule.group}) AS g,
+        regexp_split_to_array(t, '{regex}') AS s, unnest(range(1, len(regexp_extract_all(t, '{regex}', 0)) + 1)) AS k
+      FROM d WHERE regexp_matches(t, '{regex}'))
+WHERE length(g[k]) >= {rule.least}"""
+
+
+def _escape(column: str) -> str:
+    for old, new in ESCAPES:
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
+LISTED = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord)"
+
 TWINS = {
+    "op1_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {W.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (g) WHERE doc_id > m),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+runs AS (SELECT doc_id, count(*) AS n_intervals FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM cov) GROUP BY doc_id, r),
+turns AS (SELECT doc_id, count(*) AS n_intervals FROM runs GROUP BY doc_id),
+flat AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT flat.doc_id, count(*) AS n_words, count(cov.p) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY flat.p) FILTER (cov.p IS NULL), '') AS rest
+  FROM flat LEFT JOIN cov ON flat.doc_id = cov.doc_id AND flat.p = cov.p GROUP BY flat.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256, coalesce(n_intervals, 0) AS n_intervals
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN turns USING (doc_id)""",
+    "op3_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < holder THEN holder END AS refers_to
+FROM p LEFT JOIN h USING (payload_digest)""",
+    "op7_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_spans(i, r) for i, r in enumerate(RULES))}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  {LISTED} FILTER (ord < {len(BASE)}) AS base, {LISTED} AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)""",
+    "op9_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM t),
+n AS (SELECT *, length({_escape('text')}) + CASE WHEN prev = role THEN {len(SEPARATOR)} ELSE {len(BEGIN) + len(END) + 1} + length({_escape('role')}) END AS chars FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM n GROUP BY conv_id""",
+    "op10_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {W.format(ASCII_LOWER.format('text'))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT sides.b, reach.root FROM reach JOIN sides ON reach.node = sides.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(root) FROM reach WHERE node = d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)""",
     "op4_line_dedup": """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 w AS (SELECT doc_id, i, lines[i] AS a, lines[i + 1] AS b, lines[i + 2] AS c
