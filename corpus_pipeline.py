@@ -10,37 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from skyfold.llm.common import table
+from skyfold.llm.common import free_name, table
 from skyfold.llm.queries import tokenizer_files
 from skyfold.session import stored
 
 
 def _with_text(df: DataFrame, columns: list[str], text) -> DataFrame:
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines and documents that the rules reject go."""
-    return _with_text(quality.assess(docs).filter("quality.kept"), docs.columns, F.col("quality.clean_text"))
+    name = free_name(docs, "quality")
+    return _with_text(quality.assess(docs, output=name).filter(f"{name}.kept"), docs.columns, F.col(f"{name}.clean_text"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of three-line windows go, and documents that consist of nothing else."""
-    out = line_dedup.remove_repeats(docs).filter("line_dedup.n_removed < line_dedup.n_lines")
-    return _with_text(out, docs.columns, F.col("line_dedup.kept_text"))
+    name = free_name(docs, "line_dedup")
+    out = line_dedup.remove_repeats(docs, output=name).filter(f"{name}.n_removed < {name}.n_lines")
+    return _with_text(out, docs.columns, F.col(f"{name}.kept_text"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays; equal rows count once."""
     gone = ngram_join.join_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside benchmark windows go; documents of which they are more than half go whole."""
-    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _with_text(out.filter("2 * decontam.n_hit <= decontam.n_words"), docs.columns, F.col("decontam.clean_text"))
+    name = free_name(docs, "decontam")
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), output=name)
+    return _with_text(out.filter(f"2 * {name}.n_hit <= {name}.n_words"), docs.columns, F.col(f"{name}.clean_text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import FIRST_BASE, Rolling, mixed, text_bytes
+from skyfold.llm.common import FIRST_BASE, Rolling, mixed, text_bytes, without
 
 # Bytes of words (digits, lower-case letters, everything beyond ASCII); upper-case letters count as
 # their lower-case ones, all other bytes separate.
@@ -101,9 +101,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     A window is ``size`` consecutive words of an item; an item of fewer words is one window. A null or blank text has
     no words, is never hit and stays as it is; items without words have no windows. An item without id hits words but
     is not listed. Repeated items and rows change nothing. ``clean_text`` is the text without hit words.
+    Other columns pass unchanged; an earlier column named ``output`` is replaced.
     """
-    if output in docs.columns:
-        raise ValueError(f"the table already has a column {output}")
+    docs = without(docs, output)
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")).filter("text is not null").distinct()
     blocks = 1 + text_bytes(items) // block_bytes
     schema = T.StructType([*docs.schema.fields, T.StructField(output, FOUND)])

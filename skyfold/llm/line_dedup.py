@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import NOT_SPACE
+from skyfold.llm.common import NOT_SPACE, without
 
 
 def windows(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
@@ -27,16 +27,16 @@ def windows(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return found.filter("x.full").select("x.h1", "x.h2", "id", "row", "x.i")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """``docs`` with a struct ``line_dedup``: n_lines, n_removed, kept_text.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3,
+                   output: str = "line_dedup") -> DataFrame:
+    """``docs`` with a struct ``output``: n_lines, n_removed, kept_text; an earlier column of that name is replaced.
 
     Order is (doc_id, place in the text), null ids first; of equal windows the first stays and the lines of every
     later one go, unless no line of the window has a word. Windows are judged on the input. Texts with fewer lines
     than a window, and null texts, are unchanged. Rows equal in id and text count as one document: they get the same
     result. Rows with equal ids and other texts are ordered by a hash of the text. Extra columns pass unchanged.
     """
-    if "line_dedup" in docs.columns:
-        raise ValueError("the table already has a column line_dedup")
+    docs = without(docs, output)
     found = windows(docs, doc_id, text, size)
     place = F.struct("id", "row", "i")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -53,4 +53,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept = F.array_join(F.transform(rest, lambda i: F.get(F.col("lines"), i)), "\n")
     result = F.struct(F.size("lines").cast("long").alias("n_lines"), F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"),
                       F.when(F.col("covered").isNull(), F.col("t")).otherwise(kept).alias("kept_text"))
-    return joined.select("own", result.alias("line_dedup")).select("own.*", "line_dedup")
+    return joined.select("own", result.alias(output)).select("own.*", output)

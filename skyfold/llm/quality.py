@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import NOT_SPACE, SPACE, words
+from skyfold.llm.common import NOT_SPACE, SPACE, without, words
 
 # Symbols that are counted, signs that end or structure a sentence, separators and words of navigation
 # bars, phrases of page furniture.
@@ -73,10 +73,9 @@ def assess(docs: DataFrame, text: str = "text", max_lost: float = 0.5, output: s
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_text, n_lines,
     n_lines_removed, lost (share of word characters in removed lines). ``kept`` is false where the base rules fail or
     more than ``max_lost`` of the word characters went. Null and empty texts have no words and fail; any other column
-    may hold anything, also one named like a field; only ``output`` itself must be a new name.
+    may hold anything, also one named like a field; an earlier column named ``output`` is replaced.
     """
-    if output in docs.columns:
-        raise ValueError(f"the table already has a column {output}")
+    docs = without(docs, output)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     step = docs.select(own.alias("own"), t.alias("t"))
@@ -99,4 +98,5 @@ def assess(docs: DataFrame, text: str = "text", max_lost: float = 0.5, output: s
             .withColumn("lost", F.when(F.col("word_chars") > 0, 1 - left / F.col("word_chars")).otherwise(0.0))
             .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
             .withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost)))
-    return step.select("own.*", F.struct(*FIELDS).alias(output))
+    # A generator keeps a later filter on the verdict above all this; pushed down, it would repeat every expression.
+    return step.select("own", F.explode_outer(F.array(F.struct(*FIELDS))).alias(output)).select("own.*", output)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import running_totals
+from skyfold.llm.common import running_totals, without
 
 
 @dataclass(frozen=True)
@@ -129,10 +129,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: lis
     """``docs`` with ``output``: an array of (start, order, end, kind), by start and then in the order of ``rules``.
 
     Matches are leftmost and do not overlap within a kind; places are code points, ends exclusive. Null and empty texts
-    have none. Rows equal in id and text share their postings. Extra columns pass unchanged.
+    have none. Rows equal in id and text share their postings. Extra columns pass unchanged,
+    an earlier column named ``output`` is replaced.
     """
-    if output in docs.columns:
-        raise ValueError(f"the table already has a column {output}")
+    docs = without(docs, output)
     queries = {r.kind: q for r in rules if all(q := trigram_query(r.regex))}
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("row"),
                       F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
