@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +20,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def without(docs: DataFrame, output: str) -> DataFrame:
+    """The table without an earlier column of the name that an operator is about to add."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != output.lower()])
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of a text column over all rows: one scan with a partial sum."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
@@ -30,21 +41,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
-            self[word] = value
-        return value
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
-
-
 class Rolling:
     """Rabin-Karp hashes of all windows of a sequence, modulo 2^64 with an odd base, then mixed."""
 
@@ -52,7 +48,7 @@ class Rolling:
         self.base, self.powers, self.inverse = np.uint64(base | 1), np.ones(1, np.uint64), np.ones(1, np.uint64)
         self.base_inverse = np.uint64(pow(base | 1, -1, 1 << 64))
 
-    def _reach(self, n: int) -> None:
+    def reach(self, n: int) -> None:
         if len(self.powers) < n:
             size = max(n, 2 * len(self.powers))
             self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, self.base))])
@@ -62,7 +58,7 @@ class Rolling:
         count = len(values) - size + 1
         if count <= 0:
             return np.empty(0, np.uint64)
-        self._reach(len(values) + 1)
+        self.reach(len(values) + 1)
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.powers[: len(values)], out=sums[1:])
         return mixed((sums[size:] - sums[:count]) * self.inverse[:count])
@@ -75,8 +71,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-# Bases of the two independent rolling hashes.
-FIRST_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+# Bases of the independent rolling hashes.
+FIRST_BASE, SECOND_BASE, BYTE_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xA0761D6478BD642F
+# Which bytes belong to words: all but the blank and 0x09-0x0D.
+IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)], np.int8)
+
+
+class ByteWords:
+    """64-bit hashes of the words of a text, from running sums over its bytes; no word is cut out."""
+
+    LONG = 4 << 20
+
+    def __init__(self):
+        self.rolling = Rolling(BYTE_BASE)
+
+    def of(self, data: bytes) -> np.ndarray:
+        if len(data) > self.LONG:  # bounds the arrays; a part ends where a word does
+            half = data[:self.LONG].rpartition(b" ")[0]
+            if half:
+                return np.concatenate([self.of(half), self.of(data[len(half):])])
+        codes = np.frombuffer(data, np.uint8)
+        edges = np.flatnonzero(np.diff(IN_WORD[codes], prepend=np.int8(0), append=np.int8(0)))
+        starts, ends = edges[::2], edges[1::2]
+        self.rolling.reach(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * self.rolling.powers[:len(codes)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.rolling.inverse[starts])
 
 
 def running_totals(steps: Column, block: int = 64) -> Column:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import FIRST_BASE, SECOND_BASE, Rolling, WordHashes, shuffle_partitions, text_bytes
+from skyfold.llm.common import FIRST_BASE, SECOND_BASE, ByteWords, Rolling, shuffle_partitions, text_bytes
 
 BLOCK_BYTES = 8 << 20
 ENTRIES = 2_000_000
@@ -32,13 +32,13 @@ class Block:
     def __init__(self, table: pa.Table, size: int, buckets: int):
         order = pa.compute.sort_indices(table.select(["id", "text"]), [("id", "ascending"), ("text", "ascending")])
         self.table, self.size = table.take(order), size
-        hashes, first, second = WordHashes(), Rolling(FIRST_BASE), Rolling(SECOND_BASE)
+        hashes, first, second = ByteWords(), Rolling(FIRST_BASE), Rolling(SECOND_BASE)
         ids, known = self.table.column("id"), self.table.column("id").is_valid().to_pylist()
         self.words, windows, places = [], [], []
         for text, ok in zip(self.table.column("text"), known):
-            found = (text.as_py() or "").encode().split()
-            self.words.append(len(found))
-            values = hashes.of(found if ok else [])  # a document without id neither removes nor loses anything
+            values = hashes.of((text.as_py() or "").encode())
+            self.words.append(len(values))
+            values = values if ok else values[:0]  # a document without id neither removes nor loses anything
             windows.append(first.windows(values, size))
             places.append(((second.windows(values, size) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32))
         self.counts = np.array([len(w) for w in windows])
