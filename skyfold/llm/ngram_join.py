@@ -6,88 +6,140 @@
    a prefix shingle, so the prefix divides the join; copies and common shingles are already met within each batch.
 3. Each text is compared with one leader per prefix shingle. Most links of large groups of near copies follow from
    these comparisons, as many as there are texts and not their square.
-4. Prefix shingles whose texts are still apart are joined in R-trees: a node keeps the largest count of each group and
-   the range of sizes below it, and the summed minima of its counts and a text's bound the overlap with anything below.
-5. Every surviving pair is verified on the whole sets before it links.
+   Where many texts of a shingle stay apart, each is compared with a few more leaders.
+4. Prefix shingles whose texts are still apart are joined in R-trees (of shingles with the same texts, one is): a node
+   keeps the largest count of each group and the range of sizes below it, and the summed minima of its counts and a
+   text's bound the overlap with anything below.
+5. Every pair that the bound leaves is verified on the whole sets before it links.
 
 Pairs inside a component that other links have already joined need no check of their own; components do not change.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import FIRST_BASE, Rolling, WordHashes, mixed
+from skyfold.llm.common import FIRST_BASE, ByteWords, Rolling, mixed, shuffle_partitions
 from skyfold.llm.components import components
 from skyfold.session import stored
 
-GROUPS = 64
+GROUPS = 256
 SKETCH_BITS = 22
+FILTER_BITS = 24
 SLICES = 64
 BLOCK = 1000
+LEADERS = 4
+CHANCE = 25
+ROWS_PER_TASK = 20_000
 
 
 class Shingles:
     """Sorted distinct shingle hashes of a text; a text of fewer words is one shingle."""
 
     def __init__(self, size: int):
-        self.size, self.words, self.rolling = size, WordHashes(), Rolling(FIRST_BASE)
+        self.size, self.words, self.rolling = size, ByteWords(), Rolling(FIRST_BASE)
 
     def of(self, text: str | None) -> np.ndarray:
-        found = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII space separates
-        if not found:
-            return np.empty(0, np.uint64)
-        n = min(self.size, len(found))
-        return np.unique(self.rolling.windows(self.words.of(found), n) ^ mixed(np.full(1, n, np.uint64)))
+        values = self.words.of((text or "").encode().lower())  # of bytes: only A-Z change
+        if not len(values):
+            return values
+        n = min(self.size, len(values))
+        return np.unique(self.rolling.windows(values, n) ^ mixed(np.full(1, n, np.uint64)))
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Counts of all shingles by hash; its size does not depend on the corpus."""
-    cells, width = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SLICES
+def _cells(rows: DataFrame, hashes: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], bits: int, kind=np.int64) -> np.ndarray:
+    """How many of the 64-bit hashes of all rows fall in each of 2^bits cells, or for bytes as ``kind`` whether any does.
+
+    The size does not depend on the rows.
+    """
+    cells, width, marks = 1 << bits, (1 << bits) // SLICES, kind == np.uint8
 
     def count(batches):
-        shingles, counts = Shingles(size), np.zeros(cells, np.int64)
+        of, counts = hashes(), np.zeros(cells, kind)
         for batch in batches:
-            sets = [shingles.of(x.as_py()) for x in batch.column(0)]
-            if sets:
-                counts += np.bincount((np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+            at = (of(batch) & np.uint64(cells - 1)).astype(np.int64)
+            if marks:
+                counts[at] = 1
+            else:
+                counts += np.bincount(at, minlength=cells)
         pack = zstandard.ZstdCompressor(1)
         parts = [pack.compress(counts[i * width:(i + 1) * width].tobytes()) for i in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in table.column("counts"))
-        return pa.table({"slice": table.column("slice")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros(cells, np.int64)
-    for r in rows:
-        out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
+        total = np.zeros(width, kind)
+        for x in table.column("counts"):
+            part = np.frombuffer(zstandard.decompress(x.as_py()), kind)
+            total = total | part if marks else total + part
+        return pa.table({"slice": table.column("slice")[:1].cast(pa.int32()), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+
+    found = rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
+    out = np.zeros(cells, kind)
+    for r in found:
+        out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(zstandard.decompress(r["counts"]), kind)
     return out
 
 
-SETS = "id {}, n long, d1 long, d2 long, counts array<int>, keys array<long>, links array<struct<key:long,leader:{}>>"
+def _sketch(docs: DataFrame, size: int) -> np.ndarray:
+    def hashes():
+        shingles = Shingles(size)
+        return lambda batch: np.concatenate([np.empty(0, np.uint64), *(shingles.of(x.as_py()) for x in batch.column(0))])
+    return _cells(docs.select("text"), hashes, SKETCH_BITS)
+
+
+def _among(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id some pair may name: a filter of fixed size that loses none and keeps few others."""
+    named = pairs.select(F.explode(F.array("u", "v")).alias("id")).select(F.xxhash64("id").alias("h"))
+    marks = _cells(named, lambda: lambda batch: batch.column(0).to_numpy().view(np.uint64), FILTER_BITS, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def keep(batches):
+        marked = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            at = (batch.column(2).to_numpy().view(np.uint64) & np.uint64(len(marked) - 1)).astype(np.int64)
+            yield batch.select([0, 1]).filter(pa.array(marked[at]))
+
+    return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(keep, docs.select("id", "text").schema)
+
+
+def point(shingles: np.ndarray) -> tuple[bytes, int]:
+    """Counts by group as bytes, and the number they are multiplied by (rounded up, so that bounds hold)."""
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    scale = 1
+    while counts.max() > 255 * scale:
+        scale *= 2
+    return (-(-counts // scale)).astype(np.uint8).tobytes(), scale
+
+
+def points_of(counts: pa.Array, scale: pa.Array) -> np.ndarray:
+    packed = np.frombuffer(b"".join(counts.to_pylist()), np.uint8).reshape(-1, GROUPS)
+    return packed * scale.to_numpy(zero_copy_only=False).astype(np.int32)[:, None]
+
+
+SETS = "id {0}, n long, d1 long, d2 long, counts binary, scale int, keys array<long>, links array<struct<key:long,leader:{0}>>"
 
 
 def _sets(docs: DataFrame, kind: str, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
     """One row per text; a shingle that several texts of a batch have in their prefix is a link to the first of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.uint32).max).astype(np.uint32))
     common = 2 * int(sketch.mean()) + 8
 
     def make(batches):
         counts_of, shingles = shared.value, Shingles(size)
         for batch in batches:
             ids = batch.column(0)
-            n, d1, d2, points, keys, sizes = [], [], [], [], [], []
+            n, d1, d2, points, scales, keys, sizes = [], [], [], [], [], [], []
             seen = set()
             valid = ids.is_valid().to_pylist()
             for i, value in enumerate(batch.column(1)):
@@ -96,7 +148,8 @@ def _sets(docs: DataFrame, kind: str, sketch: np.ndarray, size: int, percent: in
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 a, b = np.frombuffer(digest, "<i8").tolist()
                 d1.append(a), d2.append(b)
-                points.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS))
+                packed, scale = point(s)
+                points.append(packed), scales.append(scale)
                 if not valid[i] or not len(s) or digest in seen:  # a copy within the batch has a leader: its equal
                     keys.append(s[:0]), sizes.append(0)
                     continue
@@ -116,22 +169,18 @@ def _sets(docs: DataFrame, kind: str, sketch: np.ndarray, size: int, percent: in
             links = pa.StructArray.from_arrays([pa.array(key[~own]), ids.take(pa.array(leader[~own]))], names=["key", "leader"])
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * GROUPS, pa.int32()), pa.array(np.concatenate(points), pa.int32())),
+                pa.array(points, pa.binary()), pa.array(scales, pa.int32()),
                 pa.ListArray.from_arrays(offsets(own), pa.array(key[own])), pa.ListArray.from_arrays(offsets(~own), links)],
-                names=["id", "n", "d1", "d2", "counts", "keys", "links"])
-
-    return docs.mapInArrow(make, SETS.format(kind, kind))
+                names=["id", "n", "d1", "d2", "counts", "scale", "keys", "links"])
 
-
-def overlap_bound(a: Column, b: Column) -> Column:
-    """Summed coordinate minima of two points: at least the overlap of the sets."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x).cast("long")
+    return docs.mapInArrow(make, SETS.format(kind))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (u, v), those whose sets are similar enough."""
-    left = docs.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
-    right = docs.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
+    named = _among(docs, pairs)
+    left = named.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
+    right = named.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
 
     def check(batches):
@@ -189,33 +238,40 @@ class Tree:
             yield asked[q], rows[r]
 
 
-def _tree_pairs(members: DataFrame, kind: str, percent: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, points: DataFrame, kind: str, percent: int) -> DataFrame:
     """Pairs of different labels that share a key and pass the bounds of the R-tree.
 
-    ``members``: (key, id, label, n, counts). A key of more than ``BLOCK`` texts is dealt into blocks, and each pair of
-    blocks is a group of its own.
+    ``members``: (key, id, label). A key of more than ``BLOCK`` texts is
+    dealt into blocks, and each pair of blocks is joined on its own; many small keys share a task.
     """
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    keys = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    tasks = max(shuffle_partitions(members.sparkSession), members.count() // ROWS_PER_TASK)
+    dealt = (dealt.select("key", "id", "label", "block", "lo", "hi").join(points.select("id", "n", "counts", "scale"), "id")
+             .withColumn("task", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(tasks))))
 
     def join(table: pa.Table) -> pa.Table:
-        ids, labels = table.column("id").combine_chunks(), table.column("label").to_numpy(zero_copy_only=False)
-        sizes, block = table.column("n").to_numpy(), table.column("block").to_numpy()
-        points = np.array(table.column("counts").to_pylist(), np.int64)
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        mine, theirs = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        table = table.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending")]).combine_chunks()
+        column = lambda name: table.column(name).combine_chunks()
+        ids, sizes, block = column("id"), column("n").to_numpy(), column("block").to_numpy()
+        points, labels = points_of(column("counts"), column("scale")), column("label").to_numpy(zero_copy_only=False)
+        key, lo, hi = column("key").to_numpy(), column("lo").to_numpy(), column("hi").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(mine) and len(theirs):
+        for start, end in zip(starts, [*starts[1:], len(key)]):
+            rows = np.arange(start, end)
+            mine, theirs = rows[block[rows] == lo[start]], rows[block[rows] == hi[start]]
+            if not len(mine) or not len(theirs):
+                continue
             for q, r in Tree(points[mine], sizes[mine]).candidates(points[theirs], sizes[theirs], percent):
                 a, b = theirs[q], mine[r]
-                keep = (labels[a] != labels[b]) & ((a < b) | (lo != hi))
+                keep = (labels[a] != labels[b]) & ((a < b) | (lo[start] != hi[start]))
                 us.append(a[keep]), vs.append(b[keep])
-        a, b = np.concatenate(us), np.concatenate(vs)
-        return pa.table({"u": ids.take(pa.array(a)), "v": ids.take(pa.array(b))})
+        return pa.table({"u": ids.take(pa.array(np.concatenate(us))), "v": ids.take(pa.array(np.concatenate(vs)))})
 
-    found = dealt.select("key", "id", "label", "n", "counts", "block", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(join, f"u {kind}, v {kind}")
+    found = dealt.groupBy("task").applyInArrow(join, f"u {kind}, v {kind}")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
 
@@ -229,43 +285,81 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     sets = stored(_sets(source, kind, _sketch(source, size), size, percent), "sets")
-    points = sets.filter("n > 0 and id is not null").select("id", "n", "d1", "d2", "counts")
+    points = sets.filter("n > 0 and id is not null").select("id", "n", "d1", "d2", "counts", "scale")
 
     # Copies: every text to the least id with its digest.
     classes = points.groupBy("d1", "d2").agg(F.min("id").alias("v"), F.count("*").alias("copies")).filter("copies > 1")
     same = points.join(classes.drop("copies"), ["d1", "d2"]).filter("id <> v").select(F.col("id").alias("u"), "v")
 
-    # Leaders: a key has at most one row per batch by now.
+    # Leaders: a key has at most one row per batch by now. Texts that share only one of many prefix shingles with a
+    # leader are left to the trees; most meet there by chance.
     by_key = Window.partitionBy("key")
-    keyed = sets.select("id", F.explode("keys").alias("key"))
-    keyed = keyed.select("key", "id", F.min("id").over(by_key).alias("leader"), F.max("id").over(by_key).alias("last"))
-    across = keyed.filter("leader < last").select("key", "id", "leader")
-    within = sets.select("id", F.explode("links").alias("x")).select("x.key", "id", "x.leader")
+    keyed = sets.select("id", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    keyed = keyed.select("key", "id", "n", F.min("id").over(by_key).alias("leader"), F.max("id").over(by_key).alias("last"))
+    across = keyed.filter("leader < last").select("key", "id", "n", "leader")
+    within = sets.select("id", F.col("n").cast("int").alias("n"), F.explode("links").alias("x")).select("x.key", "id", "n", "x.leader")
     links = stored(across.union(within), "links")
-    pairs = _bounded(links.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), points, percent)
+    shared = links.filter("id <> leader").groupBy(F.col("id").alias("u"), F.col("leader").alias("v")).agg(F.count("*").alias("keys"), F.first("n").alias("n"))
+    pairs = _bounded(shared.filter((F.col("keys") > 1) | (F.col("n") <= CHANCE)).select("u", "v"), points, percent)
     edges = stored(same.union(_verified(pairs, source, size, percent)), "links")
     found = components(edges)
 
-    # Keys whose texts are still apart.
-    label = lambda c, name: (F.col(f"{name}.node") == F.col(c))
-    named = (links.join(found.alias("a"), label("id", "a"), "left").join(found.alias("b"), label("leader", "b"), "left")
-             .select("key", "id", "leader", F.coalesce("a.component", "id").alias("label"), F.coalesce("b.component", "leader").alias("other")))
-    open_keys = named.filter("label <> other").select("key").distinct()
-    all_of = named.select("key", "id", "label").union(named.select("key", F.col("leader").alias("id"), F.col("other").alias("label")))
-    members = all_of.join(open_keys, "key", "left_semi").distinct().join(points.select("id", "n", "counts"), "id")
-    rest = _tree_pairs(members, kind, percent).join(pairs, ["u", "v"], "left_anti")
-    more = stored(_verified(rest, source, size, percent), "links")
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    # Keys whose texts are still apart: large ones try more leaders, then all that is left goes through the trees.
+    every = stored(_different(links), "members")
+    members = stored(_apart(every, found), "members")
+    again = _bounded(_more_leaders(members).join(pairs, ["u", "v"], "left_anti"), points, percent)
+    found = _joined(found, stored(_verified(again, source, size, percent), "links"))
+    members = stored(_apart(members.select("key", "id"), found), "members")
+    rest = _tree_pairs(members, points, kind, percent).join(pairs.union(again), ["u", "v"], "left_anti")
+    found = _joined(found, stored(_verified(stored(rest, "pairs"), source, size, percent), "links"))
     return sets.join(found, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _different(links: DataFrame) -> DataFrame:
+    """(key, id): the texts of each key; of keys with the same texts one stays."""
+    every = links.select("key", "id").union(links.select("key", F.col("leader").alias("id")))
+    every = every.repartition(shuffle_partitions(links.sparkSession), "key").dropDuplicates(["key", "id"])
+    marks = F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2")
+    chosen = every.groupBy("key").agg(F.count("*").alias("texts"), *marks).groupBy("texts", "s1", "s2").agg(F.min("key").alias("key"))
+    return every.join(chosen.select("key"), "key", "left_semi")
+
+
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, label): members (key, id) of the keys whose texts are in several components, with those."""
+    of = found.select(F.col("node").alias("id"), F.col("component").alias("label"))
+    named = members.join(of, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    several = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
+    return named.join(several, "key", "left_semi")
+
+
+def _more_leaders(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the texts of large keys with ``LEADERS`` texts of their key in other components."""
+    picks = [F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("h"), F.col("id").alias("leader"), F.col("label").alias("other"))) for j in range(LEADERS)]
+    chosen = members.groupBy("key").agg(F.count("*").alias("texts"), F.array(*picks).alias("picks")).filter(F.col("texts") > 2 * LEADERS)
+    chosen = chosen.select("key", F.explode("picks").alias("p")).select("key", "p.leader", "p.other").distinct()
+    pairs = members.join(chosen, "key").filter("label <> other")
+    return pairs.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).distinct()
+
+
+def _joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) after more edges."""
+    if edges.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges))
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs of different sets that the sizes and the summed minima allow."""
-    side = lambda name, at: points.select(F.col("id").alias(at), F.struct("n", "d1", "d2", "counts").alias(name))
-    both = pairs.join(side("a", "u"), "u").join(side("b", "v"), "v")
-    apart = (F.col("a.d1") != F.col("b.d1")) | (F.col("a.d2") != F.col("b.d2"))
-    bound = overlap_bound(F.col("a.counts"), F.col("b.counts"))
-    enough = (100 + percent) * bound >= percent * (F.col("a.n") + F.col("b.n"))
-    return stored(both.filter(apart & enough).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    side = lambda name, at: points.select(F.col("id").alias(at), *[F.col(c).alias(c + name) for c in ("n", "counts", "scale", "d1", "d2")])
+    both = pairs.join(side("_u", "u"), "u").join(side("_v", "v"), "v").filter("d1_u <> d1_v or d2_u <> d2_v")
+    both = both.filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)").select("u", "v", "n_u", "n_v", "counts_u", "counts_v", "scale_u", "scale_v")
+
+    def check(batches):
+        for batch in batches:
+            n_u, n_v = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            bound = np.minimum(points_of(batch.column(4), batch.column(6)), points_of(batch.column(5), batch.column(7))).sum(1)
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * bound >= percent * (n_u + n_v)))
+
+    kept = both.mapInArrow(check, pairs.select("u", "v").schema)
+    return stored(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
