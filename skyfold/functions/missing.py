@@ -25,8 +25,8 @@ def is_sentinel(c: Column, sentinel: float = SENTINEL) -> Column:
 
 
 def present(c: Column, sentinel: float = SENTINEL) -> Column:
-    """Neither NULL nor the sentinel (exact comparison, so that Parquet can skip row groups)."""
-    return c.isNotNull() & (c != F.lit(sentinel))
+    """Neither NULL, the sentinel nor NaN (exact comparisons first, so that Parquet can skip row groups)."""
+    return c.isNotNull() & (c != F.lit(sentinel)) & ~F.isnan(c)
 
 
 def finite(c: Column) -> Column:

@@ -21,12 +21,30 @@ def duplicate_detections(df: DataFrame, key: str = DETECTION_KEY) -> DataFrame:
     return df.join(repeated, key, "left_semi")
 
 
+def one_per_source(df: DataFrame, bands: Sequence[str] = BANDS, key: str = DETECTION_KEY, sentinel: float = SENTINEL) -> DataFrame:
+    """Magnitudes and errors with one row per id from one scan and one partial aggregate.
+
+    Single detections keep their stored values bit for bit (the least of one value is the value); repeated ones are
+    merged as in ``merge_detections``.
+    """
+    aggs, merged = _merged(bands, sentinel)
+    names = [f"{b}PSFMag{s}" for b in bands for s in ("", "Err")]
+    grouped = df.groupBy(key).agg(F.count("*").alias("_rows"), *aggs, *[F.min(n).alias(f"_own_{n}") for n in names])
+    return grouped.select(key, *[F.when(F.col("_rows") == 1, F.col(f"_own_{n}")).otherwise(merged[n]).alias(n) for n in names])
+
+
 def merge_detections(df: DataFrame, bands: Sequence[str] = BANDS, key: str = DETECTION_KEY,
                      sentinel: float = SENTINEL) -> DataFrame:
     """One row per id: inverse-variance mean and error per band over the detections that have the band.
 
     Without any usable error the plain mean is taken, without any detection the sentinel.
     """
+    aggs, made = _merged(bands, sentinel)
+    return df.groupBy(key).agg(*aggs).select(key, *[c.alias(n) for n, c in made.items()])
+
+
+def _merged(bands: Sequence[str], sentinel: float) -> tuple[list, dict]:
+    """Sums over the detections of an id, and the merged columns made from them."""
     aggs, made = [], {}
     for b in bands:
         mag, err = F.col(f"{b}PSFMag"), F.col(f"{b}PSFMagErr")
@@ -38,5 +56,4 @@ def merge_detections(df: DataFrame, bands: Sequence[str] = BANDS, key: str = DET
         mean = F.try_divide(F.col(f"_{b}_mw"), F.col(f"_{b}_w"))
         made[f"{b}PSFMag"] = F.coalesce(mean, F.col(f"_{b}_m"), F.lit(sentinel))
         made[f"{b}PSFMagErr"] = F.coalesce(F.lit(1.0) / F.sqrt(F.col(f"_{b}_w")), F.lit(sentinel))
-    grouped = df.groupBy(key).agg(*aggs)
-    return grouped.select(key, *[c.alias(n) for n, c in made.items()])
+    return aggs, made

@@ -71,9 +71,11 @@ def apply_rules(df: DataFrame, rules: Mapping[str, object]) -> DataFrame:
 
 
 def require_features(df: DataFrame, features: Sequence[str], sentinel: float = SENTINEL) -> DataFrame:
-    """Rows in which every model feature the table stores is present."""
+    """Rows in which every model feature the table stores is present and, for floating-point columns, finite."""
     stored = [f for f in features if f in df.columns]
-    return df.where(reduce(and_, (present(F.col(f), sentinel) for f in stored))) if stored else df
+    tests = [present(F.col(f), sentinel) for f in stored]
+    tests += [finite(F.col(f)) for f in stored if df.schema[f].dataType.typeName() in ("double", "float")]
+    return df.where(reduce(and_, tests)) if tests else df
 
 
 def any_color(df: DataFrame, sentinel: float = SENTINEL) -> DataFrame:

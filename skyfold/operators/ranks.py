@@ -14,15 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions.missing import finite
-from skyfold.session import resolve_if_small
 
 BUCKET = "_bucket"
-MAX_TARGETS = 100_000
+ROWS_PER_BUCKET = 1_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
-    """The session's shuffle width says how large its data is; four buckets per shuffle task, at most 4096."""
-    return min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Four buckets per shuffle task, and more where a bucket would hold over a million rows (counted)."""
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS_PER_BUCKET)
 
 
 def cut_points(df: DataFrame, values: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
@@ -128,14 +127,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
                .where((F.col("_t.k") >= F.col("_before")) & (F.col("_t.k") < F.col("_before") + F.col("_n")))
                .select(*keys, BUCKET, "_before", "_t.*")
                .groupBy(*keys, BUCKET, "_before", "name", "k").agg(F.sum("weight").alias("weight")))
-    if keys:  # two rows per probability and group; counted before it is broadcast
-        targets = resolve_if_small(targets, MAX_TARGETS)
+    if keys:  # two rows per probability and group: how to join them is left to adaptive execution
         small = lambda df: df
     else:
         small = F.broadcast
     spots = targets.groupBy(*keys, BUCKET).agg(F.min("_before").alias("_before"))
-    if keys:
-        spots = resolve_if_small(spots, MAX_TARGETS)
     near = tagged.join(small(spots), [*keys, BUCKET])
     inside = _over([*keys, BUCKET], "value")
     ranked = (near.groupBy(*keys, BUCKET, "_before", "value").agg(F.count("*").alias("_n"))

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from skyfold.constants import CORRECTION_THRESHOLD
 from skyfold.functions.binning import quantile_bin
 from skyfold.operators.ranks import quantile_edges
-from skyfold.session import resolve_if_small
 
 log = logging.getLogger(__name__)
 
-# Hex digits of the counted prefix: 65536 prefixes per stratum.
-PREFIX = 4
-MAX_BROADCAST_STRATA = 100_000
+ROWS_PER_PREFIX = 10_000
+
+
+def prefix_digits(rows: int) -> int:
+    """Hex digits of the counted key prefix: about ``ROWS_PER_PREFIX`` rows share one, however many rows there are."""
+    return max(4, math.ceil(math.log(max(rows, 1) / ROWS_PER_PREFIX, 16)))
 
 
 def sample_key(key: str | Column, seed: int) -> Column:
@@ -36,14 +38,13 @@ def key_cutoffs(df: DataFrame, strata: Sequence[str], wanted: Column) -> DataFra
     ``df`` has the strata columns and ``_key``; ``wanted`` is an expression over the stratum's row count ``_n``.
     Strata that want no row are absent from the result. Rows with equal keys stay on one side of the cut.
     """
-    keyed = df.withColumn("_prefix", F.substring("_key", 1, PREFIX))
+    keyed = df.withColumn("_prefix", F.substring("_key", 1, prefix_digits(df.count())))
     group, inside = Window.partitionBy(*strata), Window.partitionBy(*strata).orderBy("_prefix")
     hist = keyed.groupBy(*strata, "_prefix").agg(F.count("*").alias("_c"))
     cum = (hist.withColumns({"_n": F.sum("_c").over(group), "_end": F.sum("_c").over(inside)})
            .withColumn("_want", wanted.cast("long")))
     spots = (cum.where((F.col("_want") > F.col("_end") - F.col("_c")) & (F.col("_want") <= F.col("_end")))
              .select(*strata, "_prefix", (F.col("_want") - F.col("_end") + F.col("_c")).alias("_rest")))
-    spots = resolve_if_small(spots, MAX_BROADCAST_STRATA)
     near = keyed.join(spots, [*strata, "_prefix"]).groupBy(*strata, "_prefix", "_rest", "_key").agg(
         F.count("*").alias("_c"))
     order = Window.partitionBy(*strata, "_prefix").orderBy("_key")
@@ -62,7 +63,6 @@ def _first_by_key(df: DataFrame, key: str, seed: int, strata: Sequence[str], wan
         row = cuts.first()
         first = F.lit(False) if row is None else F.col("_key") <= F.lit(row["_cut"])
         return keyed.withColumn("_first", first).drop("_key")
-    cuts = resolve_if_small(cuts, MAX_BROADCAST_STRATA)
     return (keyed.join(cuts, names, "left")
             .withColumn("_first", F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))).drop("_key", "_cut"))
 

@@ -72,7 +72,7 @@ def mean_crps(model, rows: DataFrame, target: str, components: int = 5, max_iter
 def search(train: DataFrame, features: Sequence[str], target: str, *, key: str = "source_id", n_trials: int = 50,
            space: Mapping[str, Sequence] | None = None, objective: str = "mae", overfit_penalty: float = 0.0,
            patience: int | None = None, timeout: float | None = None, max_samples: int | None = None,
-           strata: Sequence[str] = (), weight: str | None = None, components: int = 5, crps_subsample: int = 5000,
+           strata: Sequence[str] = (), weight: str | None = None, components: int = 5, crps_subsample: int | None = None,
            parallelism: int = 4, seed: int = 42) -> tuple[dict, DataFrame]:
     """Random search on an inner 80/20 split. Returns the best parameters and the trial table.
 
@@ -89,8 +89,10 @@ def search(train: DataFrame, features: Sequence[str], target: str, *, key: str =
     fit_rows = inner.where("split = 'train'")
     sides = {}
     if objective == "crps":
-        sides = {s: fixed_size_sample(inner.where(F.col("split") == s), crps_subsample, key, seed).persist()
-                 for s in (("train", "test") if overfit_penalty else ("test",))}
+        wanted = ("train", "test") if overfit_penalty else ("test",)
+        sides = {s: inner.where(F.col("split") == s) for s in wanted}
+        if crps_subsample:  # opt-in: by default every row is scored
+            sides = {s: fixed_size_sample(df, crps_subsample, key, seed).persist() for s, df in sides.items()}
 
     def run(number: int, params: dict) -> tuple:
         start = time.monotonic()

@@ -8,15 +8,22 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.functions.columns import inverse_target, linear_uncertainty, with_gaia_colors
+from skyfold.functions.columns import add_expressions, inverse_target, linear_uncertainty, with_gaia_colors
 from skyfold.operators import filters, forests
 from skyfold.operators.clustering import Clustering
 from skyfold.operators.encoding import CategoryEncoder
+from skyfold.plans.train import engineered
 from skyfold.sources.tables import prediction_table
 
 
 def apply_preparation(df: DataFrame, metadata: Mapping) -> DataFrame:
-    """Saved encoder and clustering, on the features they were fitted on."""
+    """The saved recipe: expressions, engineered features, encoder and clustering, as in training.
+
+    Rows without a value in a feature that the model needs go before the encoder and the clustering.
+    """
+    recipe = metadata.get("recipe", {})
+    df = engineered(add_expressions(df, recipe.get("expressions", {})), recipe)
+    df = filters.require_features(df, metadata["features"])
     if metadata.get("encoder"):
         df = CategoryEncoder.from_dict(metadata["encoder"]).transform(df, drop=False)
     if metadata.get("clustering"):
@@ -30,7 +37,7 @@ def predict_catalog(df: DataFrame, model: PipelineModel, metadata: Mapping, *, r
     """Predictions with tree-spread uncertainty in linear units. Every step is row-local: no shuffle."""
     kind = metadata.get("target_transform", "none")
     rows = filters.apply_rules(with_gaia_colors(df), rules or {})
-    rows = apply_preparation(filters.require_features(rows, metadata["features"]), metadata)
+    rows = apply_preparation(rows, metadata)
     if fast_trees:
         scored = forests.fast_tree_spread(model, rows, fast_trees, uncertainty="_sigma")
     else:

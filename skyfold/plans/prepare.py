@@ -8,20 +8,13 @@ from pyspark.sql import DataFrame
 
 from skyfold.constants import BANDS, DETECTION_KEY
 from skyfold.functions.columns import with_color_temperatures, with_survey_colors
-from skyfold.operators.detections import duplicate_detections, merge_detections
+from skyfold.operators.detections import one_per_source
 from skyfold.operators.filters import any_color
-from skyfold.operators.joins import deduplicated_union
 
 
 def prepare_photometry(detections: DataFrame, bands: Sequence[str] = BANDS, key: str = DETECTION_KEY,
                        temperatures: bool = True) -> DataFrame:
-    """Clean photometry with one row per source.
-
-    Grouping by id alone would give the same ids; the duplicates are merged apart so that single detections keep
-    their stored magnitudes and errors bit for bit.
-    """
+    """Clean photometry with one row per source: one scan, one shuffle."""
     columns = [key, *[f"{b}PSFMag{s}" for b in bands for s in ("", "Err")]]
-    rows = detections.select(*columns)
-    merged = merge_detections(duplicate_detections(rows, key), bands, key).select(*columns)
-    out = with_survey_colors(any_color(deduplicated_union(rows, merged, key)))
+    out = with_survey_colors(any_color(one_per_source(detections.select(*columns), bands, key)))
     return with_color_temperatures(out) if temperatures else out

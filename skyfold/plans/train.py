@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.functions.columns import add_expressions, correct_poly_smooth, inverse_target, transform_target
+from skyfold.functions.columns import add_expressions, correct_poly_smooth, inverse_target, linear_uncertainty, transform_target
 from skyfold.functions.features import engineer_all_features
 from skyfold.functions.missing import nullify_sentinel
 from skyfold.functions.mixture import with_mixture_scores
@@ -27,28 +27,43 @@ def prepare_training(df: DataFrame, config: Mapping) -> tuple[DataFrame, list[st
         df = df.withColumn(f"{target}_corrected", correct_poly_smooth(F.col(target), config["correction"]))
         target = f"{target}_corrected"
     df = filters.range_filters(df, {c: r for c, r in ranges.items() if c not in stored_ranges})
-    engineering = config.get("feature_engineering", {})
-    if not engineering.get("enabled"):
-        df = add_expressions(df, config.get("expressions", {}))
+    recipe = feature_recipe(config)
+    df = add_expressions(df, recipe["expressions"])
     df = filters.valid_target(filters.drop_missing(df, [target, *features]), target)
-    if engineering.get("enabled"):
-        switches = {k: v for k, v in engineering.items() if k.startswith("include_")}
-        before = set(df.columns)
-        df = engineer_all_features(df, engineering["colors"], engineering.get("mags", ()), **switches)
-        features += [c for c in df.columns if c not in before]
+    before = set(df.columns)
+    df = engineered(df, recipe)
+    features += [c for c in df.columns if c not in before]
     kind = config.get("target_transform", "none")
     return df.withColumn("_y", transform_target(F.col(target), kind)), features, target
 
 
+def feature_recipe(config: Mapping) -> dict:
+    """What turns stored columns into features, as plain values that a model's metadata keeps."""
+    engineering = dict(config.get("feature_engineering", {}))
+    on = bool(engineering.pop("enabled", False))
+    return {"expressions": {} if on else dict(config.get("expressions", {})), "engineering": engineering if on else None}
+
+
+def engineered(df: DataFrame, recipe: Mapping) -> DataFrame:
+    """Engineered features of a recipe, after its expressions."""
+    e = recipe.get("engineering")
+    if not e:
+        return df
+    return engineer_all_features(df, e["colors"], e.get("mags", ()), **{k: v for k, v in e.items() if k.startswith("include_")})
+
+
 def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
     """Fit and evaluate; returns model, metadata, metrics and the scored test rows.
 
     Keys of ``config``: target, features, correction, filters, expressions, feature_engineering, target_transform,
-    encode, clustering, split, sample_weight, model, tuning, mixture.
+    encode, clustering, split, sample_weight, backend ("forest" or "boosting"), model, tuning (with method "random" or
+    "halving"), mixture. The metadata holds all that scoring new rows needs, the correction and the metrics. Rows whose
+    features or target are infinite cannot be fitted; their number is in the metadata as ``rows_not_finite``.
     """
     rows, features, target = prepare_training(df, config)
     # Strata, split, encoder and clustering each read the rows again: keep the prepared table.
     rows = stored(rows, "prepared")
+    prepared = rows.count()
     for name in ["_y", *features]:  # a logarithm at its pole has no place in a feature vector
         if rows.schema[name].dataType.typeName() == "double":
             rows = filters.finite_target(rows, name)
@@ -59,7 +74,9 @@ def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
     else:
         rows = sampling.split(rows, key, how.get("test_size", 0.2), how.get("seed", 42))
     is_train = F.col("split") == "train"
-    metadata = {"target": target, "target_transform": config.get("target_transform", "none")}
+    metadata = {"target": target, "target_transform": config.get("target_transform", "none"), "recipe": feature_recipe(config),
+                "correction": list(config.get("correction", ())), "filters": {c: list(r) for c, r in config.get("filters", {}).items()},
+                "rows_not_finite": prepared - rows.count()}
 
     if config.get("encode"):
         enc = encoding.fit_encoder(rows.where(is_train), config["encode"], config.get("encoding", "onehot"))
@@ -78,12 +95,24 @@ def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
     train, test = rows.where(is_train), rows.where(~is_train)
     params = dict(config.get("model", {}))
     if config.get("tuning"):
-        params.update(tuning.search(train, features, "_y", key=key, weight=weight, **config["tuning"])[0])
-    model = forests.fit_forest(train, features, "_y", weight=weight, **params)
-    metadata.update(features=features, hyperparameters=params)
-
-    metrics = evaluate(model, rows, target, metadata["target_transform"])
-    scored = score_test(model, test, target, metadata["target_transform"], config.get("mixture", {"k": 5}))
+        options = dict(config["tuning"])
+        if options.pop("method", "random") == "halving":
+            params.update(tuning.halving_search(train, features, "_y", **options)[0])
+        else:
+            params.update(tuning.search(train, features, "_y", key=key, weight=weight, **options)[0])
+    backend = config.get("backend", "forest")
+    fit = {"forest": forests.fit_forest, "boosting": forests.fit_boosting}[backend]
+    model = fit(train, features, "_y", weight=weight, **params)
+    metadata.update(features=features, hyperparameters=params, backend=backend)
+
+    metrics = stored(evaluate(model, rows, target, metadata["target_transform"]), "metrics")
+    metadata["metrics"] = {r["split"]: {k: v for k, v in r.asDict().items() if k != "split"} for r in metrics.collect()}  # two rows
+    kind = metadata["target_transform"]
+    if backend == "forest":
+        scored = score_test(model, test, target, kind, config.get("mixture", {"k": 5}))
+    else:  # boosted trees are no sample of predictions, so they have no spread
+        scored = forests.predict(model, test).withColumn("prediction", inverse_target(F.col("prediction"), kind))
+    scored = stored(scored, "test_scores")  # several reports read them
     return {"model": model, "metadata": metadata, "metrics": metrics, "test": scored, "rows": rows}
 
 
@@ -95,9 +124,10 @@ def evaluate(model: PipelineModel, rows: DataFrame, target: str, kind: str) -> D
 
 def score_test(model: PipelineModel, test: DataFrame, target: str, kind: str, mixture: Mapping) -> DataFrame:
     """Tree spread, predictive mixture, CRPS and PIT of test rows in linear units; narrow throughout."""
-    trees = forests.linear_tree_predictions(forests.tree_predictions(model, test), kind)
-    spread = trees.withColumn("prediction", inverse_target(F.col("prediction"), kind)).withColumn(
-        "uncertainty", forests.array_std(F.col("tree_preds")))
+    trees = forests.tree_predictions(model, test).withColumn("_sigma", forests.array_std(F.col("tree_preds")))
+    spread = trees.withColumn("prediction", inverse_target(F.col("prediction"), kind))
+    spread = spread.withColumn("uncertainty", linear_uncertainty(F.col("prediction"), F.col("_sigma"), kind)).drop("_sigma")
+    spread = forests.linear_tree_predictions(spread, kind)
     if mixture.get("k_max"):
         fitted = mixture_fit.fit_mixtures_bic(spread, "tree_preds", mixture["k_max"])
     else:

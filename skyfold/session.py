@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(app: str = "skyfold", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,18 +56,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def resolve_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Evaluate a table that should be small, once, and mark it for broadcast.
-
-    At most ``max_rows`` + 1 rows reach the driver. A table with more rows is returned as it was, and Spark
-    chooses how to join it.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write to the scratch folder and read back: for a costly table that several jobs then scan.
 

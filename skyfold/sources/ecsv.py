@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Column types of the format.
@@ -16,14 +17,19 @@ ECSV_TYPES = {
 _NAME = re.compile(r"name:\s*(?:'([^']*)'|\"([^\"]*)\"|([^,}\s]+))")
 _TYPE = re.compile(r"datatype:\s*'?\"?(\w+)")
 _DELIMITER = re.compile(r"delimiter:\s*['\"]?([^'\"\s])")
-MAX_HEADER_LINES = 100_000
+_COMMENT = "^#( |$)"  # header lines; a data cell that starts so would have to be quoted
 
 
 def read_header(spark: SparkSession, path: str) -> tuple[T.StructType, str]:
-    """Schema and delimiter from the comment lines, which open the file."""
-    lines = spark.read.text(path).limit(MAX_HEADER_LINES).where("value like '#%'")
-    fields, delimiter = [], " "
-    for row in lines.toLocalIterator():
+    """Schema and delimiter from the comment lines that open the first file, however many; the driver sees no others."""
+    first = min(spark.read.text(path).inputFiles())
+    numbered = spark.read.text(first).select("value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    opening = numbered.where((F.col("start") == 0) & F.col("value").rlike(_COMMENT))
+    fields, delimiter, expected = [], " ", None
+    for row in opening.toLocalIterator():
+        if expected is not None and row["n"] != expected:
+            break  # a data line stands between: the header is over
+        expected = row["n"] + 1
         text = row["value"]
         found = _DELIMITER.search(text)
         if found:
@@ -37,12 +43,16 @@ def read_header(spark: SparkSession, path: str) -> tuple[T.StructType, str]:
 
 
 def read_ecsv(spark: SparkSession, path: str) -> DataFrame:
-    """The table with the header's types; empty cells and NaN are NULL."""
+    """The table of a file, or of a folder of files with one header each; empty cells and NaN are NULL.
+
+    Header lines and the line of column names are left out in every file. A cell may start with ``#``; it cannot hold a
+    line end.
+    """
     from skyfold.sources.tables import nan_to_null
     schema, delimiter = read_header(spark, path)
-    body = (spark.read.schema(schema).option("sep", delimiter).option("comment", "#").option("header", True)
-            .option("enforceSchema", True).option("nullValue", "").option("nanValue", "nan").csv(path))
-    return nan_to_null(body)
+    lines = spark.read.text(path).where(~F.col("value").rlike(_COMMENT) & (F.col("value") != delimiter.join(schema.names)) & (F.col("value") != ""))
+    options = {"sep": delimiter, "nullValue": "", "nanValue": "nan"}
+    return nan_to_null(lines.select(F.from_csv("value", schema.toDDL(), options).alias("r")).select("r.*"))
 
 
 def ingest_ecsv(spark: SparkSession, path: str, output: str) -> DataFrame:

@@ -165,6 +165,32 @@ def test_signature_and_cache(spark, rows, tmp_path):
     assert (hit, second) == (False, True) and first == again
 
 
+@pytest.mark.parametrize("how", ["expressions", "engineering"])
+def test_prediction_replays_the_recipe(rows, how):
+    config = {"target": "teff", "features": FEATURES, "target_transform": "log10", "model": {"n_estimators": 6, "max_depth": 5}, "mixture": {"k": 2}}
+    if how == "expressions":
+        config |= {"features": [*FEATURES, "mix"], "expressions": {"mix": "a + 2 * b"}}
+    else:
+        config |= {"feature_engineering": {"enabled": True, "colors": FEATURES}}
+    out = train_plan.train_model(rows, config)
+    assert out["metadata"]["recipe"]["engineering" if how == "engineering" else "expressions"] and set(out["metadata"]["metrics"]) == {"train", "test"}
+    new = rows.withColumn("a", F.when(F.col("source_id") == 5, F.lit(float("nan"))).otherwise(F.col("a")))
+    table = predict_plan.predict_catalog(new, out["model"], out["metadata"], target_name="teff")
+    assert table.where("source_id = 5").count() == 0 and table.count() > 0.9 * rows.count()
+    # Test scores and later predictions agree in value and spread.
+    both = out["test"].select("source_id", "prediction", "uncertainty").join(table, "source_id")
+    worst = both.select(F.max(F.abs(F.col("prediction") - F.col("teff_predicted"))), F.max(F.abs(F.col("uncertainty") - F.col("teff_uncertainty"))), F.count("*")).first()
+    assert worst[0] < 1e-6 and worst[1] < 1e-6 and worst[2] > 100
+
+
+def test_backends_and_search_methods(rows):
+    base = {"target": "teff", "features": FEATURES}
+    out = train_plan.train_model(rows, base | {"backend": "boosting", "model": {"n_estimators": 3, "max_depth": 3}})
+    assert out["metadata"]["backend"] == "boosting" and "uncertainty" not in out["test"].columns and out["test"].count() > 100
+    out = train_plan.train_model(rows, base | {"mixture": {"k": 2}, "tuning": {"method": "halving", "n_candidates": 2, "cv": 2, "space": SPACE}})
+    assert out["metadata"]["hyperparameters"]["max_depth"] in (2, 3, 4)
+
+
 def test_train_predict_validate(spark, rows, tmp_path):
     from skyfold.sources import artifacts
     from skyfold.streaming import score_stream

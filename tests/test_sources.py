@@ -74,6 +74,15 @@ SOURCE_ID logT1 model_type
         ecsv.read_header(spark, str(tmp_path / "plain.csv"))
 
 
+def test_folder_of_ecsv_files(spark, tmp_path):
+    head = "# %ECSV 1.0\n# ---\n# delimiter: ','\n# - {name: id, datatype: int64}\n# - {name: note, datatype: string}\nid,note\n"
+    for k in range(3):
+        (tmp_path / f"{k}.ecsv").write_text(head + f"{k},#{k}\n{k + 10},\n")
+    (tmp_path / "3.ecsv").write_text(head.replace("# ---", "# ---\n# meta: more") + "#9,x\n3,#3\n")
+    got = sorted((r["id"], r["note"]) for r in ecsv.read_ecsv(spark, str(tmp_path)).where("id is not null").collect())
+    assert got == [(0, "#0"), (1, "#1"), (2, "#2"), (3, "#3"), (10, None), (11, None), (12, None)]
+
+
 def test_replace_table_reads_itself(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(10).write.parquet(path)

@@ -153,6 +153,16 @@ def _(t):
                                         target_name="teff", include=["logg_gaia"])
 
 
+@query("plan_recipe_predict", "SELECT source_id, TRUE AS within, TRUE AS spread FROM v_catalog WHERE teff_gaia < 0")
+def _(t):
+    # Engineered features at training, replayed on stored columns at prediction.
+    config = {"target": "teff_gaia", "features": FEATURES, "target_transform": "log10", "model": SMALL, "mixture": {"k": 2},
+              "feature_engineering": {"enabled": True, "colors": FEATURES, "include_log": False, "include_temp_dependent": False}}
+    out = train_plan.train_model(colours(t), config)
+    scored = predict_plan.predict_catalog(colours(t), out["model"], out["metadata"], rules={"teff_gaia_lt": 0.1}, target_name="teff")
+    return scored.select("source_id", F.col("teff_predicted").between(2500, 40000).alias("within"), (F.col("teff_uncertainty") >= 0).alias("spread"))
+
+
 @query("s9_prediction_table")
 def _(t):
     model = forests.fit_forest(rows(t), FEATURES, "teff_gaia", **SMALL)
