@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from skyfold.constants import CORRECTION_THRESHOLD
 from skyfold.functions.binning import quantile_bin
 from skyfold.operators.ranks import quantile_edges
+from skyfold.session import stored
 
 log = logging.getLogger(__name__)
 
@@ -63,6 +64,7 @@ def _first_by_key(df: DataFrame, key: str, seed: int, strata: Sequence[str], wan
         row = cuts.first()
         first = F.lit(False) if row is None else F.col("_key") <= F.lit(row["_cut"])
         return keyed.withColumn("_first", first).drop("_key")
+    cuts = stored(cuts, "cuts")  # one row per stratum, of a size that Spark then knows: broadcast below its threshold
     return (keyed.join(cuts, names, "left")
             .withColumn("_first", F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))).drop("_key", "_cut"))
 
