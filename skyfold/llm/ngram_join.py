@@ -9,7 +9,7 @@
    Where many texts of a shingle stay apart, each is compared with a few more leaders.
 4. Prefix shingles whose texts are still apart are joined in R-trees (of shingles with the same texts, one is): a node
    keeps the largest count of each group and the range of sizes below it, and the summed minima of its counts and a
-   text's bound the overlap with anything below.
+   text's bound the overlap with anything below. A pair is passed on from the least shingle that both texts have there.
 5. Every pair that the bound leaves is verified on the whole sets before it links.
 
 Pairs inside a component that other links have already joined need no check of their own; components do not change.
@@ -36,6 +36,8 @@ FILTER_BITS = 24
 SLICES = 64
 BLOCK = 1000
 LEADERS = 4
+LEADER_KEYS = 3
+CARRIED = 32
 CHANCE = 25
 ROWS_PER_TASK = 20_000
 
@@ -238,18 +240,38 @@ class Tree:
             yield asked[q], rows[r]
 
 
+NO_KEY = np.iinfo(np.int64).max
+
+
+def padded(lists: pa.Array) -> np.ndarray:
+    """One row of ``CARRIED`` keys for each list, filled up with ``NO_KEY``."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(lists), CARRIED), NO_KEY)
+    out[np.arange(CARRIED) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def share_lesser(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """Of each pair of rows: do they share a key below ``key``?"""
+    return ((a[:, :, None] == b[:, None, :]) & (a < key)[:, :, None]).any((1, 2))
+
+
 def _tree_pairs(members: DataFrame, points: DataFrame, kind: str, percent: int) -> DataFrame:
     """Pairs of different labels that share a key and pass the bounds of the R-tree.
 
     ``members``: (key, id, label). A key of more than ``BLOCK`` texts is
     dealt into blocks, and each pair of blocks is joined on its own; many small keys share a task.
+    Each text brings its ``CARRIED`` least keys, and a pair that shares a lesser one of them than the key at hand is
+    left to that. The least key two texts share is never left out, so none is lost; beyond those carried, a pair may come twice.
     """
+    least = members.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED).alias("least"))
+    points = points.select("id", "n", "counts", "scale").join(least, "id")
     keys = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     tasks = max(shuffle_partitions(members.sparkSession), members.count() // ROWS_PER_TASK)
-    dealt = (dealt.select("key", "id", "label", "block", "lo", "hi").join(points.select("id", "n", "counts", "scale"), "id")
+    dealt = (dealt.select("key", "id", "label", "block", "lo", "hi").join(points, "id")
              .withColumn("task", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(tasks))))
 
     def join(table: pa.Table) -> pa.Table:
@@ -258,6 +280,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame, kind: str, percent: int)
         ids, sizes, block = column("id"), column("n").to_numpy(), column("block").to_numpy()
         points, labels = points_of(column("counts"), column("scale")), column("label").to_numpy(zero_copy_only=False)
         key, lo, hi = column("key").to_numpy(), column("lo").to_numpy(), column("hi").to_numpy()
+        carried = padded(column("least"))
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for start, end in zip(starts, [*starts[1:], len(key)]):
@@ -268,7 +291,9 @@ def _tree_pairs(members: DataFrame, points: DataFrame, kind: str, percent: int)
             for q, r in Tree(points[mine], sizes[mine]).candidates(points[theirs], sizes[theirs], percent):
                 a, b = theirs[q], mine[r]
                 keep = (labels[a] != labels[b]) & ((a < b) | (lo[start] != hi[start]))
-                us.append(a[keep]), vs.append(b[keep])
+                a, b = a[keep], b[keep]
+                here = ~share_lesser(carried[a], carried[b], key[start])
+                us.append(a[here]), vs.append(b[here])
         return pa.table({"u": ids.take(pa.array(np.concatenate(us))), "v": ids.take(pa.array(np.concatenate(vs)))})
 
     found = dealt.groupBy("task").applyInArrow(join, f"u {kind}, v {kind}")
@@ -334,12 +359,17 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _more_leaders(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of the texts of large keys with ``LEADERS`` texts of their key in other components."""
+    """Pairs (u, v) of texts with ``LEADERS`` texts in other components, from their ``LEADER_KEYS`` least large keys.
+
+    They only spare the trees work: what they don't join, those meet in any case.
+    """
     picks = [F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("h"), F.col("id").alias("leader"), F.col("label").alias("other"))) for j in range(LEADERS)]
     chosen = members.groupBy("key").agg(F.count("*").alias("texts"), F.array(*picks).alias("picks")).filter(F.col("texts") > 2 * LEADERS)
-    chosen = chosen.select("key", F.explode("picks").alias("p")).select("key", "p.leader", "p.other").distinct()
-    pairs = members.join(chosen, "key").filter("label <> other")
-    return pairs.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).distinct()
+    few = F.flatten(F.slice(F.sort_array(F.collect_list(F.struct("key", "picks"))), 1, LEADER_KEYS)["picks"])
+    tried = members.join(chosen.select("key", "picks"), "key").groupBy("id", "label").agg(F.array_distinct(few).alias("picks"))
+    other = F.filter("picks", lambda p: p["other"] != F.col("label"))
+    pairs = tried.select("id", F.explode(other).alias("p"))
+    return pairs.select(F.greatest("id", "p.leader").alias("u"), F.least("id", "p.leader").alias("v")).distinct()
 
 
 def _joined(found: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,9 +191,10 @@ def test_join(docs, none):
     assert ngram_join.join_components(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_join_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "carried"), [(1000, 32), (7, 32), (1000, 2)])
+def test_join_brute_force(spark, monkeypatch, block, carried):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CARRIED", carried)
     rng, texts = np.random.default_rng(4), []
     passage = " ".join(f"common{i}" for i in range(30))
     for i in range(60):
@@ -232,6 +234,23 @@ def test_tree_finds_what_brute_force_finds():
     assert found == want
 
 
+def test_pairs_come_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), i, i) for i in range(40) for k in rng.choice(60, 30, replace=False) * 1000]
+    members = spark.createDataFrame(rows, "key long, id long, label long").repartition(5)
+    counts = np.full(ngram_join.GROUPS, 9, np.uint8).tobytes()
+    points = spark.createDataFrame([(i, 9 * ngram_join.GROUPS, counts, 1) for i in range(40)], "id long, n long, counts binary, scale int")
+    keys = {i: {k for k, j, _ in rows if j == i} for i in range(40)}
+    want = {(a, b) for a in range(40) for b in range(a) if keys[a] & keys[b]}
+    found = ngram_join._tree_pairs(members, points, "bigint", 80)
+    assert {tuple(r) for r in found.collect()} == want
+    lists = pa.array([sorted(keys[i])[:ngram_join.CARRIED] for i in range(40)], pa.list_(pa.int64()))
+    carried = ngram_join.padded(lists)
+    a, b = np.array(sorted(want)).T
+    met = [sum((~ngram_join.share_lesser(carried[[x]], carried[[y]], k))[0] for k in keys[x] & keys[y]) for x, y in zip(a, b)]
+    assert set(met) == {1}
+
+
 def test_secrets(docs, none):
     rows = by_id(secret_scan.scan(docs, output="s").collect())
     assert sum(map(len, rows.values())) == len(TEXTS)
