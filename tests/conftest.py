@@ -6,8 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from skyfold.session import get_session  # noqa: E402
-
-SF = "/root/testdata/sf0.001"
+from suite_paths import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -11,7 +11,7 @@ from workload.merging import merged
 from workload.standin import QUERIES, ORACLES
 from workload.check import TABLES, compare, connect
 
-from conftest import SF
+from suite_paths import SF
 
 
 def plan(df):
