@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,31 +75,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 # Bases of the independent rolling hashes.
-FIRST_BASE, SECOND_BASE, BYTE_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xA0761D6478BD642F
-# Which bytes belong to words: all but the blank and 0x09-0x0D.
-IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)], np.int8)
+FIRST_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+
+
+def run_seed() -> int:
+    """Seed of the word hashes of one run, so that no text can be written to collide."""
+    return secrets.randbits(63)
 
 
 class ByteWords:
-    """64-bit hashes of the words of a text, from running sums over its bytes; no word is cut out."""
+    """Seeded 64-bit hashes of the words of a text."""
 
     LONG = 4 << 20
 
-    def __init__(self):
-        self.rolling = Rolling(BYTE_BASE)
+    def __init__(self, seed: int):
+        self.seed = seed
 
     def of(self, data: bytes) -> np.ndarray:
-        if len(data) > self.LONG:  # bounds the arrays; a part ends where a word does
+        if len(data) > self.LONG:  # bounds the list of words; a part ends where a word does
             half = data[:self.LONG].rpartition(b" ")[0]
             if half:
                 return np.concatenate([self.of(half), self.of(data[len(half):])])
-        codes = np.frombuffer(data, np.uint8)
-        edges = np.flatnonzero(np.diff(IN_WORD[codes], prepend=np.int8(0), append=np.int8(0)))
-        starts, ends = edges[::2], edges[1::2]
-        self.rolling.reach(len(codes) + 1)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes + np.uint64(1)) * self.rolling.powers[:len(codes)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.rolling.inverse[starts])
+        found, digest, seed = data.split(), xxhash.xxh3_64_intdigest, self.seed  # bytes are split at the blank and 0x09-0x0D
+        return np.fromiter((digest(w, seed) for w in found), np.uint64, len(found))
 
 
 def running_totals(steps: Column, block: int = 64) -> Column:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import FIRST_BASE, ByteWords, Rolling, mixed, shuffle_partitions
+from skyfold.llm.common import FIRST_BASE, ByteWords, Rolling, mixed, run_seed, shuffle_partitions
 from skyfold.llm.components import components
 from skyfold.session import stored
 
@@ -45,8 +45,8 @@ ROWS_PER_TASK = 20_000
 class Shingles:
     """Sorted distinct shingle hashes of a text; a text of fewer words is one shingle."""
 
-    def __init__(self, size: int):
-        self.size, self.words, self.rolling = size, ByteWords(), Rolling(FIRST_BASE)
+    def __init__(self, size: int, seed: int):
+        self.size, self.words, self.rolling = size, ByteWords(seed), Rolling(FIRST_BASE)
 
     def of(self, text: str | None) -> np.ndarray:
         values = self.words.of((text or "").encode().lower())  # of bytes: only A-Z change
@@ -56,6 +56,13 @@ class Shingles:
         return np.unique(self.rolling.windows(values, n) ^ mixed(np.full(1, n, np.uint64)))
 
 
+def exact_shingles(text: str, size: int) -> set:
+    """The shingles of a text themselves."""
+    found = text.encode().lower().split()
+    n = min(size, len(found))
+    return set(zip(*(found[i:len(found) - n + 1 + i] for i in range(n))))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
@@ -93,9 +100,9 @@ def _cells(rows: DataFrame, hashes: Callable[[], Callable[[pa.RecordBatch], np.n
     return out
 
 
-def _sketch(docs: DataFrame, size: int) -> np.ndarray:
+def _sketch(docs: DataFrame, size: int, seed: int) -> np.ndarray:
     def hashes():
-        shingles = Shingles(size)
+        shingles = Shingles(size, seed)
         return lambda batch: np.concatenate([np.empty(0, np.uint64), *(shingles.of(x.as_py()) for x in batch.column(0))])
     return _cells(docs.select("text"), hashes, SKETCH_BITS)
 
@@ -132,13 +139,13 @@ def points_of(counts: pa.Array, scale: pa.Array) -> np.ndarray:
 SETS = "id {0}, n long, d1 long, d2 long, counts binary, scale int, keys array<long>, links array<struct<key:long,leader:{0}>>"
 
 
-def _sets(docs: DataFrame, kind: str, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, kind: str, sketch: np.ndarray, size: int, percent: int, seed: int) -> DataFrame:
     """One row per text; a shingle that several texts of a batch have in their prefix is a link to the first of them."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.uint32).max).astype(np.uint32))
     common = 2 * int(sketch.mean()) + 8
 
     def make(batches):
-        counts_of, shingles = shared.value, Shingles(size)
+        counts_of, shingles = shared.value, Shingles(size, seed)
         for batch in batches:
             ids = batch.column(0)
             n, d1, d2, points, scales, keys, sizes = [], [], [], [], [], [], []
@@ -178,24 +185,31 @@ def _sets(docs: DataFrame, kind: str, sketch: np.ndarray, size: int, percent: in
     return docs.mapInArrow(make, SETS.format(kind))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (u, v), those whose sets are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+    """Of pairs (u, v), those whose sets are similar enough: by hashes first, and those that pass by their words."""
     named = _among(docs, pairs)
     left = named.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
     right = named.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
 
     def check(batches):
-        shingles, last, kept = Shingles(size), None, None
+        shingles, last, kept = Shingles(size, seed), None, None
+
+        def enough(both: int, a: int, b: int) -> bool:
+            return 100 * both >= percent * (a + b - both)
+
+        def by_words(a: str, b: str) -> bool:
+            x, y = exact_shingles(a, size), exact_shingles(b, size)
+            return enough(len(x & y), len(x), len(y))
+
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                b = b.as_py()
+                a, b = a.as_py(), b.as_py()
                 if b != last:
                     last, kept = b, shingles.of(b)
-                x = shingles.of(a.as_py())
-                both = len(np.intersect1d(x, kept, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(kept) - both))
+                x = shingles.of(a)
+                good.append(enough(len(np.intersect1d(x, kept, assume_unique=True)), len(x), len(kept)) and by_words(a, b))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(check, pairs.select("u", "v").schema)
@@ -309,7 +323,8 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = stored(_sets(source, kind, _sketch(source, size), size, percent), "sets")
+    seed = run_seed()
+    sets = stored(_sets(source, kind, _sketch(source, size, seed), size, percent, seed), "sets")
     points = sets.filter("n > 0 and id is not null").select("id", "n", "d1", "d2", "counts", "scale")
 
     # Copies: every text to the least id with its digest.
@@ -326,17 +341,17 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = stored(across.union(within), "links")
     shared = links.filter("id <> leader").groupBy(F.col("id").alias("u"), F.col("leader").alias("v")).agg(F.count("*").alias("keys"), F.first("n").alias("n"))
     pairs = _bounded(shared.filter((F.col("keys") > 1) | (F.col("n") <= CHANCE)).select("u", "v"), points, percent)
-    edges = stored(same.union(_verified(pairs, source, size, percent)), "links")
+    edges = stored(same.union(_verified(pairs, source, size, percent, seed)), "links")
     found = components(edges)
 
     # Keys whose texts are still apart: large ones try more leaders, then all that is left goes through the trees.
     every = stored(_different(links), "members")
     members = stored(_apart(every, found), "members")
     again = _bounded(_more_leaders(members).join(pairs, ["u", "v"], "left_anti"), points, percent)
-    found = _joined(found, stored(_verified(again, source, size, percent), "links"))
+    found = _joined(found, stored(_verified(again, source, size, percent, seed), "links"))
     members = stored(_apart(members.select("key", "id"), found), "members")
     rest = _tree_pairs(members, points, kind, percent).join(pairs.union(again), ["u", "v"], "left_anti")
-    found = _joined(found, stored(_verified(stored(rest, "pairs"), source, size, percent), "links"))
+    found = _joined(found, stored(_verified(stored(rest, "pairs"), source, size, percent, seed), "links"))
     return sets.join(found, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -6,8 +6,8 @@ that has the window in the block. A bucket finds the least id of each hash over
 one bit per entry: does a smaller document have it? The block hashes its texts again (its rows come from the same
 shuffle) and merges the removed windows into maximal intervals of words.
 
-A window that fills a third of the corpus is thus one entry per block. Windows are told apart by 64 bits, and by the
-bucket, which is taken from an independent hash: with n different windows and b buckets, n * n / (b * 2^65) are expected to be
+A window that fills a third of the corpus is thus one entry per block. Words are hashed with a seed drawn for the run, so
+no text can be made to collide. Windows are told apart by 64 bits, and by the bucket, which is taken from an independent hash: with n different windows and b buckets, n * n / (b * 2^65) are expected to be
 taken for another one.
 """
 
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import FIRST_BASE, SECOND_BASE, ByteWords, Rolling, shuffle_partitions, text_bytes
+from skyfold.llm.common import FIRST_BASE, SECOND_BASE, ByteWords, Rolling, run_seed, shuffle_partitions, text_bytes
 
 BLOCK_BYTES = 8 << 20
 ENTRIES = 2_000_000
@@ -29,10 +29,10 @@ ENTRIES = 2_000_000
 class Block:
     """Windows of the documents of one block, in order of (id, text)."""
 
-    def __init__(self, table: pa.Table, size: int, buckets: int):
+    def __init__(self, table: pa.Table, size: int, buckets: int, seed: int):
         order = pa.compute.sort_indices(table.select(["id", "text"]), [("id", "ascending"), ("text", "ascending")])
         self.table, self.size = table.take(order), size
-        hashes, first, second = ByteWords(), Rolling(FIRST_BASE), Rolling(SECOND_BASE)
+        hashes, first, second = ByteWords(seed), Rolling(FIRST_BASE), Rolling(SECOND_BASE)
         ids, known = self.table.column("id"), self.table.column("id").is_valid().to_pylist()
         self.words, windows, places = [], [], []
         for text, ok in zip(self.table.column("text"), known):
@@ -112,15 +112,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.pmod(F.xxhash64(f"`{doc_id}`", f"`{text}`"), F.lit(blocks)).alias("block"), F.col(f"`{doc_id}`").cast("long").alias("id"),
                          F.col(f"`{text}`").alias("text")).repartition(least, "block")
 
+    seed = run_seed()
+
     def send(table: pa.Table) -> pa.Table:
-        rows = [(b, h.tobytes(), _pack_ids(i)) for b, h, i in Block(table, size, buckets).entries()]
+        rows = [(b, h.tobytes(), _pack_ids(i)) for b, h, i in Block(table, size, buckets, seed).entries()]
         return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int64()),
                          "hashes": pa.array([r[1] for r in rows], pa.binary()), "ids": pa.array([r[2] for r in rows], pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = {b: np.unpackbits(np.frombuffer(zstandard.decompress(x.as_py()), np.uint8)).astype(bool)
                    for b, x in zip(right.column("bucket").to_pylist(), right.column("bits"))}
-        block = Block(left, size, buckets)
+        block = Block(left, size, buckets, seed)
         gone, start = block.removed(answers), 0
         removed, n_removed, kept = [], [], []
         for n, count, value in zip(block.words, block.counts, block.table.column("text")):
