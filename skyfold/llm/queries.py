@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.llm import (chat, decontaminate, html_layout, line_dedup, ngram_join, packing, quality, secret_scan, substring, warc)
+from skyfold.llm import (chat, decontaminate, html_layout, line_dedup, ngram_join, packing, quality, secret_scan, sharding, spelling, substring,
+                         warc, whitening)
 from skyfold.llm.common import table
 from skyfold.llm.twins import TWINS
+from skyfold.session import scratch_path
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -88,6 +90,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SHARDS = 8
+
+
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents"), SHARDS, scratch_path(spark, "slot-map"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"),
+                      F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 QUERIES = dict(sorted(QUERIES.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 ORACLES = {name: TWINS[name] for name in QUERIES if name in TWINS}

@@ -1,8 +1,11 @@
 """SQL twins of the numbered operators, for DuckDB over the same tables."""
 
-from skyfold.llm.chat import BEGIN, END, ESCAPES, SEPARATOR
+from skyfold.llm.chat import BEGIN, END, ESCAPES
+from skyfold.llm.chat import SEPARATOR as TURN_SEPARATOR
 from skyfold.llm.quality import BOILERPLATE, NAVIGATION, SENTENCE, SEPARATOR, SYMBOLS
 from skyfold.llm.secret_scan import BASE, RULES
+from skyfold.llm.sharding import SLOTS
+from skyfold.llm.spelling import LETTERS, LOWER, MISPRINT, UPPER
 
 W = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,6 +39,26 @@ def _escape(column: str) -> str:
     return column
 
 
+def _nibble_steps() -> list[int]:
+    """What four zero bits make of each value of four bits in the CRC of Ethernet and zip."""
+    steps = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        steps.append(value)
+    return steps
+
+
+def with_crc32(text: str, source: str, columns: str) -> str:
+    """A select of ``columns`` and ``crc``, the unsigned CRC-32 of an expression's UTF-8 bytes, four bits at a time."""
+    digits = f"list_transform(string_split(hex(encode({text})), ''), lambda c: (strpos('0123456789ABCDEF', c) - 1)::BIGINT)"
+    turned = "list_transform(range(len(digits)), lambda i: digits[xor(i, 1) + 1])"
+    steps = "[" + ", ".join(f"{s}::BIGINT" for s in _nibble_steps()) + "]"
+    return f"""SELECT {columns}, CASE WHEN {text} = '' THEN 0 ELSE
+  xor(list_reduce({turned}, lambda c, x: xor(({steps})[(xor(c, x) & 15) + 1], c >> 4), 4294967295::BIGINT), 4294967295) END AS crc
+  FROM (SELECT *, {digits} AS digits FROM {source})"""
+
+
 LISTED = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord)"
 
 TWINS = {
@@ -70,7 +93,7 @@ FROM d LEFT JOIN g USING (doc_id)""",
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 m AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM t),
-n AS (SELECT *, length({_escape('text')}) + CASE WHEN prev = role THEN {len(SEPARATOR)} ELSE {len(BEGIN) + len(END) + 1} + length({_escape('role')}) END AS chars FROM m)
+n AS (SELECT *, length({_escape('text')}) + CASE WHEN prev = role THEN {len(TURN_SEPARATOR)} ELSE {len(BEGIN) + len(END) + 1} + length({_escape('role')}) END AS chars FROM m)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
@@ -131,4 +154,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
     AND CASE WHEN word_chars > 0 THEN 1 - rest::DOUBLE / word_chars ELSE 0 END <= 0.5 AS kept
 FROM m""",
+    "op11_spelling_variants": f"""
+WITH RECURSIVE runs AS (SELECT id, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS c
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[{LETTERS}]{{6,}}')) AS run FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
+hashed AS ({with_crc32("id || ':' || run", "runs", "run, c")}),
+printed AS (SELECT CASE WHEN crc % {MISPRINT} = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM printed WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+one AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN cut b ON a.word = b.rest
+  UNION SELECT b.word, a.word, a.n FROM words a JOIN cut b ON a.word = b.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM one GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM words UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON walk.root = formed.word WHERE formed.form IS NOT NULL),
+ends AS (SELECT walk.word, root FROM walk JOIN formed ON walk.root = formed.word WHERE formed.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)""",
+    "op12_virtual_slots": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+    ('0x' || md5(coalesce(doc_id::VARCHAR, text, ''))[1:8])::BIGINT % {SLOTS} AS virtual_slot FROM documents),
+r AS ({with_crc32("t", "d", "doc_id, size, virtual_slot")}),
+b AS (SELECT virtual_slot, sum(size)::BIGINT AS bytes FROM r GROUP BY virtual_slot),
+o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS k FROM b),
+dealt AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS loads, -1::BIGINT AS virtual_slot, -1 AS shard
+  UNION ALL SELECT o.k, list_transform(loads, lambda x, i: x + CASE WHEN i = p THEN bytes ELSE 0 END), o.virtual_slot, p - 1
+  FROM (SELECT k, loads, list_position(loads, list_min(loads)) AS p FROM dealt) x JOIN o ON o.k = x.k + 1)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id NULLS FIRST, size, crc) - 1 AS slot, NULL::INTEGER AS grown_shard, virtual_slot::INTEGER AS virtual_slot
+FROM r JOIN (SELECT virtual_slot, shard FROM dealt) USING (virtual_slot)""",
 }
