@@ -1,8 +1,9 @@
 """Benchmark decontamination: windows of benchmark words as a broadcast hash set, scanned over every text.
 
-No shuffle: each task looks its own documents up. The set is broadcast in blocks of bounded size: a benchmark of more
-than ``block_bytes`` of text is split by a hash of its items and each block is scanned in turn, the hits of earlier
-blocks being carried along. A hash hit is verified word by word before it counts.
+No shuffle: each task looks its own documents up. The windows of a block of items are sorted arrays of hashes and places
+in the items' words, about five bytes for each byte of text, made once on the driver and broadcast. A benchmark of more
+than ``block_bytes`` of text is split by a hash of its items; each block is then a pass of its own over the documents,
+written in between, so a worker holds one block at a time. A hash hit is verified word by word before it counts.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import FIRST_BASE, Rolling, mixed, text_bytes, without
+from skyfold.llm.common import FIRST_BASE, ByteWords, Rolling, run_seed, text_bytes, without
+from skyfold.session import stored
 
 # Bytes of words (digits, lower-case letters, everything beyond ASCII); upper-case letters count as
 # their lower-case ones, all other bytes separate.
@@ -33,46 +36,59 @@ def normal_words(text: str) -> list[bytes]:
 
 
 class Windows:
-    """Hash sets of the windows of one block of items, with what verifies them."""
+    """Windows of one block of items: sorted hashes, and where in the items' words each begins."""
 
-    def __init__(self, items: list[tuple[str | None, str]], size: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.exact: dict[int, dict[tuple[int, ...], set[str]]] = {}
+    def __init__(self, items: list[tuple[str | None, str]], size: int, seed: int):
+        self.seed = seed
+        words, rolling = ByteWords(seed), Rolling(FIRST_BASE)
+        texts, counts, self.names, found = [], [], [], {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in normal_words(text)]
-            n = min(size, len(ids))
+            joined = b" ".join(normal_words(text))
+            hashes = words.of(joined)
+            n = min(size, len(hashes))
             if n:
-                of = self.exact.setdefault(n, {})
-                for i in range(len(ids) - n + 1):
-                    of.setdefault(tuple(ids[i:i + n]), set()).update([] if item is None else [item])
-        self.hashes = {}
-        rolling = Rolling(FIRST_BASE)
-        for n, of in self.exact.items():
-            keys = np.array(list(of), np.uint64).reshape(len(of), n)
-            self.hashes[n] = np.unique([rolling.windows(mixed(k), n)[0] for k in keys])
+                found.setdefault(n, []).append((sum(counts[-1:]), rolling.windows(hashes, n)))
+                texts.append(joined), self.names.append(item), counts.append(sum(counts[-1:]) + len(hashes))
+        self.first = np.array([0, *counts], np.int64)  # number of each item's first word
+        self.text = b" ".join(texts)
+        breaks = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32)
+        self.starts, self.ends = np.concatenate([[0], breaks + 1]).astype(np.int32), np.concatenate([breaks, [len(self.text)]]).astype(np.int32)
+        self.tables = {}
+        for n, parts in found.items():
+            hashes = np.concatenate([h for _, h in parts])
+            places = np.concatenate([np.arange(first, first + len(h), dtype=np.int32) for first, h in parts])
+            order = np.argsort(hashes, kind="stable")
+            marks = np.zeros(1 << max(10, int(4 * len(hashes)).bit_length()), bool)
+            marks[(hashes & np.uint64(len(marks) - 1)).astype(np.int64)] = True
+            self.tables[n] = hashes[order], places[order], np.packbits(marks)
+        self.seen: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+
+    def items_of(self, n: int, at: int) -> dict[bytes, set[str]]:
+        """Windows (their words) of one hash, beginning at entry ``at``, with the items that have them; kept once asked for."""
+        if (n, at) not in self.seen:
+            hashes, places, _ = self.tables[n]
+            out: dict[bytes, set[str]] = {}
+            for place in places[at:np.searchsorted(hashes, hashes[at], "right")].tolist():
+                name = self.names[np.searchsorted(self.first, place, "right") - 1]
+                out.setdefault(self.text[self.starts[place]:self.ends[place + n - 1]], set()).update([] if name is None else [name])
+            self.seen[n, at] = out
+        return self.seen[n, at]
 
     def find(self, found: list[bytes], rolling: Rolling) -> tuple[np.ndarray | None, set[str]]:
         """Which words are hit (None: none) and which items occur."""
-        ids = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
+        digest, seed = xxhash.xxh3_64_intdigest, self.seed
+        values = np.fromiter((digest(w, seed) for w in found), np.uint64, len(found))
         hit, items = None, set()
-        values = None
-        for n, hashes in self.hashes.items():
-            if len(ids) < n:
-                continue
-            inside = known[n:] - known[:-n] == n
-            if not inside.any():
-                continue
-            if values is None:
-                values = mixed(ids.astype(np.uint64))
-            at = np.flatnonzero(inside)
-            h = rolling.windows(values, n)[at]
-            near = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
-            for i in at[near]:
-                names = self.exact[n].get(tuple(ids[i:i + n].tolist()))
+        for n, (hashes, _, marks) in self.tables.items():
+            h = rolling.windows(values, n)
+            bit = (h & np.uint64(8 * len(marks) - 1)).astype(np.int64)
+            near = np.flatnonzero((marks[bit >> 3] >> (7 - (bit & 7))) & 1)
+            entry = np.minimum(np.searchsorted(hashes, h[near]), len(hashes) - 1)
+            for i, at in zip(near[hashes[entry] == h[near]].tolist(), entry[hashes[entry] == h[near]].tolist()):
+                names = self.items_of(n, at).get(b" ".join(found[i:i + n]))
                 if names is not None:
                     if hit is None:
-                        hit = np.zeros(len(ids), bool)
+                        hit = np.zeros(len(found), bool)
                     hit[i:i + n] = True
                     items |= names
         return hit, items
@@ -100,24 +116,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     A window is ``size`` consecutive words of an item; an item of fewer words is one window. A null or blank text has
     no words, is never hit and stays as it is; items without words have no windows. An item without id hits words but
-    is not listed. Repeated items and rows change nothing. ``clean_text`` is the text without hit words.
-    Other columns pass unchanged; an earlier column named ``output`` is replaced.
+    is not listed. Repeated items and rows change nothing. ``clean_text`` is the text without hit words. Texts may be long;
+    an empty table, or an empty benchmark, is fine. Other columns pass unchanged; an earlier column named ``output`` is replaced.
     """
     docs = without(docs, output)
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")).filter("text is not null").distinct()
-    blocks = 1 + text_bytes(items) // block_bytes
+    blocks, seed = 1 + text_bytes(items) // block_bytes, run_seed()
     schema = T.StructType([*docs.schema.fields, T.StructField(output, FOUND)])
     out = docs
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about block_bytes
-        out = out.mapInArrow(_scan(shared, text, size, output, block > 0, block == blocks - 1), schema)
+        shared = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()], size, seed))  # about block_bytes of text
+        out = out.mapInArrow(_scan(shared, text, output, block > 0, block == blocks - 1), schema)
+        if block < blocks - 1:
+            out = stored(out, "decontam")
     return out
 
 
-def _scan(shared, text: str, size: int, output: str, more: bool, last: bool):
+def _scan(shared, text: str, output: str, more: bool, last: bool):
     def scan(batches):
-        windows, rolling = Windows(shared.value, size), Rolling(FIRST_BASE)
+        windows, rolling = shared.value, Rolling(FIRST_BASE)
         kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
                           ("spans", pa.list_(pa.list_(pa.int32()))), ("clean_text", pa.string())])
         for batch in batches:
