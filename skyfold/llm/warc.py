@@ -27,7 +27,7 @@ from skyfold.session import scratch_path, stored
 # The seekable format's skippable frame and footer, the profile of revisits.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
+FRAME_BYTES, BUNDLE_BYTES, READ_BYTES = 256 << 10, 64 << 20, 8 << 20
 LEAST_PAYLOAD = 1000
 INDEX = "page_id {}, record_id string, bundle string, frame int, offset long, length long"
 FRAMES = "bundle string, frame int, at long, size long, plain long"
@@ -169,7 +169,12 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
 
 def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """All records of the bundles that ``index`` lists, each frame on its own; digests of stored payloads are checked."""
+    """All records of the bundles that ``index`` lists, each frame on its own; digests of stored payloads are checked.
+
+    Frames are dealt over one task for each ``READ_BYTES`` of records that the index lists. Null ids, urls and payloads
+    come back as ``write`` stored them; an empty index gives no rows.
+    """
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     kind = index.schema["page_id"].dataType.simpleString()
     number = kind in ("bigint", "int", "smallint", "tinyint")
 
@@ -203,7 +208,7 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
                                                  names=["page_id", "record_id", "record_type", "target", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
-    frames = index.select("bundle").distinct().mapInArrow(tables, FRAMES).repartition("bundle", "frame")
+    frames = index.select("bundle").distinct().mapInArrow(tables, FRAMES).repartition(1 + size // READ_BYTES, "bundle", "frame")
     return frames.mapInArrow(records, RECORDS.format("bigint" if number else "string"))
 
 
