@@ -34,7 +34,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Order is (doc_id, place in the text), null ids first; of equal windows the first stays and the lines of every
     later one go, unless no line of the window has a word. Windows are judged on the input. Texts with fewer lines
     than a window, and null texts, are unchanged. Rows equal in id and text count as one document: they get the same
-    result. Rows with equal ids and other texts are ordered by a hash of the text. Extra columns pass unchanged.
+    result. Rows with equal ids and other texts are ordered by a hash of the text. Extra columns pass unchanged. A text may
+    be long, its lines are one array; an empty table stays empty.
     """
     docs = without(docs, output)
     found = windows(docs, doc_id, text, size)
@@ -42,10 +43,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = found.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     # Duplicate rows repeat a place; the set has at most as many places as the text has lines.
-    places = later.groupBy(F.col("row").alias("removed_row")).agg(F.sort_array(F.collect_set("i")).alias("at"))
+    places = later.groupBy(F.col("row").alias("removed_row"), F.col("id").alias("removed_id")).agg(F.sort_array(F.collect_set("i")).alias("at"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("row"),
-                      F.col(f"`{text}`").alias("t"))
-    joined = own.join(places, F.col("row") == F.col("removed_row"), "left")
+                      F.col(f"`{doc_id}`").alias("own_id"), F.col(f"`{text}`").alias("t"))
+    # By id and, among rows with equal ids, by a hash of the text.
+    joined = own.join(places, (F.col("row") == F.col("removed_row")) & F.col("own_id").eqNullSafe(F.col("removed_id")), "left")
     joined = joined.select("own", "t", "at", F.split(F.coalesce("t", F.lit("")), "\n", -1).alias("lines"))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (size - 1)))))
     joined = joined.withColumn("covered", covered)

@@ -88,18 +88,18 @@ def _walk(parts, paths):
 
 
 def postings(docs: DataFrame, text: str, trigrams: list[str]) -> DataFrame:
-    """(trigram, row): which rows contain which of the given trigrams, in lower case."""
+    """(trigram, id, row): which rows contain which of the given trigrams, in lower case."""
     found = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("low"), t))
-    low = docs.select("row", F.lower(F.col(f"`{text}`")).alias("low"))
-    return low.select("row", F.explode(found).alias("trigram"))
+    low = docs.select("id", "row", F.lower(F.col(f"`{text}`")).alias("low"))
+    return low.select("id", "row", F.explode(found).alias("trigram"))
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """(row, kinds): rows whose postings satisfy a rule's query; a row has at most as many postings as there are trigrams."""
-    sets = index.groupBy("row").agg(F.collect_set("trigram").alias("grams"))
+    """(id, row, kinds): rows whose postings satisfy a rule's query; a row has at most as many postings as there are trigrams."""
+    sets = index.groupBy("id", "row").agg(F.collect_set("trigram").alias("grams"))
     every = lambda grams: reduce(Column.__and__, [F.array_contains("grams", g) for g in sorted(grams)])
     kinds = [F.when(reduce(Column.__or__, [every(g) for g in query]), F.lit(kind)) for kind, query in queries.items()]
-    return sets.select("row", F.array_compact(F.array(*kinds)).alias("kinds")).filter(F.size("kinds") > 0)
+    return sets.select("id", "row", F.array_compact(F.array(*kinds)).alias("kinds")).filter(F.size("kinds") > 0)
 
 
 def match_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -129,16 +129,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: lis
     """``docs`` with ``output``: an array of (start, order, end, kind), by start and then in the order of ``rules``.
 
     Matches are leftmost and do not overlap within a kind; places are code points, ends exclusive. Null and empty texts
-    have none. Rows equal in id and text share their postings. Extra columns pass unchanged,
-    an earlier column named ``output`` is replaced.
+    have none. Rows equal in id and text share their postings. A text may be long; an empty table stays empty. Extra
+    columns pass unchanged, an earlier column named ``output`` is replaced.
     """
     docs = without(docs, output)
     queries = {r.kind: q for r in rules if all(q := trigram_query(r.regex))}
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("row"),
-                      F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{doc_id}`").alias("id"),
+                      F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     grams = sorted({g for query in queries.values() for option in query for g in option})
     if grams:
-        marked = own.join(candidates(postings(own, "t", grams), queries).withColumnRenamed("row", "found"), F.col("row") == F.col("found"), "left")
+        # By id and, among rows with equal ids, by a hash of the text.
+        named = candidates(postings(own, "t", grams), queries).withColumnsRenamed({"id": "found_id", "row": "found_row"})
+        marked = own.join(named, (F.col("row") == F.col("found_row")) & F.col("id").eqNullSafe(F.col("found_id")), "left")
     else:
         marked = own.withColumn("kinds", F.lit(None).cast("array<string>"))
     parts = []
