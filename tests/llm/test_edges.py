@@ -362,3 +362,86 @@ def test_words_that_collide_in_polynomial_hashes(spark):
     assert {r.doc_id: r.n_removed for r in substring.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
     found = {r.doc_id: r.component_id for r in ngram_join.join_components(df).collect()}
     assert found == {1: 1, 2: 1, 3: 3, 4: 4}  # 1 and 2 differ in one of 46 shingles
+
+
+def test_html_stays_in_proportion():
+    wide = "<table><tr><td>" + "w" * 5000 + "<td>x" + "<tr><td>1<td>b" * 70_000 + "</table>"
+    spans = "<table><tr>" + ("<td>" + "a" * 30) * 64 + "<tr><td colspan=999>x<td>y" * 40_000 + "</table>"
+    nested = "<table><tr><td>a<td>" * 20_000
+    for page in (wide, spans, nested, "<blockquote>x" * 80_000, "<ul><li>x" * 100_000):
+        assert len(html_layout.render(page)) < 4 * len(page)
+    # A table that lays out another one is not aligned, the inner one is.
+    page = "<table><tr><td>left<td><table><tr><td>a<td>1<tr><td>bcd<td>22</table></table>"
+    assert html_layout.render(page) == "left\na   | 1\nbcd | 22"
+    assert html_layout.render("<table><tr><td colspan=2>head<td>c<tr><td>a<td>b<td>d</table>") == "head |   | c\na    | b | d"
+
+
+def test_a_large_benchmark_is_small_in_memory():
+    import pickle
+    import random
+    rng = random.Random(1)
+    items = [(str(k), " ".join(f"{rng.getrandbits(20):x}" for _ in range(200))) for k in range(4000)]
+    size = sum(len(t) for _, t in items)
+    windows = decontaminate.Windows(items, 10, 7)
+    assert len(pickle.dumps(windows)) < 6 * size  # 20 MB of text stay below 120 MB
+    from skyfold.llm.common import FIRST_BASE, Rolling
+    found = decontaminate.normal_words("x y " + " ".join(items[7][1].split()[20:40]) + " z")
+    hit, names = windows.find(found, Rolling(FIRST_BASE))
+    assert names == {"7"} and hit.tolist() == [False] * 2 + [True] * 20 + [False]
+    hit, names = windows.find(decontaminate.normal_words("nothing of the kind " * 10), Rolling(FIRST_BASE))
+    assert hit is None and not names
+
+
+def test_warc_reads_in_several_tasks(spark, monkeypatch):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("<p>"), F.repeat(F.sha2(F.col("id").cast("string"), 256), F.lit(40))).alias("html"))
+    folder = warc.archive_folder(spark)
+    index = warc.write(pages, folder)
+    monkeypatch.setattr(warc, "READ_BYTES", 200_000)
+    back = warc.read(index, folder)
+    assert back.rdd.getNumPartitions() >= 4 and back.count() == 400
+
+
+def test_equal_ids_with_other_texts_keep_their_own_results(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (2, "x\ny\nz"), (None, "a\nb\nc\nd"), (None, "q " + SECRET)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text): r.line_dedup.n_removed for r in line_dedup.remove_repeats(df).collect()}
+    assert kept == {(1, rows[0][1]): 3, (2, rows[1][1]): 3, (2, rows[2][1]): 0, (None, rows[3][1]): 0, (None, rows[4][1]): 0}
+    found = {(r.doc_id, r.text): len(r.secrets) for r in secret_scan.scan(df).collect()}
+    assert found.pop((None, rows[4][1])) == 3 and set(found.values()) == {0}
+
+
+def test_turns_of_one_role_follow_each_other(spark):
+    """Adjacent equal roles: the twin counts their characters as the operator writes them."""
+    import duckdb
+    from skyfold.llm.queries import ORACLES, QUERIES
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b </s>"), (1, 2, "assistant", "c"), (1, 3, "assistant", None), (1, 4, "user", ""), (2, 0, "assistant", "x"), (2, 1, "assistant", "x")]
+    import tempfile
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    found = QUERIES["op9_chat_format"](spark, folder)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    twin = con.sql(ORACLES["op9_chat_format"])
+    assert sorted(map(tuple, found.select(*twin.columns).collect())) == sorted(twin.fetchall())
+
+
+def test_long_turns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", LONG * 3)], "conv_id long, turn long, role string, text string")
+    row = chat.formatted(df).first()
+    assert len(row["formatted"]) > 3 * len(LONG)
+
+
+def test_long_lines_of_other_scripts_pass(spark):
+    lines = ["word " * 25, "كلمة " * 25 + "؟", "शब्द " * 25 + "।", "բառ " * 25 + "։", "ቃል " * 25 + "።", "คำ " * 25, "word " * 25 + "."]
+    rows = spark.createDataFrame([(x.strip(),) for x in lines], "line string").select(quality.line_passes(F.col("line")).alias("ok")).collect()
+    assert [r["ok"] for r in rows] == [False] + [True] * 6
+
+
+def test_gates_of_the_line_rules_change_nothing(spark):
+    texts = ["We use Cookies here\nplain line of text.", "TERMS OF SERVICE apply\nok line.", "a # b | c\nok line.", "nothing special.\nhome"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    with_gates = [r["q"]["clean_text"] for r in quality.assess(df, output="q").collect()]
+    without = [r["q"]["clean_text"] for r in quality.assess(df, output="q", furniture=[]).collect()]
+    assert with_gates == without == ["plain line of text.", "ok line.", "ok line.", "nothing special."]
+    own = quality.assess(df, output="q", boilerplate="special", navigation="^$").collect()
+    assert own[3]["q"]["clean_text"] == "home" and own[0]["q"]["clean_text"] == texts[0]
