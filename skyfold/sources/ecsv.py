@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyfold.session import stored
+
 # Column types of the format.
 ECSV_TYPES = {
     "bool": T.BooleanType(), "int8": T.ByteType(), "int16": T.ShortType(), "int32": T.IntegerType(),
@@ -17,42 +20,62 @@ ECSV_TYPES = {
 _NAME = re.compile(r"name:\s*(?:'([^']*)'|\"([^\"]*)\"|([^,}\s]+))")
 _TYPE = re.compile(r"datatype:\s*'?\"?(\w+)")
 _DELIMITER = re.compile(r"delimiter:\s*['\"]?([^'\"\s])")
-_COMMENT = "^#( |$)"  # header lines; a data cell that starts so would have to be quoted
-
-
-def read_header(spark: SparkSession, path: str) -> tuple[T.StructType, str]:
-    """Schema and delimiter from the comment lines that open the first file, however many; the driver sees no others."""
-    first = min(spark.read.text(path).inputFiles())
-    numbered = spark.read.text(first).select("value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
-    opening = numbered.where((F.col("start") == 0) & F.col("value").rlike(_COMMENT))
-    fields, delimiter, expected = [], " ", None
-    for row in opening.toLocalIterator():
-        if expected is not None and row["n"] != expected:
-            break  # a data line stands between: the header is over
-        expected = row["n"] + 1
-        text = row["value"]
-        found = _DELIMITER.search(text)
+_COMMENT = "^#( |$)"
+_LAYOUT = "delimiter:|name:"
+
+
+def parse_header(text: str) -> tuple[T.StructType, str]:
+    """Schema and delimiter from the comment lines that open a file."""
+    fields, delimiter = [], " "
+    for line in text.split("\n"):
+        found = _DELIMITER.search(line)
         if found:
             delimiter = found.group(1)
-        name, kind = _NAME.search(text), _TYPE.search(text)
+        name, kind = _NAME.search(line), _TYPE.search(line)
         if name and kind:
             fields.append(T.StructField(next(g for g in name.groups() if g), ECSV_TYPES[kind.group(1)]))
     if not fields:
-        raise ValueError(f"{path} has no column header")
+        raise ValueError("a file has no column header")
     return T.StructType(fields), delimiter
 
 
-def read_ecsv(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, opens, n, value): all lines; ``n`` rises along a file, ``opens`` marks the part that begins it."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("opens"),
+                                        F.monotonically_increasing_id().alias("n"), "value")
+
+
+def read_headers(lines: DataFrame) -> DataFrame:
+    """(file, names_at, header): of each file the opening comments that say how it is cut, and the number of the line after them."""
+    opening = lines.where("opens")
+    ends = opening.where(~F.col("value").rlike(_COMMENT)).groupBy("file").agg(F.min("n").alias("names_at"))
+    comments = opening.where(F.col("value").rlike(_COMMENT)).join(ends, "file").where("n < names_at")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("value").rlike(_LAYOUT), F.struct("n", "value"))))  # a file's columns
+    return comments.groupBy("file", "names_at").agg(ordered.alias("h")).select("file", "names_at", F.array_join("h.value", "\n").alias("header"))
+
+
+def read_ecsv(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """The table of a file, or of a folder of files with one header each; empty cells and NaN are NULL.
 
-    Header lines and the line of column names are left out in every file. A cell may start with ``#``; it cannot hold a
-    line end.
+    Each file is read by its own header, and columns are matched by name: files may order them differently or lack some.
+    The comment lines that open a file and the line of column names are left out; any later line is data, also one that
+    starts with ``#``. A cell cannot hold a line end. A cell that does not fit its type is an error, or NULL with ``mode``
+    "PERMISSIVE".
     """
     from skyfold.sources.tables import nan_to_null
-    schema, delimiter = read_header(spark, path)
-    lines = spark.read.text(path).where(~F.col("value").rlike(_COMMENT) & (F.col("value") != delimiter.join(schema.names)) & (F.col("value") != ""))
-    options = {"sep": delimiter, "nullValue": "", "nanValue": "nan"}
-    return nan_to_null(lines.select(F.from_csv("value", schema.toDDL(), options).alias("r")).select("r.*"))
+    lines = _lines(spark, path)
+    headers = stored(read_headers(lines), "headers")  # one row per file
+    kinds = [r["header"] for r in headers.select("header").distinct().collect()]  # one per kind of file
+    if not kinds:
+        raise ValueError(f"{path} has no column header")
+    body = lines.join(headers, "file").where("n > names_at or not opens").where("value <> ''")
+    parts = []
+    for header in sorted(kinds):
+        schema, delimiter = parse_header(header)
+        options = {"sep": delimiter, "nullValue": "", "nanValue": "nan", "mode": mode}
+        rows = body.where(F.col("header") == header).select(F.from_csv("value", schema.toDDL(), options).alias("r")).select("r.*")
+        parts.append(nan_to_null(rows))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def ingest_ecsv(spark: SparkSession, path: str, output: str) -> DataFrame:

@@ -3,15 +3,18 @@
     register_fits(spark)
     spark.read.format("fits_table").load("file:///catalog.fits")
 
-The path is a file or a folder of files with the same columns. Headers are read once for the schema; each task
-seeks to its own rows, so files of any size are read in parallel without passing through the driver. Paths may be
-local (a folder every executor mounts) or any address Arrow's file systems know.
+The path is a file or a folder of files; columns are matched by name, and a column that a file lacks is NULL there. The
+driver reads one header, for the schema, and lists files with their sizes. A task gets a range of bytes of one file, reads
+that file's own header and the rows that start in its range, so neither headers nor rows of many or of large files pass
+through the driver. Scaled and unsigned columns are decoded (``TSCAL``, ``TZERO``). Paths may be local (a folder every
+executor mounts) or any address Arrow's file systems know.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,42 @@ FITS_TYPES = {
 }
 
 
+# Offsets that mark unsigned (or, for bytes, signed) integers, and the Spark type that holds those.
+UNSIGNED = {("B", -128): T.ShortType(), ("I", 1 << 15): T.IntegerType(), ("J", 1 << 31): T.LongType(), ("K", 1 << 63): T.DecimalType(20, 0)}
+
+
+@dataclass
+class Field:
+    """One column: letter code and repeat count, null value, scale and zero point."""
+
+    name: str
+    letter: str
+    repeat: int
+    null: int | None = None
+    scale: Decimal = Decimal(1)
+    zero: Decimal = Decimal(0)
+
+    def base(self) -> T.DataType:
+        if self.scale == 1 and self.zero == 0:
+            return FITS_TYPES[self.letter][1]
+        return UNSIGNED.get((self.letter, self.zero), T.DoubleType()) if self.scale == 1 else T.DoubleType()
+
+    def type(self) -> T.DataType:
+        return self.base() if self.letter == "A" or self.repeat == 1 else T.ArrayType(self.base())
+
+    def decoded(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Values in the machine's byte order, scaled, and which of them are null."""
+        native = raw.astype(raw.dtype.newbyteorder("="))
+        mask = np.isnan(native) if native.dtype.kind == "f" else native == self.null if self.null is not None else None
+        if self.scale == 1 and self.zero == 0:
+            return native, mask
+        if self.base() == T.DoubleType():
+            return native.astype(float) * float(self.scale) + float(self.zero), mask
+        if self.letter == "K":  # the offset is the sign bit
+            return native.view(np.uint64) ^ np.uint64(1 << 63), mask
+        return native.astype(np.int64) + int(self.zero), mask
+
+
 @dataclass
 class TableLayout:
     """Where the rows are and how they are cut."""
@@ -39,25 +78,25 @@ class TableLayout:
     offset: int
     width: int
     rows: int
-    columns: list[tuple[str, str, int]]  # name, letter, repeat
-    nulls: dict[str, int]
+    fields: list[Field]
 
     def dtype(self) -> np.dtype:
         kinds = []
-        for name, letter, repeat in self.columns:
-            base = FITS_TYPES[letter][0]
-            kinds.append((name, f"S{repeat}") if letter == "A" else (name, base) if repeat == 1 else (name, base, (repeat,)))
+        for f in self.fields:
+            base = FITS_TYPES[f.letter][0]
+            kinds.append((f.name, f"S{f.repeat}") if f.letter == "A" else (f.name, base) if f.repeat == 1 else (f.name, base, (f.repeat,)))
         out = np.dtype(kinds)
         if out.itemsize != self.width:
             raise ValueError(f"columns take {out.itemsize} bytes, rows {self.width}")
         return out
 
     def schema(self) -> T.StructType:
-        fields = []
-        for name, letter, repeat in self.columns:
-            kind = FITS_TYPES[letter][1]
-            fields.append(T.StructField(name, kind if letter == "A" or repeat == 1 else T.ArrayType(kind)))
-        return T.StructType(fields)
+        return T.StructType([T.StructField(f.name, f.type()) for f in self.fields])
+
+    def rows_from(self, start: int, stop: int) -> range:
+        """Numbers of the rows that start between two places of the file."""
+        number = lambda place: min(max(-(-(place - self.offset) // self.width), 0), self.rows) if self.width else 0
+        return range(number(start), number(stop))
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -66,16 +105,16 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def table_files(path: str) -> list[str]:
-    """The file itself, or all ``.fits`` files in the folder."""
+def table_files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the file itself, or of all ``.fits`` files in the folder."""
     fs, local = file_system(path)
     info = fs.get_file_info(local)
     if info.type != pafs.FileType.Directory:
-        return [path]
-    found = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(local)) if f.base_name.endswith(".fits"))
+        return [(path, info.size)]
+    found = sorted((f.base_name, f.size) for f in fs.get_file_info(pafs.FileSelector(local)) if f.base_name.endswith(".fits"))
     if not found:
         raise ValueError(f"{path} holds no .fits file")
-    return [f"{path.rstrip('/')}/{name}" for name in found]
+    return [(f"{path.rstrip('/')}/{name}", size) for name, size in found]
 
 
 def _cards(handle) -> dict[str, str] | None:
@@ -113,40 +152,35 @@ def read_layout(path: str) -> TableLayout:
             if cards.get("XTENSION") == "BINTABLE":
                 break
             handle.seek(handle.tell() + -(-_data_bytes(cards) // BLOCK) * BLOCK)
-        columns, nulls = [], {}
+        fields, number = [], lambda key, i, default: Decimal(cards.get(f"{key}{i}", default).upper().replace("D", "E"))
         for i in range(1, int(cards["TFIELDS"]) + 1):
             repeat, letter = re.match(r"(\d*)([A-Z])", cards[f"TFORM{i}"]).groups()
             if letter not in FITS_TYPES:
                 raise ValueError(f"column type {letter} is not supported")
-            if float(cards.get(f"TSCAL{i}", "1")) != 1.0 or float(cards.get(f"TZERO{i}", "0")) != 0.0:
-                raise ValueError(f"scaled column {cards[f'TTYPE{i}']} is not supported")
-            columns.append((cards[f"TTYPE{i}"], letter, int(repeat or "1")))
-            if f"TNULL{i}" in cards:
-                nulls[cards[f"TTYPE{i}"]] = int(cards[f"TNULL{i}"])
-        return TableLayout(handle.tell(), int(cards["NAXIS1"]), int(cards["NAXIS2"]), columns, nulls)
+            null = int(cards[f"TNULL{i}"]) if f"TNULL{i}" in cards else None
+            fields.append(Field(cards[f"TTYPE{i}"], letter, int(repeat or "1"), null, number("TSCAL", i, "1"), number("TZERO", i, "0")))
+        return TableLayout(handle.tell(), int(cards["NAXIS1"]), int(cards["NAXIS2"]), fields)
 
 
 @dataclass
-class RowRange(InputPartition):
+class ByteRange(InputPartition):
     path: str
-    layout: TableLayout
     start: int
     stop: int
 
 
-def _column(raw: np.ndarray, letter: str, null: int | None, kind: pa.DataType) -> pa.Array:
-    if letter == "A":
+def _column(raw: np.ndarray, field: Field, kind: pa.DataType) -> pa.Array:
+    if field.letter == "A":
         return pa.array([v.decode("ascii", "replace").rstrip(" \x00") for v in raw.tolist()], kind)
-    if letter == "L":
+    if field.letter == "L":
         values = raw.tolist()
         if raw.ndim > 1:
             return pa.array([[v == b"T" for v in row] for row in values], kind)
         return pa.array([None if v in (b"", b"\x00") else v == b"T" for v in values], kind)
-    native = raw.astype(raw.dtype.newbyteorder("="))
-    if native.ndim > 1:
-        return pa.array(native.tolist(), kind)
-    mask = np.isnan(native) if native.dtype.kind == "f" else native == null if null is not None else None
-    return pa.array(native, mask=mask).cast(kind)
+    values, mask = field.decoded(raw)
+    if values.ndim > 1:
+        return pa.array(values.tolist(), kind)
+    return pa.array(values, mask=mask).cast(kind)
 
 
 class FitsReader(DataSourceReader):
@@ -154,28 +188,24 @@ class FitsReader(DataSourceReader):
         self.path, self.schema, self.step = path, schema, rows_per_partition
 
     def partitions(self):
-        out = []
-        for path in table_files(self.path):
-            layout = read_layout(path)
-            out += [RowRange(path, layout, i, min(i + self.step, layout.rows)) for i in range(0, layout.rows, self.step)]
-        return out or [RowRange("", None, 0, 0)]
+        files = table_files(self.path)
+        step = max(1, self.step * read_layout(files[0][0]).width)
+        return [ByteRange(path, at, at + step) for path, size in files for at in range(0, max(size, 1), step)]
 
-    def read(self, partition: RowRange):
+    def read(self, partition: ByteRange):
         from pyspark.sql.pandas.types import to_arrow_schema
-        left = partition.stop - partition.start
-        if not left:
-            return
-        target, layout = to_arrow_schema(self.schema), partition.layout
-        dtype, letters = layout.dtype(), {n: c for n, c, _ in layout.columns}
+        target, layout = to_arrow_schema(self.schema), read_layout(partition.path)
+        rows, dtype, fields = layout.rows_from(partition.start, partition.stop), layout.dtype(), {f.name: f for f in layout.fields}
+        left = len(rows)
         fs, local = file_system(partition.path)
         with fs.open_input_file(local) as handle:
-            handle.seek(layout.offset + partition.start * layout.width)
+            handle.seek(layout.offset + rows.start * layout.width)
             while left > 0:
-                rows = np.frombuffer(handle.read(min(left, BATCH) * layout.width), dtype)
-                if not len(rows):
+                part = np.frombuffer(handle.read(min(left, BATCH) * layout.width), dtype)
+                if not len(part):
                     raise OSError(f"{partition.path} ends early")
-                left -= len(rows)
-                arrays = [_column(rows[f.name], letters[f.name], layout.nulls.get(f.name), f.type) for f in target]
+                left -= len(part)
+                arrays = [_column(part[f.name], fields[f.name], f.type) if f.name in fields else pa.nulls(len(part), f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
 
@@ -187,7 +217,7 @@ class FitsTable(DataSource):
         return "fits_table"
 
     def schema(self) -> T.StructType:
-        return read_layout(table_files(self.options["path"])[0]).schema()
+        return read_layout(table_files(self.options["path"])[0][0]).schema()
 
     def reader(self, schema: T.StructType) -> FitsReader:
         return FitsReader(self.options["path"], schema, int(self.options.get("rows_per_partition", ROWS_PER_PARTITION)))

@@ -1,7 +1,10 @@
 """File formats."""
 
+from decimal import Decimal
+
 import numpy as np
 import pytest
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import functions as F
 
 from skyfold.sources import artifacts, ecsv, fits, tables
@@ -71,7 +74,7 @@ SOURCE_ID logT1 model_type
     assert [tuple(r) for r in df.orderBy(F.desc("SOURCE_ID")).collect()] == [(123456789012345678, 3.75, "two words"), (2, None, None)]
     (tmp_path / "plain.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
-        ecsv.read_header(spark, str(tmp_path / "plain.csv"))
+        ecsv.read_ecsv(spark, str(tmp_path / "plain.csv"))
 
 
 def test_folder_of_ecsv_files(spark, tmp_path):
@@ -79,7 +82,7 @@ def test_folder_of_ecsv_files(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"{k}.ecsv").write_text(head + f"{k},#{k}\n{k + 10},\n")
     (tmp_path / "3.ecsv").write_text(head.replace("# ---", "# ---\n# meta: more") + "#9,x\n3,#3\n")
-    got = sorted((r["id"], r["note"]) for r in ecsv.read_ecsv(spark, str(tmp_path)).where("id is not null").collect())
+    got = sorted((r["id"], r["note"]) for r in ecsv.read_ecsv(spark, str(tmp_path), "PERMISSIVE").where("id is not null").collect())
     assert got == [(0, "#0"), (1, "#1"), (2, "#2"), (3, "#3"), (10, None), (11, None), (12, None)]
 
 
@@ -112,3 +115,29 @@ def test_bucketed_tables_join_without_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "Exchange" not in plan
+
+
+def test_ecsv_files_of_different_order(spark, tmp_path):
+    head = "# %ECSV 1.0\n# ---\n# delimiter: ','\n# datatype:\n"
+    (tmp_path / "1.ecsv").write_text(head + "# - {name: id, datatype: int64}\n# - {name: s, datatype: string}\nid,s\n1,x\n2,y\n")
+    (tmp_path / "2.ecsv").write_text(head + "# - {name: s, datatype: string}\n# - {name: id, datatype: int64}\n# - {name: extra, datatype: float64}\ns,id,extra\nw,4,0.5\n# z,3,\n")
+    (tmp_path / "3.ecsv").write_text("# %ECSV 1.0\n# meta: made by hand\n" + head.split("\n", 1)[1] + "# - {name: id, datatype: int64}\n# - {name: s, datatype: string}\nid,s\n5,# v\n")
+    got = sorted((r["id"], r["s"], r["extra"]) for r in ecsv.read_ecsv(spark, str(tmp_path)).collect())
+    assert got == [(1, "x", None), (2, "y", None), (3, "# z", None), (4, "w", 0.5), (5, "# v", None)]
+    (tmp_path / "4.ecsv").write_text(head + "# - {name: id, datatype: int64}\n# - {name: s, datatype: string}\nid,s\nsix,u\n")
+    with pytest.raises(Exception):
+        ecsv.read_ecsv(spark, str(tmp_path)).collect()
+
+
+def test_fits_scaling_and_unsigned_columns():
+    raw = {"B": np.array([0, 255], "u1"), "I": np.array([-32768, 32767], ">i2"), "J": np.array([-(1 << 31), (1 << 31) - 1], ">i4"), "K": np.array([-(1 << 63), (1 << 63) - 1], ">i8")}
+    zero = {"B": -128, "I": 1 << 15, "J": 1 << 31, "K": 1 << 63}
+    want = {"B": [-128, 127], "I": [0, 65535], "J": [0, (1 << 32) - 1], "K": [0, (1 << 64) - 1]}
+    for letter, values in raw.items():
+        field = fits.Field("x", letter, 1, zero=Decimal(zero[letter]))
+        kind = to_arrow_type(field.type())
+        assert [int(v) for v in fits._column(values, field, kind).to_pylist()] == want[letter]
+    field = fits.Field("x", "I", 1, null=-5, scale=Decimal("0.25"), zero=Decimal(3))
+    assert fits._column(np.array([4, -5], ">i2"), field, to_arrow_type(field.type())).to_pylist() == [4.0, None]
+    layout = fits.TableLayout(5760, 10, 100, [])
+    assert layout.rows_from(0, 5760) == range(0, 0) and layout.rows_from(0, 5761) == range(0, 1) and layout.rows_from(5765, 10**9) == range(1, 100)
