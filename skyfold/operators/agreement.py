@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions.missing import finite
-from skyfold.operators.metrics import with_median
-from skyfold.operators.ranks import average_ranks, cut_points, exact_quantiles, running_sums
+from skyfold.operators.ranks import average_ranks, cut_points, exact_quantiles, quantile_of, running_sums
 from skyfold.operators.scalars import attach_row
+from skyfold.session import stored
 
 
 def pair_moments(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -82,28 +82,72 @@ def distribution_distance(a: DataFrame, a_value: str, b: DataFrame, b_value: str
     return out.select("ks_stat", ks_p_value(F.col("ks_stat"), F.col("_n"), F.col("_m")).alias("ks_p"), "wasserstein")
 
 
+def _distances(f1: Column, f2: Column, n: Column, m: Column) -> dict[str, Column]:
+    """Aggregates over a table of distinct values in order: both distribution functions to both distances."""
+    gap = F.abs(f1 - f2)
+    ks = F.max(gap)
+    return {"ks_stat": ks, "ks_p": ks_p_value(ks, F.max(n).cast("double"), F.max(m).cast("double")),
+            "wasserstein": F.coalesce(F.sum(gap * (F.col("next_value") - F.col("value"))), F.lit(0.0))}
+
+
+def _ranked(counted: DataFrame, cuts: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Running sums of (value, a, b) for distinct values, stored: ranks, quantiles and distances are read from it."""
+    return stored(running_sums(counted, "value", {"a": F.col("a"), "b": F.col("b")}, by, cuts=cuts), "ranks")
+
+
+def _share(name: str) -> Column:
+    return F.try_divide((F.col(f"{name}_before") + F.col(name)).cast("double"), F.col(f"{name}_total"))
+
+
 def comparison_metrics(df: DataFrame, x: str, y: str, pair: str | None = None) -> DataFrame:
-    """The full suite for one pair of columns, as one row."""
-    rows = df.where(finite(F.col(x)) & finite(F.col(y))).select(x, y)
-    cuts = cut_points(rows.withColumn("_d", F.col(x) - F.col(y)), [x, y, "_d"])  # one pass serves all parts
-    both = sorted({*cuts[x], *cuts[y]})[::2]
-    out = pair_moments(rows, x, y)
-    for part in (spearman(rows, x, y, cuts), difference_quantiles(rows, x, y, cuts["_d"]),
-                 distribution_distance(rows, x, rows, y, both)):
-        out = attach_row(out, part)
-    return out.select(F.lit(pair or f"{x} vs {y}").alias("pair"), "*")
+    """The full suite for one pair of columns, as one row.
+
+    The source is read once. One rank table holds the distinct values of both columns and of their difference; the
+    distances and the difference's quantiles are one aggregate of it, the ranks for Spearman's correlation join from it,
+    and the absolute deviation is ranked from its values and counts.
+    """
+    rows = stored(df.where(finite(F.col(x)) & finite(F.col(y))).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "pairs")
+    rows = rows.withColumn("_d", F.col("_x") - F.col("_y"))
+    cuts = cut_points(rows, ["_x", "_y", "_d"])
+    part = lambda axis, c, a, b: F.struct(F.lit(axis).alias("axis"), F.col(c).alias("value"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    long = rows.select(F.explode(F.array(part(0, "_x", 1, 0), part(0, "_y", 0, 1), part(1, "_d", 1, 0))).alias("p")).select("p.*")
+    ranks = _ranked(long, sorted({c for found in cuts.values() for c in found}), ["axis"])
+    joint, gaps = F.col("axis") == 0, F.col("axis") == 1
+    f1, f2 = (F.when(joint, _share(name)) for name in "ab")
+    names = {"p16_diff": 0.16, "median_diff": 0.5, "p84_diff": 0.84}
+    found = ranks.agg(*[quantile_of(p, "a", gaps).alias(n) for n, p in names.items()],
+                      *[c.alias(n) for n, c in _distances(f1, f2, F.when(joint, F.col("a_total")), F.when(joint, F.col("b_total"))).items()]).first()
+
+    middle = found["median_diff"]
+    away = ranks.where(gaps).select(F.abs(F.col("value") - F.lit(middle)).alias("value"), "a")
+    folded = sorted({abs(c - middle) for c in cuts["_d"]}) if middle is not None else []
+    mad = running_sums(away, "value", {"a": F.col("a")}, cuts=folded).agg(quantile_of(0.5, "a").alias("mad_diff"))
+
+    average = lambda name: F.col(f"{name}_before") + (F.col(name) + 1) / F.lit(2.0)
+    side = lambda name, at: ranks.where(joint & (F.col(name) > 0)).select(F.col("value").alias(at), average(name).alias(f"_r{at}"), F.col(f"{name}_total").alias(f"_n{at}"))
+    both = rows.groupBy("_x", "_y").agg(F.count("*").cast("double").alias("_n")).join(side("a", "_x"), "_x").join(side("b", "_y"), "_y")
+    mid = (F.col("_n_x") + F.lit(1.0)) / F.lit(2.0)  # ranks have this mean; centring on it keeps the sums small
+    da, db = F.col("_r_x") - mid, F.col("_r_y") - mid
+    n = F.col("_n")
+    order = both.agg(F.try_divide(F.sum(n * da * db), F.sqrt(F.sum(n * da * da) * F.sum(n * db * db))).alias("spearman"))
+
+    out = attach_row(attach_row(pair_moments(rows, "_x", "_y"), order), mad)
+    number = lambda name: F.lit(found[name]).cast("double").alias(name)
+    return out.select(F.lit(pair or f"{x} vs {y}").alias("pair"), "n", "pearson", "ccc", "bias", "scatter", "mae", "rmse", "spearman",
+                      *[number(name) for name in names], "mad_diff", *[number(name) for name in ("ks_stat", "ks_p", "wasserstein")])
 
 
 def distribution_report(a: DataFrame, a_value: str, b: DataFrame, b_value: str) -> DataFrame:
-    """Size, mean and median of both samples, the difference of means and both distances."""
-    def side(df, value, tag):
-        c = F.col(value)
-        summary = df.agg(F.count(c).alias(f"n_{tag}"), F.avg(c).alias(f"mean_{tag}"))
-        return with_median(summary, df, value, {f"median_{tag}": 0.5})
-
-    out = attach_row(side(a, a_value, "a"), side(b, b_value, "b"))
-    out = out.withColumn("mean_difference", F.col("mean_a") - F.col("mean_b"))
-    return attach_row(out, distribution_distance(a, a_value, b, b_value))
+    """Size, mean and median of both samples, the difference of means and both distances; both are read once."""
+    side = lambda df, c, is_a: df.select(F.col(c).cast("double").alias("value"), F.lit(int(is_a)).alias("a"), F.lit(int(not is_a)).alias("b"))
+    rows = stored(side(a, a_value, True).unionByName(side(b, b_value, False)), "samples")
+    ranks = _ranked(rows, cut_points(rows, ["value"])["value"])
+    of = lambda name: F.when(F.col(name) == 1, F.col("value"))
+    sums = rows.agg(*[f(of(name)).alias(f"{tag}_{name}") for name in "ab" for tag, f in (("n", F.count), ("mean", F.avg))])
+    found = ranks.agg(*[quantile_of(0.5, name).alias(f"median_{name}") for name in "ab"],
+                      *[c.alias(n) for n, c in _distances(_share("a"), _share("b"), F.col("a_total"), F.col("b_total")).items()])
+    out = attach_row(sums, found).withColumn("mean_difference", F.col("mean_a") - F.col("mean_b"))
+    return out.select("n_a", "mean_a", "median_a", "n_b", "mean_b", "median_b", "mean_difference", "ks_stat", "ks_p", "wasserstein")
 
 
 def bland_altman(df: DataFrame, x: str, y: str) -> DataFrame:

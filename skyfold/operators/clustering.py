@@ -8,12 +8,13 @@ A fitted clustering is a handful of numbers, and membership is plain column arit
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ class Clustering:
     offsets: list[float] = field(default_factory=list)
     factors: list[list[list[float]]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
+    log_likelihood: float | None = None  # mean over the training rows, up to a constant
 
     def probability_names(self) -> list[str]:
         return [f"cluster_prob_{i}" for i in range(len(self.means))]
@@ -98,7 +100,7 @@ def fit_clustering(train: DataFrame, features: Sequence[str], method: str = "gmm
             parts = _spark_mixture(points, features, n_clusters, max_iter, tol, n_init, seed)
             return _from_gaussians(method, features, scaler, *parts, reg_covar)
         if method in ("gmm", "bayesian_gmm"):
-            return _em(points, features, scaler, method, n_clusters, covariance_type, max_iter, tol, reg_covar, seed)
+            return _em(points, features, scaler, method, n_clusters, covariance_type, max_iter, tol, reg_covar, n_init, seed)
         raise ValueError(f"unknown clustering method {method!r}")
     finally:
         points.unpersist()
@@ -147,19 +149,53 @@ def _digamma(x: float) -> float:
     return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
 
 
-def _statistics(df: DataFrame, features, k: int):
-    """Mass, weighted sums and weighted second moments of every cluster, from one aggregate."""
-    d = len(features)
-    r = [F.col(f"cluster_prob_{i}") for i in range(k)]
-    x = [F.col(f) for f in features]
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    sums = [F.sum(p) for p in r] + [F.sum(p * c) for p in r for c in x] + [F.sum(p * x[i] * x[j]) for p in r for i, j in pairs]
-    row = np.array(df.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first(), dtype=float)
-    mass, first = row[:k], row[k:k + k * d].reshape(k, d)
-    second = np.zeros((k, d, d))
-    for n, (i, j) in enumerate(pairs):
-        second[:, i, j] = second[:, j, i] = row[k + k * d:].reshape(k, len(pairs))[:, n]
-    return mass, first, second
+@dataclass
+class _Start:
+    """One start of a fit: its parameters so far, or centres of a hard assignment before the first round."""
+
+    means: np.ndarray
+    offsets: np.ndarray | None = None
+    factors: np.ndarray | None = None
+
+    def shares(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Shares of the clusters in each row, and the summed log likelihood (up to a shared constant)."""
+        gaps = x[:, None, :] - self.means[None, :, :]
+        if self.factors is None:
+            return np.eye(len(self.means))[(gaps * gaps).sum(2).argmin(1)], 0.0
+        z = np.einsum("nkd,ked->nke", gaps, self.factors)
+        logs = self.offsets[None, :] - 0.5 * (z * z).sum(2)
+        top = logs.max(1, keepdims=True)
+        raw = np.exp(logs - top)
+        total = raw.sum(1, keepdims=True)
+        return raw / total, float((top + np.log(total)).sum())
+
+
+def _statistics(points: DataFrame, starts: Mapping[int, _Start]) -> dict[int, tuple]:
+    """Log likelihood, mass, weighted sums and second moments of all clusters of all starts, from one pass.
+
+    A task adds its rows up; what is shuffled and collected depends on starts, clusters and features only.
+    """
+    k, d = next(iter(starts.values())).means.shape
+    size = 1 + k + k * d + k * d * d
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(starts), size))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)])
+            for row, start in zip(total, starts.values()):
+                r, loglik = start.shares(x)
+                second = np.stack([(r[:, i, None] * x).T @ x for i in range(k)])
+                row += np.concatenate([[loglik], r.sum(0), (r.T @ x).ravel(), second.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "value"])
+
+    out = np.zeros(len(starts) * size)
+    for r in points.mapInArrow(add_up, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        out[r["at"]] = r["value"]
+    parts = {}
+    for number, row in zip(starts, out.reshape(len(starts), size)):
+        mass, first, second = np.split(row[1:], [k, k + k * d])
+        parts[number] = row[0], mass, first.reshape(k, d), second.reshape(k, d, d)
+    return parts
 
 
 def _shape(covs, mass, kind):
@@ -176,46 +212,58 @@ def _shape(covs, mass, kind):
     return np.einsum("ki,ij->kij", diag, np.eye(d))
 
 
-def _em(points, features, scaler, method, k, kind, max_iter, tol, reg, seed):
-    """Expectation maximisation, or its variational form with a Dirichlet-process prior on the weights."""
-    d, unit = len(features), Standardiser({f: 0.0 for f in features}, {f: 1.0 for f in features})
-    if method == "bayesian_gmm" and kind != "full":
-        raise ValueError("the Bayesian mixture supports full covariance only")
-    _, start = _kmeans(points, features, k, 20, 1, seed)
-    hard = start.transform(_vectors(points, features))
-    soft = hard.withColumns({f"cluster_prob_{i}": (F.col("prediction") == i).cast("double") for i in range(k)})
-    n = points.count()
-    previous = None
-    for _ in range(max_iter):
-        mass, first, second = _statistics(soft, features, k)
-        mass = mass + 1e-10
-        means = first / mass[:, None]
-        covs = second / mass[:, None, None] - np.einsum("ki,kj->kij", means, means)
-        if method == "gmm":
-            fitted = _from_gaussians(method, features, unit, mass / mass.sum(), means, _shape(covs, mass, kind), reg)
-        else:
-            fitted = _variational(features, unit, mass, means, covs, reg, d)
-        soft = fitted.transform(points)
-        state = np.concatenate([np.array(fitted.means).ravel(), fitted.weights])
-        if previous is not None and np.abs(state - previous).max() < tol:
+def _em(points, features, scaler, method, k, kind, max_iter, tol, reg, n_init, seed):
+    """Expectation maximisation, or its variational form with a Dirichlet-process prior on the weights.
+
+    All ``n_init`` starts move on together, one pass over the rows a round; a start rests when its mean log likelihood
+    gains less than ``tol``, and the start with the best one is the fit.
+    """
+    n, unit = points.count(), Standardiser({f: 0.0 for f in features}, {f: 1.0 for f in features})
+    starts = {i: _Start(_kmeans(points, features, k, 20, 1, seed + i)[0]) for i in range(n_init)}
+    fits, reached, prior = {}, dict.fromkeys(starts, -np.inf), None
+    for turn in range(max_iter + 1):
+        for i, (loglik, mass, first, second) in _statistics(points, starts).items():
+            if turn and (loglik / n - reached[i] < tol or turn == max_iter):
+                reached[i] = loglik / n
+                del starts[i]
+                continue
+            reached[i] = loglik / n if turn else -np.inf
+            mass = mass + 1e-10
+            means = first / mass[:, None]
+            covs = second / mass[:, None, None] - np.einsum("ki,kj->kij", means, means)
+            if prior is None:  # of all rows, whatever the start
+                center = first.sum(0) / n
+                prior = second.sum(0) / n - np.outer(center, center) + reg * np.eye(len(features))
+            shaped = _shape(covs, mass, kind)
+            fits[i] = (_from_gaussians(method, features, unit, mass / mass.sum(), means, shaped, reg) if method == "gmm"
+                       else _variational(features, unit, mass, means, shaped, kind, prior, reg))
+            starts[i] = _Start(np.array(fits[i].means), np.array(fits[i].offsets), np.array(fits[i].factors))
+        if not starts:
             break
-        previous = state
-    fitted.scaler = scaler.to_dict()
-    return fitted
+    best = fits[max(fits, key=reached.get)]
+    best.scaler, best.log_likelihood = scaler.to_dict(), float(max(reached.values()))
+    return best
 
 
-def _variational(features, scaler, mass, means, covs, reg, d):
+def _variational(features, scaler, mass, means, covs, kind, prior, reg):
     """One update of the Dirichlet-process mixture (Blei and Jordan 2006). Priors on standardised data: mean 0,
-    covariance 1, mean precision 1, degrees of freedom ``d``, concentration ``1/K``."""
-    k = len(mass)
+    the data's own covariance in the wanted shape, mean precision 1, degrees of freedom ``d``, concentration ``1/K``.
+
+    With tied covariance the clusters share the mean of their scatters and degrees of freedom.
+    """
+    k, d = means.shape
     a, b = 1.0 + mass, 1.0 / k + np.concatenate([np.cumsum(mass[::-1])[::-1][1:], [0.0]])
     stick = np.array([_digamma(p) - _digamma(p + q) for p, q in zip(a, b)])
     rest = np.array([_digamma(q) - _digamma(p + q) for p, q in zip(a, b)])
     log_pi = stick + np.concatenate([[0.0], np.cumsum(rest)[:-1]])
     beta, dof = 1.0 + mass, d + mass
     centers = mass[:, None] * means / beta[:, None]
-    scatter = (np.eye(d)[None] + mass[:, None, None] * (covs + reg * np.eye(d))
-               + (mass / beta)[:, None, None] * np.einsum("ki,kj->kij", means, means))
+    base = _shape(prior[None], np.ones(1), kind)[0]
+    away = _shape(np.einsum("ki,kj->kij", means, means), np.ones(k), "full" if kind == "tied" else kind)
+    scatter = mass[:, None, None] * (covs + reg * np.eye(d)) + (mass / beta)[:, None, None] * away
+    if kind == "tied":
+        scatter, dof = np.repeat(scatter.mean(axis=0)[None], k, axis=0), np.full(k, d + mass.sum() / k)
+    scatter = base + scatter
     offsets, factors = [], []
     for i in range(k):
         root = _factor(scatter[i] / dof[i])

@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+import math
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions.columns import inverse_target_array, linear_uncertainty
 from skyfold.functions.mixture import array_mean, array_std
-from skyfold.session import scratch_path
+from skyfold.session import stored
 
 log = logging.getLogger(__name__)
 
 MAX_DEPTH = 30
-# Largest tree table sent to Python workers.
-MAX_TREE_BYTES = 1 << 30
+# Trees that one projection evaluates, and the nodes that one plan carries.
+GROUP_TREES = 50
+GROUP_NODES = 2_000_000
 
 
 # ---- fit and predict ----------------------------------------------------------------------------------------------
@@ -38,14 +38,16 @@ def assembler(features: Sequence[str], output: str = "features") -> VectorAssemb
 
 def fit_forest(train: DataFrame, features: Sequence[str], target: str, n_estimators: int = 100, max_depth: int = 20,
                min_samples_leaf: int = 1, max_features: str | float | None = "sqrt", seed: int = 42,
-               weight: str | None = None, max_bins: int = 32, min_samples_split: int | None = None) -> PipelineModel:
-    """Random forest regression. Depth is clamped to 30; ``min_samples_split`` has no counterpart and is ignored."""
+               weight: str | None = None, max_bins: int = 32, min_samples_split: int = 2) -> PipelineModel:
+    """Random forest regression. Depth is clamped to 30.
+
+    No node of fewer than ``min_samples_split`` rows is split: each side of a split holds at least half as many. Very
+    uneven splits of larger nodes are thereby refused too.
+    """
     if max_depth > MAX_DEPTH:
         log.warning("max_depth %s clamped to %s", max_depth, MAX_DEPTH)
-    if min_samples_split not in (None, 2):
-        log.warning("min_samples_split has no counterpart, ignored")
     rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=n_estimators,
-                               maxDepth=min(max_depth, MAX_DEPTH), minInstancesPerNode=min_samples_leaf,
+                               maxDepth=min(max_depth, MAX_DEPTH), minInstancesPerNode=max(min_samples_leaf, math.ceil(min_samples_split / 2)),
                                featureSubsetStrategy=_subset(max_features), seed=seed, maxBins=max_bins)
     if weight:
         rf = rf.setWeightCol(weight)
@@ -53,15 +55,24 @@ def fit_forest(train: DataFrame, features: Sequence[str], target: str, n_estimat
 
 
 def fit_boosting(train: DataFrame, features: Sequence[str], target: str, n_estimators: int = 1000, max_depth: int = 8,
-                 learning_rate: float = 0.05, subsample: float = 0.8, seed: int = 42,
-                 weight: str | None = None) -> PipelineModel:
+                 learning_rate: float = 0.05, subsample: float = 0.9, column_share: float = 0.9, min_child_weight: float = 1.0,
+                 seed: int = 42, weight: str | None = None) -> PipelineModel:
+    """Gradient boosting on squared error.
+
+    ``column_share`` of the features is drawn for each node. The second derivative of the error is 1 for every row, so
+    ``min_child_weight`` is a least number of rows per node.
+    """
     gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=n_estimators, maxDepth=min(max_depth, MAX_DEPTH),
-                       stepSize=learning_rate, subsamplingRate=subsample, seed=seed)
+                       stepSize=learning_rate, subsamplingRate=subsample, seed=seed, minInstancesPerNode=max(1, math.ceil(min_child_weight)),
+                       featureSubsetStrategy=_subset(None if column_share >= 1 else column_share))
     if weight:
         gbt = gbt.setWeightCol(weight)
     return _fit(gbt, train, features, [target, *([weight] if weight else [])])
 
 
+FITTERS = {"forest": fit_forest, "boosting": fit_boosting}
+
+
 def _fit(estimator, train: DataFrame, features: Sequence[str], keep: Sequence[str]) -> PipelineModel:
     stage = assembler(features)
     model = estimator.fit(stage.transform(train.select(*features, *keep)).select("features", *keep))
@@ -90,94 +101,42 @@ def feature_importance(spark, model: PipelineModel, top: int | None = None) -> D
 
 # ---- single trees -------------------------------------------------------------------------------------------------
 
-@dataclass
-class TreeTable:
-    """Nodes of some trees in flat arrays; a leaf points to itself, so a walk may take any number of steps."""
-
-    roots: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-    depth: int
-
-    def nbytes(self) -> int:
-        return sum(a.nbytes for a in (self.roots, self.feature, self.threshold, self.left, self.right, self.value))
-
-    def walk(self, x: np.ndarray, trees: Sequence[int] | None = None) -> np.ndarray:
-        """Prediction of each tree for each row of ``x``, rows x trees."""
-        roots = self.roots if trees is None else self.roots[list(trees)]
-        at = np.repeat(roots[None, :], len(x), axis=0)
-        for _ in range(self.depth):
-            down = np.take_along_axis(x, self.feature[at], axis=1) <= self.threshold[at]
-            at = np.where(down, self.left[at], self.right[at])
-        return self.value[at]
-
-
-def _node_rows(spark, forest: RandomForestRegressionModel, trees: Sequence[int] | None) -> pd.DataFrame:
-    """Node rows of a fitted forest through its own file format. Their number is the model's, not the data's."""
-    models = forest.trees
-    size = 32 * sum(m.numNodes for m in (models if trees is None else [models[i] for i in trees]))
-    if size > MAX_TREE_BYTES:
-        raise ValueError(f"{size} bytes of tree nodes exceed {MAX_TREE_BYTES}; use fewer trees")
-    path = scratch_path(spark, "forest")
-    forest.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    if trees is not None:
-        nodes = nodes.where(F.col("treeID").isin([int(i) for i in trees]))
-    flat = nodes.select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-                        F.col("nodeData.split.featureIndex").alias("feature"),
-                        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-                        F.col("nodeData.split.numCategories").alias("categories"))
-    out = flat.toPandas().sort_values(["treeID", "id"], ignore_index=True)
-    if (out.loc[out["leftChild"] >= 0, "categories"] != -1).any():
-        raise ValueError("categorical splits are not supported")
+def _groups(trees: Sequence) -> list[list[int]]:
+    """Positions of the trees in groups that one projection evaluates: bounded in number and in nodes."""
+    out, nodes = [], 0
+    for i, tree in enumerate(trees):
+        if not out or len(out[-1]) == GROUP_TREES or nodes + tree.numNodes > GROUP_NODES:
+            out.append([])
+            nodes = 0
+        out[-1].append(i)
+        nodes += tree.numNodes
     return out
 
 
-def tree_table(spark, forest: RandomForestRegressionModel, trees: Sequence[int] | None = None) -> TreeTable:
-    """The nodes of all trees, or of the listed ones in the listed order."""
-    wanted = list(range(forest.getNumTrees)) if trees is None else [int(i) for i in trees]
-    rows = _node_rows(spark, forest, sorted(set(wanted)) if trees is not None else None)
-    offset = {tid: g.index[0] for tid, g in rows.groupby("treeID")}  # nodes of a tree are numbered from 0 without gaps
-    base = rows["treeID"].map(offset).to_numpy()
-    own = np.arange(len(rows))
-    leaf = rows["leftChild"].to_numpy() < 0
-    left = np.where(leaf, own, base + rows["leftChild"].to_numpy())
-    right = np.where(leaf, own, base + rows["rightChild"].to_numpy())
-    models = forest.trees
-    depth = max(models[i].depth for i in set(wanted))
-    return TreeTable(np.array([offset[i] for i in wanted], dtype=np.int32),
-                     np.where(leaf, 0, rows["feature"].fillna(0)).astype(np.int32),
-                     np.where(leaf, 0.0, rows["threshold"].fillna(0.0)), left.astype(np.int32), right.astype(np.int32),
-                     rows["prediction"].to_numpy(), depth)
+def _evaluated(df: DataFrame, trees: Sequence, column: str, inputs=None) -> DataFrame:
+    """Add one array with each tree's prediction. The trees are Spark ML's own models and run in the JVM.
 
+    ``inputs(df, i)`` may add the vector that tree ``i`` reads and name it; by default all read ``features``. A plan
+    carries the nodes of its trees, so beyond one group in nodes the rows are stored between groups.
+    """
+    groups, parts = _groups(trees), []
+    large = not df.isStreaming and sum(t.numNodes for t in trees) > GROUP_NODES
+    for g, group in enumerate(groups):
+        before = df.columns
+        for i in group:
+            df, features = inputs(df, i) if inputs else (df, "features")
+            df = trees[i].copy().setFeaturesCol(features).setPredictionCol(f"_tree_{i}").transform(df)
+        df = df.select(*[F.col(f"`{c}`") for c in before], F.array(*[f"_tree_{i}" for i in group]).alias(f"_group_{g}"))
+        parts.append(f"_group_{g}")
+        if large:
+            df = stored(df, "trees")
+    return df.withColumn(column, F.concat(*parts)).drop(*parts)
 
-def tree_predictions(model: PipelineModel, df: DataFrame, column: str = "tree_preds") -> DataFrame:
-    """Add ``prediction`` and one array with every tree's prediction.
 
-    The JVM model walks all trees once and reports leaf numbers; Arrow batches only look up the leaves' values.
-    """
-    forest: RandomForestRegressionModel = model.stages[-1]
-    spark = df.sparkSession
-    rows = _node_rows(spark, forest, None)
-    leaves = rows[rows["leftChild"] < 0]
-    starts = np.concatenate([[0], leaves.groupby("treeID").size().cumsum().to_numpy()[:-1]])
-    shared = spark.sparkContext.broadcast((starts, leaves["prediction"].to_numpy()))
-
-    @F.pandas_udf("array<double>")
-    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        first, values = shared.value
-        for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype=object)
-                continue
-            numbers = np.vstack(batch.to_numpy()).astype(np.int64)
-            yield pd.Series(list(values[first[None, :] + numbers]))
-
-    numbered = forest.copy().setLeafCol("_leaf").transform(model.stages[0].transform(df))
-    return numbered.withColumn(column, look_up(vector_to_array("_leaf"))).drop("features", "_leaf")
+def tree_predictions(model: PipelineModel, df: DataFrame, column: str = "tree_preds") -> DataFrame:
+    """Add one array with every tree's prediction, and ``prediction``, their mean as the forest itself takes it. Narrow."""
+    out = _evaluated(model.stages[0].transform(df), model.stages[-1].trees, column)
+    return out.withColumn("prediction", array_mean(F.col(column))).drop("features")
 
 
 def with_tree_spread(df: DataFrame, column: str = "tree_preds", kind: str = "none", mean: str = "prediction",
@@ -194,40 +153,15 @@ def linear_tree_predictions(df: DataFrame, kind: str, column: str = "tree_preds"
     return df.withColumn(column, inverse_target_array(F.col(column), kind))
 
 
-def _batch_udf(spark, tables: Mapping[str, TreeTable], work):
-    """Run ``work(tables, matrix)`` per Arrow batch of feature arrays; it returns a frame of ``mean`` and ``std``."""
-    shared = spark.sparkContext.broadcast(dict(tables))
-
-    @F.pandas_udf("struct<mean:double,std:double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                yield pd.DataFrame({"mean": [], "std": []}, dtype=float)
-                continue
-            yield work(shared.value, np.vstack(batch.to_numpy()))
-
-    return run
-
-
-def _feature_array(features: Sequence[str]):
-    return F.array(*[F.col(f).cast("double") for f in features])
-
-
 def fast_tree_spread(model: PipelineModel, df: DataFrame, n_trees: int = 20, seed: int = 42,
                      uncertainty: str = "uncertainty") -> DataFrame:
     """Spread over a seeded subset of trees, scaled by the root of all trees over the requested number."""
-    forest = model.stages[-1]
-    total = forest.getNumTrees
-    chosen = np.random.default_rng(seed).choice(total, size=min(n_trees, total), replace=False)
-    table = tree_table(df.sparkSession, forest, np.sort(chosen))
-    scale = float(np.sqrt(total / n_trees))
-
-    def work(tables, x):
-        preds = tables["t"].walk(x)
-        return pd.DataFrame({"mean": preds.mean(axis=1), "std": preds.std(axis=1) * scale})
-
-    spread = _batch_udf(df.sparkSession, {"t": table}, work)(_feature_array(model_features(model)))
-    return predict(model, df).withColumn("_s", spread).withColumn(uncertainty, F.col("_s.std")).drop("_s")
+    trees = model.stages[-1].trees
+    chosen = np.sort(np.random.default_rng(seed).choice(len(trees), size=min(n_trees, len(trees)), replace=False))
+    scale = float(np.sqrt(len(trees) / n_trees))
+    out = model.stages[-1].transform(model.stages[0].transform(df))
+    out = _evaluated(out, [trees[i] for i in chosen], "_some")
+    return out.withColumn(uncertainty, array_std(F.col("_some")) * F.lit(scale)).drop("_some", "features")
 
 
 def chained_propagation(logg_model: PipelineModel, teff_model: PipelineModel, df: DataFrame,
@@ -238,28 +172,22 @@ def chained_propagation(logg_model: PipelineModel, teff_model: PipelineModel, df
     Trajectory ``j`` takes gravity from gravity tree ``j`` and temperature from one temperature tree drawn for
     ``j``, the same for all rows. Gravity is the temperature model's last feature. No shuffle.
     """
-    logg, teff = logg_model.stages[-1], teff_model.stages[-1]
+    logg, teff = logg_model.stages[-1].trees, teff_model.stages[-1].trees
     rng = np.random.default_rng(seed)
-    total = logg.getNumTrees
+    total = len(logg)
     first = np.arange(total) if n_logg is None or n_logg >= total else np.sort(rng.choice(total, n_logg, replace=False))
-    second = rng.integers(0, teff.getNumTrees, size=len(first))
-    colors = model_features(logg_model)
-    if model_features(teff_model)[:-1] != colors:
+    second = rng.integers(0, len(teff), size=len(first))
+    if model_features(teff_model)[:-1] != model_features(logg_model):
         raise ValueError("the temperature model must use the gravity model's features followed by gravity")
-    spark = df.sparkSession
-    tables = {"logg": tree_table(spark, logg, first), "teff": tree_table(spark, teff, second)}
-    ln10 = float(np.log(10.0))
-
-    def work(shared, x):
-        gravity = shared["logg"].walk(x)
-        paths = np.empty_like(gravity)
-        for j in range(gravity.shape[1]):
-            paths[:, j] = shared["teff"].walk(np.column_stack([x, gravity[:, j]]), [j])[:, 0]
-        m, s = paths.mean(axis=1), paths.std(axis=1)
-        if teff_in_log:
-            m = np.power(10.0, m)
-            s = m * s * ln10
-        return pd.DataFrame({"mean": m, "std": s})
-
-    spread = _batch_udf(spark, tables, work)(_feature_array(colors))
-    return df.withColumn("_p", spread).withColumns({mean: F.col("_p.mean"), std: F.col("_p.std")}).drop("_p")
+    colors = F.array(*[F.col(f).cast("double") for f in model_features(logg_model)])
+
+    def with_gravity(rows: DataFrame, j: int) -> tuple[DataFrame, str]:
+        vector = array_to_vector(F.concat(colors, F.array(F.get("_gravity", F.lit(j)))))
+        return rows.withColumn(f"_input_{j}", vector), f"_input_{j}"
+
+    rows = _evaluated(logg_model.stages[0].transform(df), [logg[i] for i in first], "_gravity").drop("features")
+    paths = _evaluated(rows, [teff[i] for i in second], "_paths", with_gravity)
+    paths = paths.withColumns({mean: array_mean(F.col("_paths")), std: array_std(F.col("_paths"))}).drop("_paths", "_gravity")
+    if teff_in_log:
+        paths = paths.withColumn(mean, F.pow(F.lit(10.0), F.col(mean))).withColumn(std, F.col(mean) * F.col(std) * F.lit(float(np.log(10.0))))
+    return paths

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions.binning import half_open_bin, linear_bin
 from skyfold.functions.missing import finite
-from skyfold.functions.mixture import gmm_columns, mixture_pdf
+from skyfold.functions.mixture import gmm_columns
 from skyfold.operators.metrics import with_median
 from skyfold.operators.ranks import exact_quantiles, quantile_values
 from skyfold.operators.scalars import attach_row
 
+# Rows whose densities are held at once, and cells of a counting grid per bandwidth.
+MAP_ROWS = 4096
+FINE = 8
+
 
 def value_range(df: DataFrame, value: str) -> tuple[float, float]:
     row = df.where(finite(F.col(value))).agg(F.min(value), F.max(value)).first()
@@ -124,43 +131,83 @@ def mixture_density_map(df: DataFrame, truth: str = "true_value", n_grid: int =
     """Summed predictive densities on a grid of true value against estimate.
 
     The grid spans the 0.5 and 99.5 percent quantiles of the true value within ``limits``; rows beyond it count in
-    the edge columns. Every row is expanded over the grid's ``n_grid`` estimates and summed before the shuffle, so
-    at most ``n_grid**2`` partial sums leave a task.
+    the edge columns. A task adds up one array of ``n_grid`` densities for each column of the grid as its rows come, so
+    no row is repeated and at most ``n_grid**2`` sums leave a task.
     """
     lo, hi = quantile_values(df, truth, [0.005, 0.995])
     lo, hi = max(lo, limits[0]), min(hi, limits[1])
     step = (hi - lo) / n_grid
-    w, mu, sd = gmm_columns(df, prefix)
+    parts = gmm_columns(df, prefix)
+    k = len(parts[0])
     ix = F.floor((F.col(truth) - F.lit(lo)) / F.lit(step)).cast("int")
-    rows = df.select(F.least(F.greatest(ix, F.lit(0)), F.lit(n_grid - 1)).alias("ix"), *w, *mu, *sd)
-    wide = rows.withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
-    at = F.lit(lo) + (F.col("iy") + F.lit(0.5)) * F.lit(step)
-    density = wide.groupBy("ix", "iy").agg(F.sum(mixture_pdf(w, mu, sd, at)).alias("density"))
+    inputs = [c.cast("double").alias(f"c{i}") for i, c in enumerate(c for part in parts for c in part)]
+    rows = df.select(F.least(F.greatest(ix, F.lit(0)), F.lit(n_grid - 1)).alias("ix"), *inputs).na.drop()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = lo + (np.arange(n_grid) + 0.5) * step
+        sums, seen = np.zeros((n_grid, n_grid)), np.zeros(n_grid, bool)
+        for batch in batches:
+            column, *values = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + 3 * k))
+            for start in range(0, len(column), MAP_ROWS):
+                part = slice(start, start + MAP_ROWS)
+                density = np.zeros((len(column[part]), n_grid))
+                for w, m, s in zip(values[:k], values[k:2 * k], values[2 * k:]):
+                    z = (at[None, :] - m[part, None]) / s[part, None]
+                    density += (w[part] / (s[part] * math.sqrt(2 * math.pi)))[:, None] * np.exp(-0.5 * z * z)
+                order = np.argsort(column[part], kind="stable")
+                found, first = np.unique(column[part][order], return_index=True)
+                sums[found] += np.add.reduceat(density[order], first, axis=0) if len(found) else 0.0
+                seen[found] = True
+        x = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n_grid), pa.int32()), pa.array(np.tile(np.arange(n_grid), len(x)), pa.int32()),
+                                          pa.array(sums[x].ravel())], names=["ix", "iy", "density"])
+
+    partial = rows.mapInArrow(add_up, "ix int, iy int, density double")
+    density = partial.groupBy("ix", "iy").agg(F.sum("density").alias("density"))
     return density.withColumn("log_density", F.when(F.col("density") > 0, F.log10("density")))
 
 
 def kernel_density(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range: tuple[float, float],
-                   n_bins: int = 60, reach: int = 4) -> DataFrame:
+                   n_bins: int = 60, reach: float = 8.0) -> DataFrame:
     """Gaussian kernel density on the grid's cell centres, from binned counts.
 
-    The bandwidth is Scott's rule on the data's covariance. Each cell's count is spread to the cells within
-    ``reach`` bandwidths by a generated offset list, so the work depends on the grid and not on the rows.
+    The bandwidth is Scott's rule on the data's covariance. Points are counted on a grid that reaches ``reach`` bandwidths
+    beyond the window (what lies further adds less than exp(-reach**2 / 2) of a kernel's peak). Its cells are those of
+    the window, or whole blocks of them where the bandwidth is more than ``FINE`` cells, so their number is bounded by the
+    window's grid and ``reach``, never by rows or bandwidth. Each task sums the kernels of its cells over the window.
     """
     fx, fy = F.col(x).cast("double"), F.col(y).cast("double")
-    stats = df.where(finite(fx) & finite(fy)).agg(
-        F.count("*").alias("n"), F.var_samp(fx).alias("vx"), F.var_samp(fy).alias("vy"), F.covar_samp(fx, fy).alias("c")).first()
+    points = df.where(finite(fx) & finite(fy))
+    stats = points.agg(F.count("*").alias("n"), F.var_samp(fx).alias("vx"), F.var_samp(fy).alias("vy"), F.covar_samp(fx, fy).alias("c")).first()
+    if stats["n"] < 2 or not stats["vx"] * stats["vy"] > stats["c"] ** 2:
+        raise ValueError("a kernel density needs points that do not lie on one line")
     scale = stats["n"] ** (-2.0 / 6.0)
     vx, vy, cov = stats["vx"] * scale, stats["vy"] * scale, stats["c"] * scale
     det = vx * vy - cov * cov
-    wx, wy = (x_range[1] - x_range[0]) / n_bins, (y_range[1] - y_range[0]) / n_bins
-    rx, ry = (min(n_bins - 1, math.ceil(reach * math.sqrt(v) / w)) for v, w in ((vx, wx), (vy, wy)))
-    cells = density_grid(df, x, y, x_range, y_range, n_bins)
-    spread = (cells.withColumn("dx", F.explode(F.sequence(F.lit(-rx), F.lit(rx))))
-              .withColumn("dy", F.explode(F.sequence(F.lit(-ry), F.lit(ry)))))
-    ux, uy = F.col("dx") * F.lit(wx), F.col("dy") * F.lit(wy)
-    q = (ux * ux * F.lit(vy) - F.lit(2.0 * cov) * ux * uy + uy * uy * F.lit(vx)) / F.lit(det)
-    weight = F.exp(F.lit(-0.5) * q) / F.lit(2.0 * math.pi * math.sqrt(det) * stats["n"])
-    return (spread.select((F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy"),
-                          (F.col("n") * weight).alias("_w"))
-            .where(F.col("ix").between(0, n_bins - 1) & F.col("iy").between(0, n_bins - 1))
-            .groupBy("ix", "iy").agg(F.sum("_w").alias("kde")))
+
+    def axis(c: Column, window: tuple[float, float], variance: float) -> tuple[Column, float, float]:
+        """Cell number of a point (null beyond reach), cell width and start of the counting grid."""
+        width = (window[1] - window[0]) / n_bins
+        block = max(1, int(math.sqrt(variance) / (FINE * width)))
+        halo = math.ceil(reach * math.sqrt(variance) / (width * block))
+        cells = math.ceil(n_bins / block) + 2 * halo
+        start = window[0] - halo * block * width
+        cell = F.floor((c - F.lit(start)) / F.lit(block * width)).cast("int")
+        return F.when(cell.between(0, cells - 1), cell), block * width, start
+
+    (cx, wx, x0), (cy, wy, y0) = axis(fx, x_range, vx), axis(fy, y_range, vy)
+    counts = points.groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.count("*").alias("n")).where("cx is not null and cy is not null")
+    peak = 1.0 / (2.0 * math.pi * math.sqrt(det) * stats["n"])
+    centres = [lo + (np.arange(n_bins) + 0.5) * (hi - lo) / n_bins for lo, hi in (x_range, y_range)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_bins, n_bins))
+        for batch in batches:
+            at_x, at_y, n = (batch.column(i).to_numpy() for i in range(3))
+            for px, py, count in zip(x0 + (at_x + 0.5) * wx, y0 + (at_y + 0.5) * wy, n):  # cells, not rows
+                ux, uy = (centres[0] - px)[:, None], (centres[1] - py)[None, :]
+                total += count * np.exp(-0.5 * (ux * ux * vy - 2.0 * cov * ux * uy + uy * uy * vx) / det)
+        cells = np.indices((n_bins, n_bins)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int32()), pa.array(total.ravel() * peak)], names=["ix", "iy", "kde"])
+
+    return counts.mapInArrow(spread, "ix int, iy int, kde double").groupBy("ix", "iy").agg(F.sum("kde").alias("kde"))

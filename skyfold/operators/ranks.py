@@ -82,6 +82,17 @@ def running_sums(df: DataFrame, value: str, measures: Mapping[str, Column] | Non
         F.coalesce(F.lead("value").over(inside), F.col("_next")).alias("next_value"))
 
 
+def quantile_of(p: float, name: str, among: Column | None = None) -> Column:
+    """Aggregate over a running-sum table: the interpolated quantile of the rows counted by measure ``name``."""
+    position = F.lit(float(p)) * (F.col(f"{name}_total") - 1)
+    share = position - F.floor(position)
+    picks = []
+    for k, weight in ((F.floor(position), F.lit(1.0) - share), (F.ceil(position), share)):
+        here = (F.col(f"{name}_before") <= k) & (k < F.col(f"{name}_before") + F.col(name))
+        picks.append(F.sum(F.when(here if among is None else here & among, weight * F.col("value"))))
+    return picks[0] + picks[1]
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
                   cuts: Sequence[float] | None = None) -> DataFrame:
     """One row per distinct value with the mean of the ranks its rows share."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,14 +145,21 @@ def one_per_bin(df: DataFrame, value: str, key: str = "source_id", start: float
                 seed: int = 41) -> DataFrame:
     """One random row per value bin with the bin's row count.
 
-    The row with the least key is a plain aggregate (combined before the shuffle), not a sort of the bin.
+    The least key of each bin is found as a number, an aggregate of fixed-size state; its row is then fetched by bin and
+    key. Of rows with equal keys one is taken.
     """
     lo = F.lit(start) + F.floor((F.col(value) - F.lit(start)) / F.lit(width)) * F.lit(width)
-    rows = df.where(F.col(value) >= start).withColumn("bin_lo", lo)
-    packed = F.struct(*df.columns)
-    return (rows.groupBy("bin_lo").agg(F.min_by(packed, sample_key(key, seed)).alias("_row"),
-                                       F.count("*").alias("bin_count"))
-            .select("bin_lo", "bin_count", "_row.*"))
+    rows = df.where(F.col(value) >= start).withColumns({"bin_lo": lo, "_rank": key_number(sample_key(key, seed))})
+    least = stored(rows.groupBy("bin_lo").agg(F.min("_rank").alias("_rank"), F.count("*").alias("bin_count")), "least")
+    found = rows.join(least, ["bin_lo", "_rank"])
+    one = Window.partitionBy("bin_lo").orderBy("_rank")
+    return found.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("bin_lo", "bin_count", *[F.col(f"`{c}`") for c in df.columns])
+
+
+def key_number(key: Column) -> Column:
+    """The first 30 digits of a hexadecimal key as a number, in the order of the keys."""
+    part = lambda start: F.conv(F.substring(key, start, 15), 16, 10).cast("decimal(19,0)")
+    return (part(1).cast("decimal(38,0)") * F.lit(Decimal(10) ** 18 * 2).cast("decimal(19,0)") + part(16)).cast("decimal(38,0)")
 
 
 def positional_split(df: DataFrame, cuts: Mapping[str, int], key: str = "source_id", seed: int = 35325,

@@ -8,7 +8,7 @@ import logging
 import math
 import random
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
@@ -16,28 +16,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.functions.mixture import with_mixture_scores
-from skyfold.operators.forests import fit_forest, predict, tree_predictions
+from skyfold.operators.forests import FITTERS, MAX_DEPTH, predict, tree_predictions
 from skyfold.operators.mixture_fit import fit_mixtures
 from skyfold.operators.sampling import fixed_size_sample, sample_key, split, stratified_sample
+from skyfold.session import stored
 
 log = logging.getLogger(__name__)
 
-# Default search ranges: low, high, step.
-DEFAULT_SPACE = {
-    "n_estimators": [100, 1000, 50],
-    "max_depth": [5, 50, 1],
-    "min_samples_split": [2, 20, 1],
-    "min_samples_leaf": [1, 10, 1],
-    "max_features": ["sqrt", "log2", None],
+# Default search ranges per kind of model: low, high, step of whole numbers, or the values themselves.
+SPACES = {
+    "forest": {"n_estimators": [100, 1000, 50], "max_depth": [5, MAX_DEPTH, 1], "min_samples_split": [2, 20, 1],
+               "min_samples_leaf": [1, 10, 1], "max_features": ["sqrt", "log2", None]},
+    "boosting": {"n_estimators": [100, 1000, 50], "max_depth": [3, 12, 1], "learning_rate": [0.01, 0.03, 0.05, 0.1, 0.2],
+                 "subsample": [0.6, 0.7, 0.8, 0.9, 1.0], "column_share": [0.6, 0.7, 0.8, 0.9, 1.0], "min_child_weight": [1, 10, 1]},
 }
-TRIALS = ("number int, value double, duration_s double, train double, val double, gap double, n_estimators int, "
-          "max_depth int, min_samples_split int, min_samples_leaf int, max_features string")
+TRIALS = "number int, value double, duration_s double, train double, val double, gap double"
+COLUMN_TYPES = {int: "int", float: "double", str: "string"}
 
 
-def choices(space: Mapping[str, Sequence] | None = None) -> dict[str, list]:
+def trial_schema(space: Mapping[str, Sequence]) -> str:
+    """Columns of the trial table: the scores, then one for each parameter."""
+    kinds = {name: next((COLUMN_TYPES[type(v)] for v in values if v is not None), "string") for name, values in space.items()}
+    return ", ".join([TRIALS, *(f"{name} {kind}" for name, kind in kinds.items())])
+
+
+def choices(space: Mapping[str, Sequence] | None = None, backend: str = "forest") -> dict[str, list]:
     """Every allowed value per parameter; ``[low, high]`` and ``[low, high, step]`` of integers are ranges."""
     out = {}
-    for name, values in {**DEFAULT_SPACE, **(space or {})}.items():
+    unknown = set(space or ()) - set(SPACES[backend])
+    if unknown:
+        raise ValueError(f"{backend} has no parameters {sorted(unknown)}")
+    for name, values in {**SPACES[backend], **(space or {})}.items():
         values = list(values)
         if name != "max_features" and len(values) in (2, 3) and all(isinstance(v, int) for v in values):
             step = values[2] if len(values) == 3 else 50 if name == "n_estimators" else 1
@@ -46,8 +55,8 @@ def choices(space: Mapping[str, Sequence] | None = None) -> dict[str, list]:
     return out
 
 
-def candidates(n: int, space: Mapping[str, Sequence] | None = None, seed: int = 42) -> list[dict]:
-    rng, allowed = random.Random(seed), choices(space)
+def candidates(n: int, space: Mapping[str, Sequence] | None = None, seed: int = 42, backend: str = "forest") -> list[dict]:
+    rng, allowed = random.Random(seed), choices(space, backend)
     return [{name: rng.choice(values) for name, values in allowed.items()} for _ in range(n)]
 
 
@@ -73,30 +82,33 @@ def search(train: DataFrame, features: Sequence[str], target: str, *, key: str =
            space: Mapping[str, Sequence] | None = None, objective: str = "mae", overfit_penalty: float = 0.0,
            patience: int | None = None, timeout: float | None = None, max_samples: int | None = None,
            strata: Sequence[str] = (), weight: str | None = None, components: int = 5, crps_subsample: int | None = None,
-           parallelism: int = 4, seed: int = 42) -> tuple[dict, DataFrame]:
+           parallelism: int = 4, seed: int = 42, backend: str = "forest") -> tuple[dict, DataFrame]:
     """Random search on an inner 80/20 split. Returns the best parameters and the trial table.
 
-    Trials run ``parallelism`` at a time; the search stops once ``patience`` trials in a row bring no better value.
+    Trials run ``parallelism`` at a time; the search stops once ``patience`` trials in a row bring no better value. All
+    trials read one stored table. The CRPS needs a forest: boosted trees are no sample of predictions.
     """
     if objective not in ("mae", "crps"):
         raise ValueError(f"unknown objective {objective!r}")
+    if objective == "crps" and backend != "forest":
+        raise ValueError("the CRPS objective needs a forest")
     spark = train.sparkSession
     columns = list(dict.fromkeys([key, *features, target, *strata, *([weight] if weight else [])]))
     rows = train.select(*columns).na.drop(subset=[*features, target])
     if max_samples:
         rows = stratified_sample(rows, max_samples, strata, key, seed) if strata else fixed_size_sample(rows, max_samples, key, seed)
-    inner = split(rows, key, 0.2, seed, strata).persist()
+    inner = stored(split(rows, key, 0.2, seed, strata), "inner")
     fit_rows = inner.where("split = 'train'")
     sides = {}
     if objective == "crps":
         wanted = ("train", "test") if overfit_penalty else ("test",)
         sides = {s: inner.where(F.col("split") == s) for s in wanted}
         if crps_subsample:  # opt-in: by default every row is scored
-            sides = {s: fixed_size_sample(df, crps_subsample, key, seed).persist() for s, df in sides.items()}
+            sides = {s: stored(fixed_size_sample(df, crps_subsample, key, seed), s) for s, df in sides.items()}
 
     def run(number: int, params: dict) -> tuple:
         start = time.monotonic()
-        model = fit_forest(fit_rows, features, target, seed=seed, weight=weight, **params)
+        model = FITTERS[backend](fit_rows, features, target, seed=seed, weight=weight, **params)
         if objective == "mae":
             scores = _mae(model, inner, target)
         else:
@@ -104,69 +116,59 @@ def search(train: DataFrame, features: Sequence[str], target: str, *, key: str =
         val, tr = scores["test"], scores.get("train")
         gap = abs(tr - val) if tr is not None else None
         value = val + overfit_penalty * gap if overfit_penalty else val
-        return (number, value, time.monotonic() - start, tr, val, gap, params["n_estimators"], params["max_depth"],
-                params["min_samples_split"], params["min_samples_leaf"], params["max_features"])
-
-    plan, done, begun = candidates(n_trials, space, seed), [], time.monotonic()
-    try:
-        with ThreadPoolExecutor(max(1, parallelism)) as pool:
-            for at in range(0, n_trials, parallelism):
-                batch = range(at, min(at + parallelism, n_trials))
-                done += list(pool.map(lambda i: run(i, plan[i]), batch))
-                best = min(done, key=lambda t: t[1])
-                if patience is not None and done[-1][0] - best[0] >= patience:
-                    log.info("no better value for %s trials", patience)
-                    break
-                if timeout is not None and time.monotonic() - begun > timeout:
-                    break
-    finally:
-        for df in (inner, *sides.values()):
-            df.unpersist()
-    return plan[min(done, key=lambda t: t[1])[0]], spark.createDataFrame(done, TRIALS)
+        return (number, value, time.monotonic() - start, tr, val, gap, *params.values())
+
+    plan, done, begun = candidates(n_trials, space, seed, backend), [], time.monotonic()
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        for at in range(0, n_trials, parallelism):
+            batch = range(at, min(at + parallelism, n_trials))
+            done += list(pool.map(lambda i: run(i, plan[i]), batch))
+            best = min(done, key=lambda t: t[1])
+            if patience is not None and done[-1][0] - best[0] >= patience:
+                log.info("no better value for %s trials", patience)
+                break
+            if timeout is not None and time.monotonic() - begun > timeout:
+                break
+    return plan[min(done, key=lambda t: t[1])[0]], spark.createDataFrame(done, trial_schema(choices(space, backend)))
 
 
 def halving_search(train: DataFrame, features: Sequence[str], target: str, *, key: str = "source_id",
                    n_candidates: int = 9, factor: int = 3, cv: int = 3, min_resources: int | None = None,
-                   space: Mapping[str, Sequence] | None = None, parallelism: int = 4,
-                   seed: int = 42) -> tuple[dict, DataFrame]:
+                   space: Mapping[str, Sequence] | None = None, weight: str | None = None, parallelism: int = 4,
+                   seed: int = 42, backend: str = "forest") -> tuple[dict, DataFrame]:
     """Successive halving: all candidates on few rows, the best ``1/factor`` of them on ``factor`` times as many.
 
-    The samples are nested (a prefix of the key order), folds are a function of the id. Returns the best
-    parameters and a table of every candidate's mean score per round.
+    The samples are nested (a prefix of the key order), folds are a function of the id. All fits of a round read one
+    stored sample, with the weights of its rows. Returns the best parameters and a table of every candidate's mean score
+    per round.
     """
-    spark = train.sparkSession
-    key_col = sample_key(key, seed)
-    fold = F.pmod(F.conv(F.substring(key_col, 1, 8), 16, 10).cast("long"), F.lit(cv)).cast("int")
-    rows = train.select(key, *features, target).na.drop(subset=[*features, target]).withColumn("_fold", fold).persist()
-    try:
-        total = rows.count()
-        rounds = max(1, math.ceil(math.log(n_candidates, factor)) + 1)
-        size = min_resources or max(cv * 10, total // factor ** (rounds - 1))
-        alive = dict(enumerate(candidates(n_candidates, space, seed)))
-        history = []
-
-        def score(sample: DataFrame, number: int, f: int) -> tuple[int, float]:
-            model = fit_forest(sample.where(F.col("_fold") != f), features, target, seed=seed, **alive[number])
-            held = predict(model, sample.where(F.col("_fold") == f))
-            return number, held.agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0]
-
-        for number in range(rounds):
-            n = min(total, size * factor ** number)
-            sample = rows if n >= total else fixed_size_sample(rows, n, key, seed).persist()
-            with ThreadPoolExecutor(max(1, parallelism)) as pool:
-                scores = list(pool.map(lambda job: score(sample, *job), [(c, f) for c in alive for f in range(cv)]))
-            if sample is not rows:
-                sample.unpersist()
-            mean = {c: sum(s for i, s in scores if i == c) / cv for c in alive}
-            history += [(number, n, c, m) for c, m in mean.items()]
-            ranked = sorted(mean, key=mean.get)
-            best = alive[ranked[0]]
-            if len(ranked) == 1 or n >= total:
-                break
-            alive = {c: alive[c] for c in ranked[:max(1, len(ranked) // factor)]}
-    finally:
-        rows.unpersist()
-    return best, spark.createDataFrame(history, "round int, n_rows long, candidate int, score double")
+    fold = F.pmod(F.conv(F.substring(sample_key(key, seed), 1, 8), 16, 10).cast("long"), F.lit(cv)).cast("int")
+    columns = list(dict.fromkeys([key, *features, target, *([weight] if weight else [])]))
+    rows = stored(train.select(*columns).na.drop(subset=[*features, target]).withColumn("_fold", fold), "halving")
+    total = rows.count()
+    rounds = max(1, math.ceil(math.log(n_candidates, factor)) + 1)
+    size = min_resources or max(cv * 10, total // factor ** (rounds - 1))
+    alive = dict(enumerate(candidates(n_candidates, space, seed, backend)))
+    history = []
+
+    def score(sample: DataFrame, number: int, f: int) -> tuple[int, float]:
+        model = FITTERS[backend](sample.where(F.col("_fold") != f), features, target, seed=seed, weight=weight, **alive[number])
+        held = predict(model, sample.where(F.col("_fold") == f))
+        return number, held.agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0]
+
+    for number in range(rounds):
+        n = min(total, size * factor ** number)
+        sample = rows if n >= total else stored(fixed_size_sample(rows, n, key, seed), "halving")
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            scores = list(pool.map(lambda job: score(sample, *job), [(c, f) for c in alive for f in range(cv)]))
+        mean = {c: sum(s for i, s in scores if i == c) / cv for c in alive}
+        history += [(number, n, c, m) for c, m in mean.items()]
+        ranked = sorted(mean, key=mean.get)
+        best = alive[ranked[0]]
+        if len(ranked) == 1 or n >= total:
+            break
+        alive = {c: alive[c] for c in ranked[:max(1, len(ranked) // factor)]}
+    return best, train.sparkSession.createDataFrame(history, "round int, n_rows long, candidate int, score double")
 
 
 # ---- result cache ---------------------------------------------------------------------------------------------
@@ -210,12 +212,12 @@ def cache_parameters(spark: SparkSession, path: str, key: str, params: Mapping,
 
 
 def tuned_parameters(path: str, settings: Mapping, train: DataFrame, features: Sequence[str], target: str,
-                     **options) -> tuple[dict, bool]:
+                     find: Callable[..., tuple[dict, DataFrame]] = search, **options) -> tuple[dict, bool]:
     """Parameters from the cache, or from a search that is then cached; tells whether the cache had them."""
     spark, key = train.sparkSession, signature(settings)
     known = cached_parameters(spark, path, key)
     if known:
         return known, True
-    best, trials = search(train, features, target, **options)
+    best, trials = find(train, features, target, **options)
     cache_parameters(spark, path, key, best, trials.count())
     return best, False

@@ -57,7 +57,7 @@ def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
 
     Keys of ``config``: target, features, correction, filters, expressions, feature_engineering, target_transform,
     encode, clustering, split, sample_weight, backend ("forest" or "boosting"), model, tuning (with method "random" or
-    "halving"), mixture. The metadata holds all that scoring new rows needs, the correction and the metrics. Rows whose
+    "halving", and ``cache``, a folder that remembers what was found), mixture. The metadata holds all that scoring new rows needs, the correction and the metrics. Rows whose
     features or target are infinite cannot be fitted; their number is in the metadata as ``rows_not_finite``.
     """
     rows, features, target = prepare_training(df, config)
@@ -81,8 +81,8 @@ def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
     if config.get("encode"):
         enc = encoding.fit_encoder(rows.where(is_train), config["encode"], config.get("encoding", "onehot"))
         rows = enc.transform(rows, drop=False)
-        named = enc.output_names() if enc.kind == "onehot" else [f"{c}_ordinal" for c in enc.levels]
-        features = [f for f in features if f not in enc.levels] + named
+        named = enc.output_names() if enc.kind == "onehot" else [f"{c}_ordinal" for c in enc.output_names()]
+        features = [f for f in features if f not in config["encode"]] + named
         metadata["encoder"] = enc.to_dict()
     if config.get("clustering"):
         cl = clustering.fit_clustering(rows.where(is_train), features, **config["clustering"])
@@ -94,15 +94,11 @@ def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
     rows = stored(rows, "split")
     train, test = rows.where(is_train), rows.where(~is_train)
     params = dict(config.get("model", {}))
-    if config.get("tuning"):
-        options = dict(config["tuning"])
-        if options.pop("method", "random") == "halving":
-            params.update(tuning.halving_search(train, features, "_y", **options)[0])
-        else:
-            params.update(tuning.search(train, features, "_y", key=key, weight=weight, **options)[0])
     backend = config.get("backend", "forest")
-    fit = {"forest": forests.fit_forest, "boosting": forests.fit_boosting}[backend]
-    model = fit(train, features, "_y", weight=weight, **params)
+    if config.get("tuning"):
+        found, metadata["tuning_cached"] = tuned(train, features, config, key)
+        params.update(found)
+    model = forests.FITTERS[backend](train, features, "_y", weight=weight, **params)
     metadata.update(features=features, hyperparameters=params, backend=backend)
 
     metrics = stored(evaluate(model, rows, target, metadata["target_transform"]), "metrics")
@@ -116,6 +112,24 @@ def train_model(df: DataFrame, config: Mapping, key: str = "source_id") -> dict:
     return {"model": model, "metadata": metadata, "metrics": metrics, "test": scored, "rows": rows}
 
 
+# Settings that decide what a search would find, besides its own options.
+SEARCHED = ("target", "features", "correction", "filters", "expressions", "feature_engineering", "target_transform", "encode", "encoding",
+            "clustering", "split", "sample_weight", "backend")
+
+
+def tuned(train: DataFrame, features: list[str], config: Mapping, key: str) -> tuple[dict, bool]:
+    """Parameters found by the configured search; with a ``cache`` folder an equal configuration is searched once."""
+    options = dict(config["tuning"])
+    cache, method = options.pop("cache", None), options.pop("method", "random")
+    find = {"random": tuning.search, "halving": tuning.halving_search}[method]
+
+    options.update(key=key, weight=config.get("sample_weight"), backend=config.get("backend", "forest"))
+    if cache is None:
+        return find(train, features, "_y", **options)[0], False
+    settings = {name: config[name] for name in SEARCHED if name in config} | {"tuning": {"method": method, **options}}
+    return tuning.tuned_parameters(cache, settings, train, features, "_y", find, **options)
+
+
 def evaluate(model: PipelineModel, rows: DataFrame, target: str, kind: str) -> DataFrame:
     """Metrics on both splits in linear units, from one pass."""
     scored = forests.predict(model, rows).withColumn("prediction", inverse_target(F.col("prediction"), kind))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from skyfold.functions.mixture import array_mean
@@ -37,14 +38,16 @@ def test_tree_array_mean_is_the_prediction(rows, forest):
     assert r[0] < 1e-8 and (r[1], r[2]) == (7, 7)
 
 
-def test_node_walk_equals_leaf_lookup(spark, rows, forest):
-    pdf = forests.tree_predictions(forest, rows).toPandas()
-    want = np.vstack(pdf["tree_preds"])
-    x = pdf[FEATURES].to_numpy()
-    assert np.allclose(forests.tree_table(spark, forest.stages[-1]).walk(x), want)
-    assert np.allclose(forests.tree_table(spark, forest.stages[-1], [5, 2, 5]).walk(x), want[:, [5, 2, 5]])
-    single = spark.createDataFrame([r for r in rows.select(*FEATURES).limit(1).collect()])
-    assert forests.tree_predictions(forest, single).count() == 1
+def test_tree_predictions_are_those_of_each_tree(spark, rows, forest, monkeypatch):
+    want = np.array([[t.predict(Vectors.dense([r.a, r.b, r.c])) for t in forest.stages[-1].trees] for r in rows.orderBy("source_id").limit(20).collect()])
+    found = lambda: np.vstack(forests.tree_predictions(forest, rows).orderBy("source_id").limit(20).toPandas()["tree_preds"])
+    assert np.allclose(found(), want)
+    plan = forests.tree_predictions(forest, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(forests, "GROUP_TREES", 3)
+    assert np.allclose(found(), want)
+    monkeypatch.setattr(forests, "GROUP_NODES", 5)  # one tree a group, stored in between
+    assert np.allclose(found(), want)
 
 
 def test_fast_spread_scales_by_the_requested_number(rows, forest):
@@ -80,7 +83,7 @@ def test_missing_feature_and_clamped_depth(rows, forest, caplog):
     with pytest.raises(ValueError):
         forests.predict(forest, rows.drop("b"))
     forests.fit_forest(rows.limit(50), FEATURES, "teff", n_estimators=1, max_depth=40, min_samples_split=5)
-    assert "clamped" in caplog.text and "no counterpart" in caplog.text
+    assert "clamped" in caplog.text
 
 
 def test_weights_travel_with_rows(rows):
@@ -94,7 +97,8 @@ def test_importance_order(spark, rows, forest):
     assert len(out) == 2 and out[0] == "a"
 
 
-@pytest.mark.parametrize("method,kind", [("kmeans", "full"), ("gmm", "full"), ("gmm", "tied"), ("gmm", "diag"), ("gmm", "spherical"), ("bayesian_gmm", "full")])
+@pytest.mark.parametrize("method,kind", [("kmeans", "full"), ("gmm", "full"), ("gmm", "tied"), ("gmm", "diag"), ("gmm", "spherical"), ("bayesian_gmm", "full"),
+                                         ("bayesian_gmm", "tied"), ("bayesian_gmm", "diag"), ("bayesian_gmm", "spherical")])
 def test_membership(rows, method, kind):
     k = 5 if method == "bayesian_gmm" else 3
     rows = rows.withColumn("d", F.col("a") + F.col("b") * 0.5)
@@ -112,6 +116,30 @@ def test_membership(rows, method, kind):
         assert 3 <= c.effective_clusters() <= 5
 
 
+@pytest.mark.parametrize("method,kind", [("gmm", "tied"), ("gmm", "diag"), ("gmm", "spherical"), ("bayesian_gmm", "full"), ("bayesian_gmm", "tied")])
+def test_the_best_of_several_starts_wins(rows, monkeypatch, method, kind):
+    rows = rows.withColumn("d", F.col("a") + F.col("b") * 0.5)
+    real, asked, passes = clustering._kmeans, [], []
+
+    def starts(points, features, k, max_iter, n_init, seed):
+        asked.append(seed)
+        if seed == 42:  # a bad start: all centres in one place
+            return np.array([[9.0, 9.0], [9.1, 9.1], [9.2, 9.2]]), None
+        return real(points, features, k, max_iter, n_init, seed)
+    counted = clustering._statistics
+    monkeypatch.setattr(clustering, "_kmeans", starts)
+    monkeypatch.setattr(clustering, "_statistics", lambda *a: passes.append(len(a[1])) or counted(*a))
+    fit = lambda n: clustering.fit_clustering(rows, ["a", "d"], method, 3, covariance_type=kind, max_iter=8, n_init=n)
+    alone = fit(1).log_likelihood
+    assert asked == [42] and set(passes) == {1}
+    asked.clear(), passes.clear()
+    best = fit(3)
+    assert asked == [42, 43, 44] and passes[0] == 3 and len(passes) <= 9  # one pass a round for all starts
+    assert best.log_likelihood > alone + 0.01
+    worse = clustering.fit_clustering(rows, ["a", "d"], method, 3, covariance_type=kind, max_iter=8, n_init=1, seed=43).log_likelihood
+    assert best.log_likelihood >= worse - 1e-9
+
+
 def test_kmeans_membership_formula(rows):
     c = clustering.fit_clustering(rows, ["a", "b"], "kmeans", 2)
     r = c.transform(rows).first()
@@ -152,7 +180,7 @@ def test_crps_objective_and_halving(rows):
     best, history = tuning.halving_search(rows, FEATURES, "teff", n_candidates=3, factor=3, cv=2, space=SPACE)
     per_round = {r["round"]: (r["count"]) for r in history.groupBy("round").count().collect()}
     assert per_round == {0: 3, 1: 1}
-    assert set(best) == set(tuning.DEFAULT_SPACE)
+    assert set(best) == set(tuning.SPACES["forest"])
 
 
 def test_signature_and_cache(spark, rows, tmp_path):
@@ -183,6 +211,71 @@ def test_prediction_replays_the_recipe(rows, how):
     assert worst[0] < 1e-6 and worst[1] < 1e-6 and worst[2] > 100
 
 
+def test_sentinels_go_before_expressions(rows):
+    config = {"target": "teff", "features": [*FEATURES, "mix"], "expressions": {"mix": "a + b"}, "model": {"n_estimators": 4, "max_depth": 4}, "mixture": {"k": 2}}
+    out = train_plan.train_model(rows, config)
+    bad = F.when(F.col("source_id") == 5, -999.0).when(F.col("source_id") == 6, float("nan")).otherwise(F.col("b"))
+    table = predict_plan.predict_catalog(rows.withColumn("b", bad), out["model"], out["metadata"], target_name="teff", include=["b"])
+    assert table.where("source_id in (5, 6)").count() == 0 and table.count() == rows.count() - 2
+    # A column that is only carried along keeps its sentinel.
+    kept = predict_plan.predict_catalog(rows.withColumn("logg", F.lit(-999.0)), out["model"], out["metadata"], target_name="teff", include=["logg"])
+    assert kept.where("logg = -999").count() == rows.count()
+
+
+def test_boosting_is_tuned_and_predicts_without_spread(rows):
+    space = {"n_estimators": [2, 4, 2], "max_depth": [2, 3], "subsample": [0.8], "min_child_weight": [1, 200, 199]}
+    config = {"target": "teff", "features": FEATURES, "backend": "boosting"}
+    for tuning_options in ({"n_trials": 2, "space": space}, {"method": "halving", "n_candidates": 2, "cv": 2, "space": space}):
+        out = train_plan.train_model(rows, config | {"tuning": tuning_options})
+        assert set(out["metadata"]["hyperparameters"]) == set(tuning.SPACES["boosting"])
+        table = predict_plan.predict_catalog(rows, out["model"], out["metadata"], target_name="teff")
+        assert table.columns == ["source_id", "teff_predicted"] and table.count() == rows.count()
+    _, trials = tuning.search(rows, FEATURES, "teff", n_trials=2, space=space, backend="boosting")
+    assert {"learning_rate", "column_share"} <= set(trials.columns)
+    with pytest.raises(ValueError):
+        tuning.search(rows, FEATURES, "teff", objective="crps", backend="boosting")
+    with pytest.raises(ValueError):
+        tuning.search(rows, FEATURES, "teff", space={"min_samples_leaf": [1]}, backend="boosting")
+
+
+def test_booster_parameters_reach_the_model(rows):
+    stage = forests.fit_boosting(rows, FEATURES, "teff", n_estimators=1, max_depth=2, column_share=0.5, min_child_weight=7.5).stages[-1]
+    assert (stage.getFeatureSubsetStrategy(), stage.getMinInstancesPerNode(), stage.getSubsamplingRate()) == ("0.5", 8, 0.9)
+    assert forests.fit_forest(rows, FEATURES, "teff", n_estimators=1, max_depth=2, min_samples_split=9).stages[-1].getMinInstancesPerNode() == 5
+
+
+def test_halving_uses_weights(rows):
+    # Rows with weight 0 are wrong by far: a search that ignores weights sees larger errors.
+    spoiled = rows.withColumn("w", F.when(F.col("source_id") % 3 > 0, 1.0).otherwise(0.0)).withColumn("y", F.when(F.col("w") > 0, F.col("teff")).otherwise(F.col("teff") + 1e5))
+    options = {"n_candidates": 2, "cv": 2, "space": {**SPACE, "max_features": [None]}}
+    with_weights = tuning.halving_search(spoiled, FEATURES, "y", weight="w", **options)[1].agg(F.min("score")).first()[0]
+    without = tuning.halving_search(spoiled, FEATURES, "y", **options)[1].agg(F.min("score")).first()[0]
+    assert with_weights < without - 1e3
+    captured = []
+    original = tuning.halving_search
+    train_plan.tuning.halving_search = lambda *a, **k: captured.append(k) or original(*a, **k)
+    try:
+        train_plan.train_model(rows.withColumn("w", F.lit(1.0)), {"target": "teff", "features": FEATURES, "sample_weight": "w", "mixture": {"k": 2},
+                                                                  "tuning": {"method": "halving", "n_candidates": 2, "cv": 2, "space": SPACE}})
+    finally:
+        train_plan.tuning.halving_search = original
+    assert captured[0]["weight"] == "w"
+
+
+def test_training_remembers_what_a_search_found(rows, tmp_path, monkeypatch):
+    config = {"target": "teff", "features": FEATURES, "mixture": {"k": 2}, "tuning": {"n_trials": 1, "space": SPACE, "cache": str(tmp_path / "cache")}}
+    first = train_plan.train_model(rows, config)
+    assert first["metadata"]["tuning_cached"] is False
+
+    def no_search(*_, **__):
+        raise AssertionError("searched again")
+    monkeypatch.setattr(tuning, "search", no_search)
+    again = train_plan.train_model(rows, config)
+    assert again["metadata"]["tuning_cached"] is True and again["metadata"]["hyperparameters"] == first["metadata"]["hyperparameters"]
+    with pytest.raises(AssertionError):
+        train_plan.train_model(rows, config | {"target_transform": "log10"})
+
+
 def test_backends_and_search_methods(rows):
     base = {"target": "teff", "features": FEATURES}
     out = train_plan.train_model(rows, base | {"backend": "boosting", "model": {"n_estimators": 3, "max_depth": 3}})

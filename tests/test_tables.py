@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyfold.operators import agreement, detections, encoding, ensemble, histograms, joins, metrics, ranks, sampling
+from skyfold.operators import agreement, detections, encoding, ensemble, histograms, joins, metrics, profile, ranks, sampling
 
 NAN = float("nan")
 
@@ -236,3 +236,104 @@ def test_kernel_density_integrates_to_one(spark):
 def test_coverage_adds_up(tables):
     r = metrics.coverage_overlap(tables.catalog, F.col("teff_gaia") > 0, F.col("logg_gaia") > 0).first()
     assert r["n_both"] + r["n_only_a"] + r["n_only_b"] + r["n_neither"] == r["n_total"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ordinal_levels_beyond_literals(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "MAX_LITERALS", 10)
+    rows = spark.range(3000).select("id", F.concat(F.lit("k"), F.col("id") % 997).alias("kind"))
+    fitted = encoding.fit_encoder(rows.where("kind <> 'k5'"), ["kind"], "ordinal")
+    assert not fitted.levels and fitted.output_names() == ["kind"]
+    out = encoding.CategoryEncoder.from_dict(fitted.to_dict()).transform(rows)
+    want = {k: float(i) for i, k in enumerate(sorted(f"k{i}" for i in range(997) if i != 5))} | {"k5": -1.0}
+    assert out.columns == ["id", "kind"] and out.count() == 3000
+    assert all(r["kind"] == want[f"k{r['id'] % 997}"] for r in out.collect())
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(encoding, "MAX_COLUMNS", 10)
+        encoding.fit_encoder(rows, ["kind"])
+
+
+def test_one_per_bin_keeps_fixed_state(spark):
+    df = spark.createDataFrame([(i % 40, 3000.0 + (i * 37) % 5000, f"n{i}") for i in range(400)], "source_id long, t double, name string")
+    text = plan_of(sampling.one_per_bin(df, "t"))
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+    out = sampling.one_per_bin(df, "t").collect()
+    assert len(out) == 5 and sum(r["bin_count"] for r in out) == 400
+    import hashlib
+    key = lambda i: hashlib.md5(f"41-{i}".encode()).hexdigest()
+    for r in out:
+        ids = {i % 40 for i in range(400) if 3000 + (i * 37) % 5000 >= r["bin_lo"] and 3000 + (i * 37) % 5000 < r["bin_lo"] + 1000}
+        assert r["source_id"] == min(ids, key=key) and r["bin_lo"] <= r["t"] < r["bin_lo"] + 1000
+
+
+def test_key_numbers_keep_the_order_of_keys(spark):
+    rows = spark.range(500).select(sampling.sample_key("id", 1).alias("k")).select("k", sampling.key_number(F.col("k")).alias("n")).collect()
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["n"])] == sorted(r["k"] for r in rows)
+
+
+def test_kernel_density_counts_points_outside(spark):
+    rng = np.random.default_rng(3)
+    pts = rng.multivariate_normal([0, 0], [[1, 0.6], [0.6, 2]], 4000)
+    df = spark.createDataFrame(pts.tolist(), "x double, y double")
+    cov = np.cov(pts.T) * 4000 ** (-1 / 3)
+    inv, peak = np.linalg.inv(cov), 1 / (2 * np.pi * np.sqrt(np.linalg.det(cov)) * 4000)
+
+    def exact(x, y):
+        u = np.array([x, y]) - pts
+        return peak * np.exp(-0.5 * np.einsum("ni,ij,nj->n", u, inv, u)).sum()
+    for window in ((1.0, 1.4), (-2.0, 2.0)):  # most points outside and cells far below the bandwidth; a wider window
+        k = histograms.kernel_density(df, "x", "y", window, window, 40).collect()
+        assert len(k) == 1600
+        step = (window[1] - window[0]) / 40
+        for r in k[::97]:
+            at = (window[0] + (r["ix"] + 0.5) * step, window[0] + (r["iy"] + 0.5) * step)
+            assert r["kde"] == pytest.approx(exact(*at), rel=0.05, abs=1e-3)
+    with pytest.raises(ValueError):
+        histograms.kernel_density(df.withColumn("y", F.col("x")), "x", "y", (0.0, 1.0), (0.0, 1.0))
+
+
+def test_density_map_repeats_no_row(spark, tables):
+    text = plan_of(histograms.mixture_density_map(tables.test_pred, "y_true", 20))
+    assert "Generate" not in text and "MapInArrow" in text
+
+
+def test_exact_profile_in_long_form(spark):
+    rows = [(i, float(i % 7) if i % 5 else None, "ab"[i % 2] if i % 3 else None, NAN if i == 4 else -999.0 if i == 6 else i / 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, x double, s string, y double")
+    out = profile.profile_columns(df, exact=True)
+    assert "Expand" not in plan_of(out)
+    got = {r["column"]: r for r in out.collect()}
+    assert {c: (r["n"], r["n_missing"], r["n_distinct"]) for c, r in got.items()} == {"i": (60, 0, 60), "x": (48, 12, 7), "s": (40, 20, 2), "y": (58, 2, 58)}
+    y = np.array([r[3] for r in rows if r[0] not in (4, 6)])
+    assert got["y"]["p25"] == pytest.approx(np.quantile(y, 0.25)) and got["y"]["p95"] == pytest.approx(np.quantile(y, 0.95)) and got["s"]["p50"] is None
+    parts = profile.profile_table(df, bins=5, sample=3, key="i", exact=True)
+    assert set(parts) == {"columns", "top", "histograms", "correlations", "sample"} and parts["sample"].count() == 3
+    counts, edges = np.histogram(y, 5)
+    hist = parts["histograms"].where("column = 'y'").orderBy("bin").collect()
+    assert [h["n"] for h in hist] == counts.tolist() and [h["bin_lo"] for h in hist] == pytest.approx(edges[:-1].tolist())
+    assert [(r["value"], r["n"]) for r in parts["top"].orderBy("value").collect()] == [("a", 20), ("b", 20)]
+    empty = profile.profile_columns(df.limit(0), exact=True).collect()
+    assert {r["n"] for r in empty} == {0} and {r["n_distinct"] for r in empty} == {0}
+    assert profile.profile_table(df.limit(0))["histograms"].count() == 0
+
+
+def test_agreement_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(0, 1, 700), 1)
+    y = np.round(x + rng.normal(0.2, 0.5, 700), 1)
+    r = agreement.comparison_metrics(spark.createDataFrame([*zip(x.tolist(), y.tolist()), (NAN, 1.0), (2.0, None)], "x double, y double"), "x", "y").first()
+    d = x - y
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert r["n"] == 700 and r["spearman"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+    assert [r[c] for c in ("p16_diff", "median_diff", "p84_diff")] == pytest.approx(np.quantile(d, [0.16, 0.5, 0.84]).tolist())
+    assert r["mad_diff"] == pytest.approx(np.median(np.abs(d - np.median(d))))
+    at = np.unique(np.concatenate([x, y]))
+    f1, f2 = ((v[None, :] <= at[:, None]).mean(1) for v in (x, y))
+    assert r["ks_stat"] == pytest.approx(np.abs(f1 - f2).max()) and r["wasserstein"] == pytest.approx((np.abs(f1 - f2)[:-1] * np.diff(at)).sum())
+    empty = agreement.comparison_metrics(spark.createDataFrame([(NAN, 1.0)], "x double, y double"), "x", "y").first()
+    assert empty["n"] == 0 and empty["median_diff"] is None and empty["mad_diff"] is None
+    report = agreement.distribution_report(spark.createDataFrame([(v,) for v in x.tolist()], "v double"), "v", spark.createDataFrame([(v,) for v in y[:301].tolist()], "v double"), "v").first()
+    assert (report["n_a"], report["n_b"]) == (700, 301) and report["median_b"] == pytest.approx(np.median(y[:301])) and report["median_a"] == pytest.approx(np.median(x))

@@ -115,14 +115,44 @@ def _(t):
     return rows.select("source_id", "j", F.round("w", 6).alias("w"), F.round("mu", 3).alias("mu"), F.round("sigma", 3).alias("sigma"))
 
 
-@query("d8_fit_mixture_bic")
+def fit_checks(fitted, k, likelihood_of_one):
+    """Invariants of fitted mixtures: weights add to 1, means in order, sigmas positive, likelihood not below that of one component."""
+    w, mu, sd = mx.gmm_columns(fitted)
+    n = F.col("gmm_n_components") if "gmm_n_components" in fitted.columns else F.lit(k)
+    total = sum(w[1:], w[0])
+    ordered = [(F.lit(i) >= n) | (mu[i - 1] <= mu[i]) for i in range(1, k)]
+    padded = [(F.lit(i) < n) | ((w[i] == 0) & (mu[i] == 0) & (sd[i] == 1)) for i in range(k)]
+    positive = [s > 0 for s in sd]
+    every = lambda cs: F.array_min(F.array(*[c.cast("int") for c in cs])) == 1
+    density = lambda x: sum((a * F.exp(F.lit(-0.5) * F.pow((x - m) / s, 2)) / s for a, m, s in zip(w[1:], mu[1:], sd[1:])),
+                            w[0] * F.exp(F.lit(-0.5) * F.pow((x - mu[0]) / sd[0], 2)) / sd[0])
+    loglik = mx.array_sum(F.transform("tree_preds", lambda x: F.log(density(x))))
+    return fitted.select("source_id", (F.abs(total - 1) < 1e-9).alias("weights"), every([*ordered, F.lit(True)]).alias("ordered"), every(padded).alias("padded"),
+                         every(positive).alias("positive"), (loglik >= likelihood_of_one - 1e-6).alias("likely"))
+
+
+def one_normal():
+    return -(F.size("tree_preds") * (F.log(mx.array_std(F.col("tree_preds"))) + F.lit(0.5)))
+
+
+CHECKED = "SELECT source_id, TRUE AS weights, TRUE AS ordered, TRUE AS padded, TRUE AS positive, TRUE AS likely FROM v_trees"
+
+
+@query("d7_fit_mixture_full", CHECKED)
 def _(t):
-    return mixture_fit.fit_mixtures_bic(t.trees.select("source_id", "tree_preds"), "tree_preds", 4)
+    return fit_checks(mixture_fit.fit_mixtures(t.trees.select("source_id", "tree_preds"), "tree_preds", 5), 5, one_normal())
 
 
-@query("d9_component_counts")
+@query("d8_fit_mixture_bic", CHECKED)
 def _(t):
-    return mixture_fit.component_count_statistics(mixture_fit.fit_mixtures_bic(t.trees, "tree_preds", 4))
+    return fit_checks(mixture_fit.fit_mixtures_bic(t.trees.select("source_id", "tree_preds"), "tree_preds", 8), 8, one_normal())
+
+
+@query("d9_component_counts", "SELECT TRUE AS mean, TRUE AS median, TRUE AS extremes")
+def _(t):
+    s = mixture_fit.component_count_statistics(mixture_fit.fit_mixtures_bic(t.trees.select("tree_preds"), "tree_preds", 8))
+    inside = lambda c: F.col(c).between(F.col("min"), F.col("max"))
+    return s.select(inside("mean").alias("mean"), inside("median").alias("median"), ((F.col("min") >= 1) & (F.col("max") <= 8)).alias("extremes"))
 
 
 @query("t4_component_order", """WITH c AS (SELECT source_id, unnest([{'mu': gmm_mean_2-(source_id%7)*5e2, 'w': gmm_weight_2}, {'mu': gmm_mean_0, 'w': gmm_weight_0}, {'mu': gmm_mean_1, 'w': gmm_weight_1}]) AS c FROM v_test_pred)
@@ -138,24 +168,28 @@ def _(t):
     return rounded(t.trees.select("source_id", mx.array_mean(F.col("tree_preds")).alias("mean"), mx.array_std(F.col("tree_preds")).alias("std")), 5)
 
 
+# Components of a network's output: all 63 values of a row, the last element is the truth.
+NETWORK = 21
+
+
 def decomposed(t):
-    mu, sd, w = mx.decompose_outputs(F.col("raw"), 3)
+    mu, sd, w = mx.decompose_outputs(F.col("raw"), NETWORK)
     return t.outputs.select("source_id", "y", mu.alias("mu"), sd.alias("sd"), w.alias("w"))
 
 
-SQL_OUT = """WITH o AS (SELECT source_id, y, raw[1:3] AS mu, list_transform(raw[4:6], lambda x: exp(x)) AS sd, list_transform(raw[7:9], lambda x: exp(x)/list_sum(list_transform(raw[7:9], lambda z: exp(z)))) AS w FROM v_outputs)\n"""
+SQL_OUT = """WITH o AS (SELECT source_id, y, raw[1:21] AS mu, list_transform(raw[22:42], lambda x: exp(x)) AS sd, list_transform(raw[43:63], lambda x: exp(x)/list_sum(list_transform(raw[43:63], lambda z: exp(z)))) AS w FROM v_outputs)\n"""
 
 
-@query("d14_decompose_outputs", SQL_OUT + "SELECT source_id, " + ", ".join(f"round({c}[{i}],9) AS {c}_{i}" for c in ("mu", "sd", "w") for i in (1, 2, 3)) + " FROM o")
+@query("d14_decompose_outputs", SQL_OUT + "SELECT source_id, " + ", ".join(f"round({c}[{i}],9) AS {c}_{i}" for c in ("mu", "sd", "w") for i in range(1, NETWORK + 1)) + " FROM o")
 def _(t):
-    return decomposed(t).select("source_id", *[F.round(F.col(c)[i - 1], 9).alias(f"{c}_{i}") for c in ("mu", "sd", "w") for i in (1, 2, 3)])
+    return decomposed(t).select("source_id", *[F.round(F.col(c)[i - 1], 9).alias(f"{c}_{i}") for c in ("mu", "sd", "w") for i in range(1, NETWORK + 1)])
 
 
-@query("d15_negative_log_likelihood", SQL_OUT + "SELECT source_id, round(-ln(" + "+".join(f"w[{i}]/sqrt(2*pi()*sd[{i}]*sd[{i}])*exp(-pow(y-mu[{i}],2)/(2*sd[{i}]*sd[{i}]))" for i in (1, 2, 3))
-       + "),9) AS strict, round(-ln(" + "+".join(f"w[{i}]/(2*pi()*sd[{i}]*sd[{i}])*exp(-pow(y-mu[{i}],2)/(2*sd[{i}]*sd[{i}]))" for i in (1, 2, 3)) + "),9) AS unrooted FROM o")
+@query("d15_negative_log_likelihood", SQL_OUT + "SELECT source_id, round(-ln(" + "+".join(f"w[{i}]/sqrt(2*pi()*sd[{i}]*sd[{i}])*exp(-pow(y-mu[{i}],2)/(2*sd[{i}]*sd[{i}]))" for i in range(1, NETWORK + 1))
+       + "),9) AS strict, round(-ln(" + "+".join(f"w[{i}]/(2*pi()*sd[{i}]*sd[{i}])*exp(-pow(y-mu[{i}],2)/(2*sd[{i}]*sd[{i}]))" for i in range(1, NETWORK + 1)) + "),9) AS unrooted FROM o")
 def _(t):
-    flat = decomposed(t).select("source_id", "y", *[F.col(c)[i].alias(f"{c}{i}") for c in ("mu", "sd", "w") for i in range(3)])
-    cols = [[F.col(f"{c}{i}") for i in range(3)] for c in ("w", "mu", "sd")]
+    flat = decomposed(t).select("source_id", "y", *[F.col(c)[i].alias(f"{c}{i}") for c in ("mu", "sd", "w") for i in range(NETWORK)])
+    cols = [[F.col(f"{c}{i}") for i in range(NETWORK)] for c in ("w", "mu", "sd")]
     return flat.select("source_id", *[F.round(mx.mixture_nll(*cols, F.col("y"), n), 9).alias(n) for n in ("strict", "unrooted")])
 
 
@@ -171,9 +205,9 @@ SQL_LONG = """SELECT * EXCLUDE (img), unnest(range(len(img)))::INT AS pixel, unn
 
 
 @query("d16_band_differences", "WITH d AS (SELECT source_id, list_concat(bands, [" + ", ".join(
-    f"list_transform(range(9), lambda p: bands[{i}][p+1]-bands[{j}][p+1])" for i in range(1, 6) for j in range(i + 1, 6)) + "]) AS bands FROM v_cutouts) " + SQL_LONG)
+    f"list_transform(range(16), lambda p: bands[{i}][p+1]-bands[{j}][p+1])" for i in range(1, 5) for j in range(i + 1, 5)) + "]) AS bands FROM v_cutouts) " + SQL_LONG)
 def _(t):
-    return long_images(t.cutouts.select("source_id", images.band_differences(F.col("bands")).alias("bands")), "bands")
+    return long_images(t.cutouts.select("source_id", images.band_differences(F.col("bands"), 4).alias("bands")), "bands")
 
 
 @query("d17_image_cleaning", "SELECT source_id, target FROM v_cutouts WHERE len(list_filter(flatten(bands), lambda x: isnan(x))) = 0 AND len(list_filter(flatten(bands), lambda x: x <> 0)) > 0")
@@ -181,17 +215,17 @@ def _(t):
     return images.clean_images(t.cutouts).select("source_id", "target")
 
 
-@query("d18_image_crop", "WITH d AS (SELECT source_id, list_transform(bands, lambda b: [b[5],b[6],b[8],b[9]]) AS bands FROM v_cutouts) " + SQL_LONG)
+@query("d18_image_crop", "WITH d AS (SELECT source_id, list_transform(bands, lambda b: [b[6],b[7],b[10],b[11]]) AS bands FROM v_cutouts) " + SQL_LONG)
 def _(t):
-    return long_images(t.cutouts.select("source_id", images.crop(F.col("bands"), 3, 1, 3).alias("bands")), "bands")
+    return long_images(t.cutouts.select("source_id", images.crop(F.col("bands"), 4, 1, 3).alias("bands")), "bands")
 
 
 @query("d19_rotations", """WITH d AS (SELECT source_id, target, 0 AS turn, bands FROM v_cutouts
- UNION ALL SELECT source_id, target, 1, list_transform(bands, lambda b: [b[3],b[6],b[9],b[2],b[5],b[8],b[1],b[4],b[7]]) FROM v_cutouts
- UNION ALL SELECT source_id, target, 2, list_transform(bands, lambda b: [b[9],b[8],b[7],b[6],b[5],b[4],b[3],b[2],b[1]]) FROM v_cutouts
- UNION ALL SELECT source_id, target, 3, list_transform(bands, lambda b: [b[7],b[4],b[1],b[8],b[5],b[2],b[9],b[6],b[3]]) FROM v_cutouts) """ + SQL_LONG)
+ UNION ALL SELECT source_id, target, 1, list_transform(bands, lambda b: [b[4],b[8],b[12],b[16],b[3],b[7],b[11],b[15],b[2],b[6],b[10],b[14],b[1],b[5],b[9],b[13]]) FROM v_cutouts
+ UNION ALL SELECT source_id, target, 2, list_transform(bands, lambda b: list_reverse(b)) FROM v_cutouts
+ UNION ALL SELECT source_id, target, 3, list_transform(bands, lambda b: [b[13],b[9],b[5],b[1],b[14],b[10],b[6],b[2],b[15],b[11],b[7],b[3],b[16],b[12],b[8],b[4]]) FROM v_cutouts) """ + SQL_LONG)
 def _(t):
-    return long_images(images.augment_rotations(t.cutouts, 3), "bands")
+    return long_images(images.augment_rotations(t.cutouts, 4), "bands")
 
 
 # ---- reports on scores --------------------------------------------------------------------------------------------
@@ -211,11 +245,11 @@ def _(t):
 
 
 @query("a25_density_map", """WITH e AS (SELECT greatest(quantile_cont(y_true,5e-3),25e2) AS lo, least(quantile_cont(y_true,995e-3),5e4) AS hi FROM v_test_pred),
- x AS (SELECT p.*, least(greatest(floor((y_true-lo)/((hi-lo)/50))::INT,0),49) AS ix, lo, (hi-lo)/50 AS step FROM v_test_pred p, e),
+ x AS (SELECT p.*, least(greatest(floor((y_true-lo)/((hi-lo)/200))::INT,0),199) AS ix, lo, (hi-lo)/200 AS step FROM v_test_pred p, e),
  d AS (SELECT ix, iy::INT AS iy, """ + "+".join(f"gmm_weight_{k}*exp(-5e-1*pow((lo+(iy+5e-1)*step-gmm_mean_{k})/gmm_sigma_{k},2))/(gmm_sigma_{k}*sqrt(2*pi()))" for k in K)
-       + """ AS f FROM x, range(50) r(iy)) SELECT ix, iy, round(sum(f),8) AS density FROM d GROUP BY ix, iy""")
+       + """ AS f FROM x, range(200) r(iy)) SELECT ix, iy, round(sum(f),8) AS density FROM d GROUP BY ix, iy""")
 def _(t):
-    d = histograms.mixture_density_map(t.test_pred, "y_true", 50)
+    d = histograms.mixture_density_map(t.test_pred, "y_true", 200)
     return d.select("ix", "iy", F.round("density", 8).alias("density"))
 
 

@@ -92,6 +92,15 @@ def _(t):
     return encoding.fit_encoder(train, ["model_type"], "ordinal").transform(t.catalog.select("source_id", "model_type"))
 
 
+@query("m2_ordinal_many_levels", """WITH l AS (SELECT DISTINCT 'star-' || o_orderkey AS level FROM orders WHERE o_orderstatus <> 'P'),
+ n AS (SELECT level, row_number() OVER (ORDER BY level)-1 AS i FROM l)
+ SELECT o_orderkey AS source_id, coalesce(i,-1)::DOUBLE AS name_ordinal FROM orders LEFT JOIN n ON level = 'star-' || o_orderkey""")
+def _(t):
+    stars = t.raw("orders").select(F.col("o_orderkey").alias("source_id"), "o_orderstatus", F.concat(F.lit("star-"), F.col("o_orderkey").cast("string")).alias("name"))
+    fitted = encoding.fit_encoder(stars.where("o_orderstatus <> 'P'"), ["name"], "ordinal")
+    return encoding.CategoryEncoder.from_dict(fitted.to_dict()).transform(stars, drop=False).select("source_id", "name_ordinal")
+
+
 @query("m3_saved_encoding", """SELECT source_id, CASE WHEN model_type = '1-URGENT' THEN 1e0 ELSE 0e0 END AS "model_type_1-URGENT",
  CASE WHEN model_type = '5-LOW' THEN 1e0 ELSE 0e0 END AS "model_type_5-LOW" FROM v_catalog""")
 def _(t):

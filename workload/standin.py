@@ -77,22 +77,22 @@ SPARK_ARRAYS = {
 SELECT vec_id AS source_id, transform(embedding, x -> 6e3 + 1e4*CAST(x AS DOUBLE)) AS tree_preds, label
 FROM embeddings""",
     "v_cutouts": """
-SELECT vec_id AS source_id, transform(sequence(0,4), b -> transform(slice(embedding, b*9+1, 9),
+SELECT vec_id AS source_id, transform(sequence(0,3), b -> transform(slice(embedding, b*16+1, 16),
   x -> CAST(x AS DOUBLE))) AS bands, CAST(label AS DOUBLE) AS target FROM embeddings""",
     "v_outputs": """
-SELECT vec_id AS source_id, transform(slice(embedding, 1, 9), x -> CAST(x AS DOUBLE)) AS raw,
-  CAST(label AS DOUBLE)/1e1 AS y FROM embeddings""",
+SELECT vec_id AS source_id, transform(slice(embedding, 1, 63), x -> CAST(x AS DOUBLE)) AS raw,
+  CAST(embedding[63] AS DOUBLE) AS y FROM embeddings""",
 }
 DUCK_ARRAYS = {
     "v_trees": """
 SELECT vec_id AS source_id, list_transform(embedding, lambda x: 6e3 + 1e4*CAST(x AS DOUBLE)) AS tree_preds, label
 FROM embeddings""",
     "v_cutouts": """
-SELECT vec_id AS source_id, list_transform(range(5), lambda b: list_transform(embedding[b*9+1 : b*9+9],
+SELECT vec_id AS source_id, list_transform(range(4), lambda b: list_transform(embedding[b*16+1 : b*16+16],
   lambda x: CAST(x AS DOUBLE))) AS bands, CAST(label AS DOUBLE) AS target FROM embeddings""",
     "v_outputs": """
-SELECT vec_id AS source_id, list_transform(embedding[1:9], lambda x: CAST(x AS DOUBLE)) AS raw,
-  CAST(label AS DOUBLE)/1e1 AS y FROM embeddings""",
+SELECT vec_id AS source_id, list_transform(embedding[1:63], lambda x: CAST(x AS DOUBLE)) AS raw,
+  CAST(embedding[64] AS DOUBLE) AS y FROM embeddings""",
 }
 
 

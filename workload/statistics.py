@@ -1,5 +1,7 @@
 """Duplicate handling, aggregates, histograms and agreement statistics."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from skyfold.constants import EIGHT_EDGES, EIGHT_LABELS, TARGET_EDGES, TARGET_LABELS
@@ -323,9 +325,18 @@ def _(t):
     return neat(profile.profile_columns(t.catalog.select(*NUMBERS), exact=True))
 
 
-@query("a26_profile_sketch")
+@query("a26_profile_sketch", "WITH clean AS (SELECT * REPLACE (nullif(teff_gaia,-999e0) AS teff_gaia, nullif(logg_gaia,-999e0) AS logg_gaia) FROM v_catalog) " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, count(*)-count({c}) AS n_missing, round(min({c}),4) AS min, round(max({c}),4) AS max, TRUE AS distinct_near, TRUE AS ordered FROM clean""" for c in NUMBERS))
 def _(t):
-    return profile.profile_columns(t.catalog)
+    # The sketches: distinct counts within a fifth of the exact ones, quantiles in order and in range.
+    sketch = profile.profile_columns(t.catalog.select(*NUMBERS))
+    true = profile.profile_columns(t.catalog.select(*NUMBERS), exact=True).select("column", F.col("n_distinct").alias("exact"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.2 * F.col("exact") + 1
+    chain = ["min", *profile.QUANTILES, "max"]
+    ordered = [F.col(a) <= F.col(b) for a, b in zip(chain, chain[1:])]
+    both = sketch.join(true, "column")
+    return both.select("column", "n", "n_missing", F.round("min", 4).alias("min"), F.round("max", 4).alias("max"), near.alias("distinct_near"),
+                       reduce(lambda a, b: a & b, ordered).alias("ordered"))
 
 
 @query("a26_correlations", "WITH clean AS (SELECT * REPLACE (nullif(teff_gaia,-999e0) AS teff_gaia, nullif(logg_gaia,-999e0) AS logg_gaia) FROM v_catalog) " + " UNION ALL ".join(
@@ -339,6 +350,27 @@ def _(t):
     return profile.top_values(t.catalog, "model_type")
 
 
+CLEAN = "WITH clean AS (SELECT * REPLACE (nullif(teff_gaia,-999e0) AS teff_gaia, nullif(logg_gaia,-999e0) AS logg_gaia) FROM v_catalog) "
+
+
+@query("a26_profile_histograms", CLEAN + " UNION ALL ".join(f"""SELECT '{c}' AS "column", b::INT AS bin, round(lo+b*w,6) AS bin_lo, round(lo+b*w+w,6) AS bin_hi, count({c}) AS n
+ FROM (SELECT lo, w, b FROM (SELECT min({c}) AS lo, (max({c})-min({c}))/50 AS w FROM clean), range(50) r(b)) LEFT JOIN clean ON least(floor(({c}-lo)/w),49) = b GROUP BY b, lo, w""" for c in NUMBERS))
+def _(t):
+    parts = profile.profile_table(t.catalog.select("source_id", *NUMBERS), key="source_id")
+    return parts["histograms"].where(F.col("column") != "source_id").select("column", "bin", F.round("bin_lo", 6).alias("bin_lo"), F.round("bin_hi", 6).alias("bin_hi"), "n")
+
+
+@query("a26_profile_sample", CLEAN + "SELECT * FROM clean ORDER BY md5('42-' || source_id) LIMIT 10")
+def _(t):
+    return profile.profile_table(t.catalog, key="source_id")["sample"]
+
+
+@query("a26_profile_top", CLEAN + """, o AS (SELECT 'model_type' AS "column", model_type AS value FROM clean)
+ SELECT "column", value, count(*) AS n FROM o GROUP BY 1, 2 ORDER BY n DESC, value LIMIT 10""")
+def _(t):
+    return profile.profile_table(t.catalog)["top"]
+
+
 @query("a32_feature_scores", SQL_COLOURS + ", s AS (SELECT * FROM colours WHERE teff_gaia > 0) " + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(pow(corr({c},teff_gaia),2)/(1-pow(corr({c},teff_gaia),2))*(count(*)-2),5) AS f_score FROM s" for c in ("bp_rp", "g_bp", "g_rp", "frequency")))
 def _(t):
@@ -382,22 +414,32 @@ def _(t):
     return metrics.pair_counts(cross(t), {"gaia_t1": has["t1"], "gaia_t2": has["t2"], "t1_t2": has["t1"] & has["t2"]})
 
 
-KDE_SQL = """WITH d AS (SELECT y_true AS x, y_pred AS y FROM v_test_pred), s AS (SELECT count(*) AS n, power(count(*)::DOUBLE, -1e0/3) AS f,
- var_samp(x)*power(count(*)::DOUBLE,-1e0/3) AS vx, var_samp(y)*power(count(*)::DOUBLE,-1e0/3) AS vy, covar_samp(x,y)*power(count(*)::DOUBLE,-1e0/3) AS c FROM d),
- k AS (SELECT least(floor(x/75e1)::INT,39) AS ix, least(floor(y/75e1)::INT,39) AS iy, count(*) AS n FROM d WHERE x BETWEEN 0 AND 3e4 AND y BETWEEN 0 AND 3e4 GROUP BY 1,2),
- w AS (SELECT n AS total, vx, vy, c, vx*vy-c*c AS det, least(39,ceil(4*sqrt(vx)/75e1)) AS rx, least(39,ceil(4*sqrt(vy)/75e1)) AS ry FROM s),
- o AS (SELECT i AS ix, j AS iy FROM range(40) a(i), range(40) b(j)),
- z AS (SELECT o.ix::INT AS ix, o.iy::INT AS iy, k.n*exp(-5e-1*(pow((o.ix-k.ix)*75e1,2)*vy-2*c*(o.ix-k.ix)*75e1*(o.iy-k.iy)*75e1+pow((o.iy-k.iy)*75e1,2)*vx)/det)
-  /(2*pi()*sqrt(det)*total) AS v FROM o, k, w WHERE abs(o.ix-k.ix) <= rx AND abs(o.iy-k.iy) <= ry)
+def kde_sql(lo, hi, bins):
+    """Kernels of all data cells, inside the window or not, summed over the window without any cut."""
+    w = f"{(hi - lo) / bins!r}::DOUBLE"
+    return f"""WITH d AS (SELECT y_true AS x, y_pred AS y FROM v_test_pred), s AS (SELECT count(*) AS n, var_samp(x)*power(count(*)::DOUBLE,-1e0/3) AS vx,
+ var_samp(y)*power(count(*)::DOUBLE,-1e0/3) AS vy, covar_samp(x,y)*power(count(*)::DOUBLE,-1e0/3) AS c FROM d),
+ k AS (SELECT floor((x-{lo})/{w})::INT AS ix, floor((y-{lo})/{w})::INT AS iy, count(*) AS n FROM d GROUP BY 1,2),
+ w AS (SELECT n AS total, vx, vy, c, vx*vy-c*c AS det FROM s),
+ o AS (SELECT i AS ix, j AS iy FROM range({bins}) a(i), range({bins}) b(j)),
+ z AS (SELECT o.ix::INT AS ix, o.iy::INT AS iy, k.n*exp(-5e-1*(pow((o.ix-k.ix)*{w},2)*vy-2*c*(o.ix-k.ix)*{w}*(o.iy-k.iy)*{w}+pow((o.iy-k.iy)*{w},2)*vx)/det)
+  /(2*pi()*sqrt(det)*total) AS v FROM o, k, w)
  SELECT ix, iy, round(sum(v)*1e8,6) AS kde FROM z GROUP BY ix, iy"""
 
 
-@query("a34_kernel_density", KDE_SQL)
+@query("a34_kernel_density", kde_sql(0, 30000, 40))
 def _(t):
     k = histograms.kernel_density(t.test_pred, T, P, (0.0, 30000.0), (0.0, 30000.0), 40)
     return k.select("ix", "iy", F.round(F.col("kde") * F.lit(1e8), 6).alias("kde"))
 
 
+@query("a34_kernel_density_window", kde_sql(5000, 12000, 30))
+def _(t):
+    # Most points lie outside this window.
+    k = histograms.kernel_density(t.test_pred, T, P, (5000.0, 12000.0), (5000.0, 12000.0), 30)
+    return k.select("ix", "iy", F.round(F.col("kde") * F.lit(1e8), 6).alias("kde"))
+
+
 # ---- ranks ------------------------------------------------------------------------------------------------------
 
 @query("w1_empirical_cdf", """SELECT DISTINCT y_true AS value, count(*) OVER (PARTITION BY y_true) AS n, round((rank() OVER (ORDER BY y_true)-1)/(count(*) OVER ()-1)::DOUBLE,9) AS cdf FROM v_test_pred""")
