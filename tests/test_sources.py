@@ -141,3 +141,14 @@ def test_fits_scaling_and_unsigned_columns():
     assert fits._column(np.array([4, -5], ">i2"), field, to_arrow_type(field.type())).to_pylist() == [4.0, None]
     layout = fits.TableLayout(5760, 10, 100, [])
     assert layout.rows_from(0, 5760) == range(0, 0) and layout.rows_from(0, 5761) == range(0, 1) and layout.rows_from(5765, 10**9) == range(1, 100)
+
+
+def test_scratch_folders_are_discarded(spark, monkeypatch):
+    import os
+    from skyfold import session
+    monkeypatch.setattr(session, "_made", [])
+    table = session.stored(spark.range(3), "mine")
+    path = session._made[0]
+    assert table.count() == 3 and os.path.isdir(path)
+    session.discard_scratch(spark)
+    assert not os.path.exists(path) and not session._made
