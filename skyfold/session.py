@@ -45,7 +45,7 @@ def scratch_root(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(root)
         return root
-    if not sc.master.startswith("local"):
+    if sc.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="skyfold-"))
     return sc.getCheckpointDir()
@@ -53,7 +53,21 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the scratch folder that nobody else uses."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+# Scratch folders this process has named.
+_made: list[str] = []
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete the folders this process has written to the scratch folder; tables that read them are of no more use."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _made:
+        path = hadoop.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

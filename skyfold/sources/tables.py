@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,19 +47,25 @@ def write_bucketed(df: DataFrame, table: str, key: str = "source_id", buckets: i
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrite a table that ``df`` itself reads: write beside it, then swap the folders.
 
-    The old table is removed only after the new one is in place.
+    The old table is put back if the swap fails and removed only after the new one is in place; the folders beside it have
+    names of their own, so nothing that an earlier, broken run left is ever deleted. File systems without an atomic
+    exchange of folders have a moment between the two moves in which readers find no table.
     """
-    spark = df.sparkSession
-    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
-    df.write.mode("overwrite").parquet(new)
+    spark, path = df.sparkSession, path.rstrip("/")
+    mark = uuid.uuid4().hex
+    new, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    df.write.parquet(new)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop.Path(old), True)
-    if fs.exists(hadoop.Path(path)) and not fs.rename(hadoop.Path(path), hadoop.Path(old)):
+    had = fs.exists(hadoop.Path(path))
+    if had and not fs.rename(hadoop.Path(path), hadoop.Path(old)):
         raise OSError(f"cannot move {path} aside")
     if not fs.rename(hadoop.Path(new), hadoop.Path(path)):
+        if had:
+            fs.rename(hadoop.Path(old), hadoop.Path(path))
         raise OSError(f"cannot move {new} to {path}")
-    fs.delete(hadoop.Path(old), True)
+    if had:
+        fs.delete(hadoop.Path(old), True)
 
 
 def prediction_table(df: DataFrame, target: str, key: str = "source_id", features: Sequence[str] = (),
