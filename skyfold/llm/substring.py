@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from skyfold.llm.common import FIRST_BASE, SECOND_BASE, ByteWords, Rolling, run_seed, shuffle_partitions, text_bytes
 
 BLOCK_BYTES = 8 << 20
+BLOCKS_PER_TASK = 8
 ENTRIES = 2_000_000
 
 
@@ -110,7 +111,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size_of_text, least = text_bytes(docs.select(F.col(f"`{text}`").alias("text"))), shuffle_partitions(spark)
     blocks, buckets = max(least, 1 + size_of_text // BLOCK_BYTES), max(least, 1 + size_of_text // 6 // ENTRIES)
     source = docs.select(F.pmod(F.xxhash64(f"`{doc_id}`", f"`{text}`"), F.lit(blocks)).alias("block"), F.col(f"`{doc_id}`").cast("long").alias("id"),
-                         F.col(f"`{text}`").alias("text")).repartition(least, "block")
+                         F.col(f"`{text}`").alias("text")).repartition(max(least, blocks // BLOCKS_PER_TASK), "block")
 
     seed = run_seed()
 
@@ -141,8 +142,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"doc_id": block.table.column("id"), "n_words": pa.array(block.words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
                          "removed": pa.array(removed, pa.list_(pa.list_(pa.int32()))), "kept_text": pa.array(kept, pa.string())})
 
-    answers = (source.groupBy("block").applyInArrow(send, "block long, bucket long, hashes binary, ids binary")
-               .groupBy("bucket").applyInArrow(_bucket, "block long, bucket long, bits binary"))
+    sent = source.groupBy("block").applyInArrow(send, "block long, bucket long, hashes binary, ids binary")
+    if buckets > least:  # more buckets than the session's shuffles have tasks
+        sent = sent.repartition(buckets, "bucket")
+    answers = sent.groupBy("bucket").applyInArrow(_bucket, "block long, bucket long, bits binary")
     out = source.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         finish, "doc_id long, n_words long, n_removed long, removed array<array<int>>, kept_text string")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
