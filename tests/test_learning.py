@@ -316,3 +316,24 @@ def test_train_predict_validate(spark, rows, tmp_path):
     report = validate_plan.validation_report(spark.read.parquet(str(tmp_path / "test")))
     assert set(report) == {"metrics", "bins", "rmse_curve", "pit", "crps", "density_map"}
     assert report["metrics"].first()["mae"] == pytest.approx(m["test"]["mae"], rel=1e-9)
+
+
+def test_forest_rows_are_dealt_by_their_number(rows, forest, monkeypatch):
+    seen = []
+    real = forests._fit
+    monkeypatch.setattr(forests, "_fit", lambda estimator, train, *rest: seen.append((estimator, train)) or real(estimator, train, *rest))
+    monkeypatch.setattr(forests, "FIT_ROWS", 400)
+    model = forests.fit_forest(rows.coalesce(1), FEATURES, "teff", n_estimators=3, max_depth=4)
+    estimator, train = seen[0]
+    assert estimator.getCacheNodeIds()
+    sizes = [r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 1500 and max(sizes) < 400
+    assert model.stages[-1].getNumTrees == 3
+
+
+def test_dealt_keeps_every_row(spark):
+    rows = spark.range(900).selectExpr("nullif(id % 3, 0) AS x").coalesce(1)
+    out = forests.dealt(rows, 100)
+    assert out.rdd.getNumPartitions() == 10
+    assert sorted(map(str, out.collect())) == sorted(map(str, rows.collect()))
+    assert forests.dealt(rows.limit(0), 100).count() == 0
