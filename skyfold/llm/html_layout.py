@@ -4,9 +4,10 @@ Pages are independent, so this is one Arrow pass without a shuffle. A tokenizer
 open elements and adds the ends that HTML leaves out; what it opens and closes drives the renderer. Both are
 iterative, so deep nesting costs memory in proportion and no recursion.
 
-The text is never longer than a fixed multiple of the page. Cells are padded so that columns start at one place, unless
-the table holds another table (it then lays the page out) or the padding would make it more than ``STRETCH`` times as long;
-its rows are then written without padding and without empty cells. Marks of lists and quotes are drawn for the outermost
+The text is never longer than a fixed multiple of the page. Cells are padded so that columns start at one place. A column
+is as wide as its longest line of at most ``WIDEST`` characters, and a longer line sticks out whole; a run of empty cells
+takes at most ``WIDEST`` characters. Both hold for every table, whatever its size. Only a table that holds another table
+lays the page out: its rows are written without padding and without empty cells. Marks of lists and quotes are drawn for the outermost
 ``DEEPEST`` levels only.
 """
 
@@ -15,7 +16,6 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +50,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NO_SHOW = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 BULLETS = ("* ", "- ", "+ ")
-STRETCH, SMALL_TABLE = 3, 2000
+WIDEST = 60
 MOST_SPAN = 1000  # as HTML bounds it
 DEEPEST = 12
 
@@ -122,35 +122,47 @@ class Table:
         self.layout = False
 
     def lines(self) -> list[str]:
-        """The rows as lines, with columns that start at one place where the module's rule allows it."""
+        """The rows as lines, with columns that start at one place by the module's rule."""
         rows = [r for r in self.rows if any(cell for cell, _ in r)]
         if self.layout:
             return self.plain(rows)
         widths: dict[int, int] = {}
-        content = drawn = 0
         for row in rows:
             at = 0
             for cell, span in row:
-                widths[at] = max([widths.get(at, 0), *map(len, cell)])
-                content += sum(map(len, cell)) + len(cell)
+                widths[at] = max([widths.get(at, 0), *(len(line) for line in cell if len(line) <= WIDEST)])
                 at += span
         last = max(widths, default=0)
-        upto = list(accumulate((widths.get(c, 0) + 3 for c in range(last + 1)), initial=0))
-        for row in rows:  # what alignment would write
-            drawn += max(len(cell) for cell, _ in row) * upto[min(sum(span for _, span in row), last + 1)]
-        if drawn > SMALL_TABLE + STRETCH * content:
-            return self.plain(rows)
         out = []
         for row in rows:
-            for k in range(max(len(cell) for cell, _ in row)):
+            texts: list[list[tuple[int, str]]] = [[] for _ in range(max(len(cell) for cell, _ in row))]
+            at = 0
+            for cell, span in row:
+                for k, line in enumerate(cell):
+                    if line:
+                        texts[k].append((at, line))
+                at += span
+            end = min(at, last + 1)
+            for line in texts:
                 cells, at = [], 0
-                for cell, span in row:
-                    cells.append((cell[k] if k < len(cell) else "").ljust(widths[at]))
-                    cells += [" " * widths.get(c, 0) for c in range(at + 1, min(at + span, last + 1))]
-                    at += span
-                out.append(" | ".join(cells).rstrip())
+                for start, text in line:
+                    cells += self.blanks(widths, at, start)
+                    cells.append(text.ljust(widths[start]))
+                    at = start + 1
+                out.append(" | ".join(cells + self.blanks(widths, at, end)).rstrip())
         return out
 
+    @staticmethod
+    def blanks(widths: dict[int, int], start: int, end: int) -> list[str]:
+        """Empty cells for a run of columns, as many as ``WIDEST`` characters hold."""
+        cells, room = [], WIDEST
+        for column in range(start, end):
+            room -= widths.get(column, 0) + 3
+            if room < 0:
+                break
+            cells.append(" " * widths.get(column, 0))
+        return cells
+
     @staticmethod
     def plain(rows) -> list[str]:
         """Rows of single lines as one line each; the lines of longer cells below each other."""

@@ -445,3 +445,15 @@ def test_gates_of_the_line_rules_change_nothing(spark):
     assert with_gates == without == ["plain line of text.", "ok line.", "ok line.", "nothing special."]
     own = quality.assess(df, output="q", boilerplate="special", navigation="^$").collect()
     assert own[3]["q"]["clean_text"] == "home" and own[0]["q"]["clean_text"] == texts[0]
+
+
+def test_html_tables_follow_one_rule_at_any_size():
+    start, row = "<table><tr><td>" + "w" * 5000 + "<td>x", "<tr><td>ab<td>b<tr><td>c<td>d"
+    for n in (1, 100, 5000):  # more rows, or one long cell, never change how the others are written
+        want = ["w" * 5000 + " | x"] + ["ab | b", "c  | d"] * n
+        assert html_layout.render(start + row * n + "</table>").split("\n") == want
+    # Neither many lines beside many cells, nor wide spans, multiply.
+    lines = "<table><tr>" + "<td>x" * 20_000 + "<td>" + "a<br>" * 20_000 + "</table>"
+    assert len(html_layout.render(lines)) < 30 * len(lines)
+    assert html_layout.render(lines).count("a") == 20_000
+    assert html_layout.render("<table><tr><td>a1<br>a2<td><td>c<tr><td>long<td>b</table>") == "a1   |   | c\na2   |   |\nlong | b"
