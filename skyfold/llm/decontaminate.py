@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfold.llm.common import FIRST_BASE, ByteWords, Rolling, run_seed, text_bytes, without
+from skyfold.llm.common import FIRST_BASE, ByteWords, Rolling, lean, run_seed, text_bytes, without
 from skyfold.session import stored
 
 # Bytes of words (digits, lower-case letters, everything beyond ASCII); upper-case letters count as
@@ -157,4 +157,4 @@ def _scan(shared, text: str, output: str, more: bool, last: bool):
             kept = [c for i, c in enumerate(batch.columns) if not (more and batch.schema.names[i] == output)]
             names = [n for n in batch.schema.names if not (more and n == output)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, kind)], names=[*names, output])
-    return scan
+    return lean(scan)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import FIRST_BASE, ByteWords, Rolling, mixed, run_seed, shuffle_partitions
+from skyfold.llm.common import FIRST_BASE, ByteWords, Rolling, lean, mixed, run_seed, shuffle_partitions
 from skyfold.llm.components import components
 from skyfold.session import stored
 
@@ -93,7 +93,7 @@ def _cells(rows: DataFrame, hashes: Callable[[], Callable[[pa.RecordBatch], np.n
             total = total | part if marks else total + part
         return pa.table({"slice": table.column("slice")[:1].cast(pa.int32()), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
 
-    found = rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
+    found = rows.mapInArrow(lean(count), "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
     out = np.zeros(cells, kind)
     for r in found:
         out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(zstandard.decompress(r["counts"]), kind)
@@ -119,7 +119,7 @@ def _among(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             at = (batch.column(2).to_numpy().view(np.uint64) & np.uint64(len(marked) - 1)).astype(np.int64)
             yield batch.select([0, 1]).filter(pa.array(marked[at]))
 
-    return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(keep, docs.select("id", "text").schema)
+    return docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(lean(keep), docs.select("id", "text").schema)
 
 
 def point(shingles: np.ndarray) -> tuple[bytes, int]:
@@ -182,7 +182,7 @@ def _sets(docs: DataFrame, kind: str, sketch: np.ndarray, size: int, percent: in
                 pa.ListArray.from_arrays(offsets(own), pa.array(key[own])), pa.ListArray.from_arrays(offsets(~own), links)],
                 names=["id", "n", "d1", "d2", "counts", "scale", "keys", "links"])
 
-    return docs.mapInArrow(make, SETS.format(kind))
+    return docs.mapInArrow(lean(make), SETS.format(kind))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, seed:
                 good.append(enough(len(np.intersect1d(x, kept, assume_unique=True)), len(x), len(kept)) and by_words(a, b))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(check, pairs.select("u", "v").schema)
+    return both.mapInArrow(lean(check), pairs.select("u", "v").schema)
 
 
 class Tree:
@@ -406,5 +406,5 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             bound = np.minimum(points_of(batch.column(4), batch.column(6)), points_of(batch.column(5), batch.column(7))).sum(1)
             yield batch.select([0, 1]).filter(pa.array((100 + percent) * bound >= percent * (n_u + n_v)))
 
-    kept = both.mapInArrow(check, pairs.select("u", "v").schema)
+    kept = both.mapInArrow(lean(check), pairs.select("u", "v").schema)
     return stored(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")

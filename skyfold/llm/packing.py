@@ -10,13 +10,16 @@ without one task seeing a whole length.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyfold.llm.common import lean
 from skyfold.session import stored
 
 CAPACITY = 1024
@@ -25,38 +28,46 @@ END_OF_TEXT = 2
 ODD = re.compile(r"[^\S \n]| {2}| \n|\n |\n\n|<\|endoftext\|>")
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of whole texts.
 
     The vocabulary splits texts before every blank or line end that starts a word, so ids of a text are those of its
     words in a row; words are encoded once, up to a bound of remembered words, by the same vocabulary as ranks. Texts
-    with other white space go whole through the tokenizer that defines the ids.
+    with other white space go whole through the tokenizer that defines the ids, which is loaded when the first comes.
     """
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, tokenizer: str, ranks: str):
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-        self.whole = Tokenizer.from_file(tokenizer)
+        self.tokenizer = tokenizer
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.word = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.tokenizer)
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if ODD.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
         first, *rest = text.replace("\n", " \n").split(" ")
-        known, parts = self.known, [np.array(self.word.encode_ordinary(first), "<u4").tobytes()]
+        known, parts = self.known, [as_bytes(self.word.encode_ordinary(first))]
         for word in rest:
             got = known.get(word)
             if got is None:
-                got = np.array(self.word.encode_ordinary(word if word[:1] == "\n" else " " + word), "<u4").tobytes()
+                got = as_bytes(self.word.encode_ordinary(word if word[:1] == "\n" else " " + word))
                 if len(known) < self.LIMIT:
                     known[word] = got
             parts.append(got)
@@ -99,7 +110,7 @@ def tokenized(docs: DataFrame, tokenizer: str, ranks: str, doc_id: str = "doc_id
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return source.mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return source.mapInArrow(lean(encode), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[int]:

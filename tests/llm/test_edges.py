@@ -457,3 +457,17 @@ def test_html_tables_follow_one_rule_at_any_size():
     assert len(html_layout.render(lines)) < 30 * len(lines)
     assert html_layout.render(lines).count("a") == 20_000
     assert html_layout.render("<table><tr><td>a1<br>a2<td><td>c<tr><td>long<td>b</table>") == "a1   |   | c\na2   |   |\nlong | b"
+
+
+def test_workers_of_packing_hold_little(spark):
+    from skyfold.llm.common import lean
+    encoder = packing.Encoder(*tokenizer_files())
+    want = np.frombuffer(encoder.ids("plain words\nonly"), "<u4").tolist()
+    assert "whole" not in vars(encoder)  # the second vocabulary is loaded for odd texts only
+    assert want == encoder.whole.encode("plain words\nonly", add_special_tokens=False).ids
+    encoder.LIMIT = 3
+    text = " ".join(f"word{i}" for i in range(50))
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) <= 5
+    assert list(lean(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4]
+    assert spark.range(50).mapInArrow(lean(lambda batches: batches), "id long").count() == 50
