@@ -1,14 +1,16 @@
 """Learning jobs: invariants."""
 
 import math
+import uuid
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from skyfold.functions.mixture import array_mean
-from skyfold.operators import clustering, forests, tuning
+from skyfold.operators import clustering, forest_grid, forests, tuning
 from skyfold.plans import predict as predict_plan
 from skyfold.plans import train as train_plan
 from skyfold.plans import validate as validate_plan
@@ -79,6 +81,100 @@ def test_chain_against_brute_force(spark, rows):
         forests.chained_propagation(teff, logg, rows)
 
 
+@pytest.fixture
+def on_grid(monkeypatch):
+    monkeypatch.setattr(forests, "GRID_ROWS", 0)
+
+
+def jobs(spark, work):
+    group = str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_fit_on_the_grid_makes_no_pass_per_level(spark, rows, on_grid):
+    fit = lambda depth: forests.fit_forest(rows, FEATURES, "teff", n_estimators=5, max_depth=depth, min_samples_leaf=3)
+    (low, few), (high, many) = jobs(spark, lambda: fit(3)), jobs(spark, lambda: fit(12))
+    assert many <= few + 1
+    trees = high.stages[-1].trees
+    assert len(trees) == 5 and max(t.depth for t in trees) > 6 and low.stages[-1].trees[0].depth == 3
+    error = lambda m: forests.predict(m, rows).select(F.sqrt(F.avg((F.col("prediction") - F.col("teff")) ** 2))).first()[0]
+    assert error(high) < error(low) and error(high) < 200
+    path = spark.sparkContext.getCheckpointDir() + "/kept-" + uuid.uuid4().hex
+    high.save(path)
+    kept = PipelineModel.load(path)
+    assert kept.stages[-1].totalNumNodes == high.stages[-1].totalNumNodes and error(kept) == pytest.approx(error(high))
+
+
+def test_each_node_of_the_grid_holds_the_sums_of_its_rows(spark, rows, on_grid):
+    model = forests.fit_forest(rows, FEATURES, "teff", n_estimators=3, max_depth=4, max_features=None, min_samples_leaf=20)
+    path = spark.sparkContext.getCheckpointDir() + "/nodes-" + uuid.uuid4().hex
+    model.stages[-1].save(path)
+    nodes = {(r[0], r[1]["id"]): r[1] for r in spark.read.parquet(path + "/data").collect()}
+    for tree in range(3):
+        root = nodes[tree, 0]
+        assert 1300 < root["rawCount"] < 1700  # a bootstrap of 1500 rows
+        for (t, _), n in nodes.items():
+            if t == tree and n["leftChild"] >= 0:
+                a, b = nodes[t, n["leftChild"]], nodes[t, n["rightChild"]]
+                assert min(a["rawCount"], b["rawCount"]) >= 20
+                assert np.allclose(np.add(a["impurityStats"], b["impurityStats"]), n["impurityStats"])
+                lost = n["impurity"] * n["rawCount"] - a["impurity"] * a["rawCount"] - b["impurity"] * b["rawCount"]
+                assert n["gain"] > 0 and n["gain"] * n["rawCount"] == pytest.approx(lost, rel=1e-6, abs=1e-3)
+
+
+def test_a_tree_over_cells_splits_where_the_variance_falls_most():
+    rng = np.random.default_rng(5)
+    bins, n, y = rng.integers(0, 4, (2, 40)), rng.integers(1, 5, 40).astype(float), rng.normal(1e4, 1, 40)
+    tree = forest_grid.grown(bins, [4, 4], n, n * y, n * y * y, 1, 1, 2, rng)
+    spread = lambda at: n[at] @ (y[at] - np.average(y[at], weights=n[at])) ** 2
+    best = min((spread(bins[f] <= b) + spread(bins[f] > b), f, b) for f in range(2) for b in range(3))
+    assert (tree["feature"][0], tree["cut"][0]) == best[1:] and len(tree["n"]) == 3
+    assert np.allclose(tree["mean"][1], np.average(y[bins[best[1]] <= best[2]], weights=n[bins[best[1]] <= best[2]]))
+
+
+def test_candidates_lie_between_all_values_if_they_are_few():
+    assert forest_grid.equal_depth(np.array([3.0, 1, 1, 2]), np.array([1.0, 1000, 1, 1]), 32).tolist() == [1.5, 2.5]
+    cut = forest_grid.equal_depth(np.arange(10_000.0), np.ones(10_000), 4)
+    assert np.allclose(cut, [2500, 5000, 7500], atol=2)
+
+
+def test_rows_of_one_cell_are_evaluated_once(spark, rows, on_grid, monkeypatch):
+    train = rows.withColumn("y", F.log10("teff"))
+    few = {"n_estimators": 30, "max_depth": 9, "max_bins": 8}
+    logg = forests.fit_forest(train, FEATURES, "logg", **few)
+    teff = forests.fit_forest(train, [*FEATURES, "logg"], "y", **few)
+    # Values on a threshold, beyond the last one, and both zeros.
+    edge = [float(t) for t in forest_grid.thresholds_of(logg.stages[-1])[0]]
+    odd = spark.createDataFrame([(i, v, -v, 0.0) for i, v in enumerate([*edge, *np.nextafter(edge, 99).tolist(), 1e300, -math.inf, math.inf, 0.0, -0.0])],
+                                "source_id long, a double, b double, c double")
+    table = rows.select("source_id", *FEATURES).unionAll(odd.withColumn("source_id", F.col("source_id") + 10_000)).unionAll(rows.limit(3).select("source_id", *FEATURES))
+    calls = [lambda: forests.tree_predictions(logg, table), lambda: forests.predict(logg, table), lambda: forests.fast_tree_spread(logg, table, 7),
+             lambda: forests.chained_propagation(logg, teff, table, seed=4), lambda: forests.chained_propagation(logg, teff, table, n_logg=3, teff_in_log=False)]
+    for call in calls:
+        found = call()
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(forest_grid, "CELLS", 0)
+            want = call()
+            assert "Join" not in want._jdf.queryExecution().executedPlan().toString()
+        assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_forest_on_the_grid_refuses_missing_values(rows, on_grid):
+    model = forests.fit_forest(rows, FEATURES, "teff", n_estimators=30, max_depth=9, max_bins=8)
+    for hole in (F.lit(None).cast("double"), F.lit(math.nan)):
+        for column in ("a", "teff"):
+            with pytest.raises(Exception, match="(?i)null|nan"):
+                forests.fit_forest(rows.withColumn(column, F.when(F.col("source_id") == 7, hole).otherwise(F.col(column))), FEATURES, "teff", n_estimators=2)
+        with pytest.raises(Exception, match="(?i)null|nan"):
+            forests.predict(model, rows.withColumn("a", F.when(F.col("source_id") == 7, hole).otherwise(F.col("a")))).collect()
+
+
 def test_missing_feature_and_clamped_depth(rows, forest, caplog):
     with pytest.raises(ValueError):
         forests.predict(forest, rows.drop("b"))
