@@ -110,6 +110,15 @@ def test_spread_is_population(spark):
     assert got == pytest.approx([np.std([1, 2, 4]), 0.0])
 
 
+def test_spread_folds_plain_numbers(spark):
+    arrays = [[0.1] * 100, [1e9, 1e9 + 1, 1e9 + 2], [1e6, *[1.0] * 50], [], None, [1.0, None, 2.0], [None, 1.0], [1.0, math.nan], [math.inf, 1.0], [1.0, math.inf]]
+    df = spark.createDataFrame(list(enumerate(arrays)), "id int, t array<double>").select("id", mx.array_std(F.col("t")).alias("std"))
+    assert "struct" not in df._jdf.queryExecution().analyzed().toString()  # one row for every element
+    got = [r["std"] for r in df.orderBy("id").collect()]
+    assert got[0] == 0.0 and got[1:3] == pytest.approx([np.std(arrays[1]), np.std(arrays[2])], rel=1e-12)
+    assert got[3:7] == [None] * 4 and all(math.isnan(x) for x in got[7:])
+
+
 def test_negative_log_likelihood_far_from_the_data(spark):
     w, mu, sd = [F.lit(0.5), F.lit(0.5)], [F.lit(0.0), F.lit(1.0)], [F.lit(1.0), F.lit(1.0)]
     v = spark.range(1).select(mx.mixture_nll(w, mu, sd, F.lit(100.0))).first()[0]
